@@ -305,3 +305,535 @@ SELECT doc_id, CASE WHEN toxicity_human > 2.5 THEN 1 ELSE 0 END AS unsafe_label
 WHERE toxicity_human > 2.5 OR toxicity_human <= 2.0""")
 def q_p13(spark, d):
     return C.band_label(R.toxigen_annotated(spark, d), "toxicity_human").select("doc_id", "unsafe_label")
+
+
+# =====================================================================================
+# Label parsing and head training lines (P16, P18, P7, O6, P19) = W9
+# =====================================================================================
+_HEAD_CATS = J.HEAD_CATEGORIES
+
+
+def _sql_parsed_samples() -> str:
+    cols = ", ".join(f"{S.parse_label(c)} AS p_{c}" for c in _HEAD_CATS)
+    return f"parsed AS (SELECT *, {cols} FROM head_samples)"
+
+
+def _sql_bad_cond() -> str:
+    return " OR ".join(f"p_{c} IS NULL" for c in _HEAD_CATS)
+
+
+@register("p16_parse_labels_valid", _with(R.SQL_HEAD_SAMPLES, _sql_parsed_samples()) +
+          "SELECT doc_id, " + ", ".join(f"p_{c} AS {c}" for c in _HEAD_CATS) +
+          f" FROM parsed WHERE NOT ({_sql_bad_cond()})")
+def q_p16v(spark, d):
+    good, _ = C.parse_labels(R.head_samples(spark, d), _HEAD_CATS)
+    return good.select("doc_id", *_HEAD_CATS)
+
+
+@register("p16_parse_labels_rejected", _with(R.SQL_HEAD_SAMPLES, _sql_parsed_samples()) +
+          "SELECT doc_id, concat_ws('; ', " + ", ".join(
+              f"CASE WHEN p_{c} IS NULL THEN 'column ''{c}'' must be 0 or 1, got ' || coalesce({c}, 'null') END"
+              for c in _HEAD_CATS) + f") AS error FROM parsed WHERE {_sql_bad_cond()}")
+def q_p16r(spark, d):
+    _, bad = C.parse_labels(R.head_samples(spark, d), _HEAD_CATS)
+    return bad.select("doc_id", "error")
+
+
+_SQL_W9 = _with(R.SQL_HEAD_SAMPLES, _sql_parsed_samples(), f"""good AS (
+  SELECT doc_id, {', '.join(f'p_{c} AS {c}' for c in _HEAD_CATS)}, {S.collapse_ws('text')} AS text
+  FROM parsed WHERE NOT ({_sql_bad_cond()})),
+nonempty AS (SELECT * FROM good WHERE length(text) > 0),
+parts AS (
+  SELECT *, CASE WHEN row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1
+                      < floor(count(*) OVER () * 0.9) THEN 'train' ELSE 'eval' END AS split
+  FROM nonempty)""") + "SELECT split, category, doc_id, " \
+    "CASE WHEN label = 1 THEN '__label__pos' ELSE '__label__neg' END || ' ' || text AS line FROM (" + \
+    " UNION ALL ".join(f"SELECT split, '{c}' AS category, doc_id, {c} AS label, text FROM parts"
+                       for c in _HEAD_CATS) + ")"
+
+
+@register("w9_head_training_lines", _SQL_W9)
+def q_w9(spark, d):
+    lines, _ = J.head_training_table(R.head_samples(spark, d), key="doc_id")
+    return lines
+
+
+# =====================================================================================
+# Label tables (S3 shape, J2, P10, J3, P22) = W2 and prompt pairs
+# =====================================================================================
+def _reviews_msg(spark, d) -> DataFrame:
+    raw = R.reviews_raw(spark, d)
+    meta = C.lists_to_text(R.business_meta(spark, d))
+    j = TB.join_business(raw, meta)
+    canon = j.select("id", F.col("name_y").alias("business_name"), "category", "description",
+                     F.col("text").alias("review"), "rating", F.col("resp").alias("response"))
+    return C.render_message(canon)
+
+
+_SQL_REVIEWS_MSG = f"""reviews_msg AS (
+  SELECT r.id, {S.render_message('m.name', "array_to_string(m.category, ', ')", 'm.description',
+                                   'r.text', 'r.rating', 'r.resp')} AS user_message
+  FROM reviews_raw r JOIN business_meta m ON r.gmap_id IS NOT DISTINCT FROM m.gmap_id)"""
+
+_FLAGS5 = ["spam", "advertisement", "irrelevant_content", "non_visitor_rant", "toxicity"]
+
+
+@register("w2_label_table", _with(R.SQL_LLM_LABELS, R.SQL_REVIEWS_RAW, R.SQL_BUSINESS_META,
+                                  _SQL_REVIEWS_MSG) + """
+SELECT l.job_id AS id, r.user_message AS text,
+       coalesce(TRY_CAST(l.spam AS INTEGER), 0) AS spam,
+       coalesce(TRY_CAST(l.advertisement AS INTEGER), 0) AS advertisement,
+       coalesce(TRY_CAST(l.irrelevant_content AS INTEGER), 0) AS relevance,
+       coalesce(TRY_CAST(l.non_visitor_rant AS INTEGER), 0) AS rant,
+       coalesce(TRY_CAST(l.toxicity AS INTEGER), 0) AS toxicity
+FROM llm_labels l LEFT JOIN reviews_msg r ON l.job_id = r.id""")
+def q_w2(spark, d):
+    return J.build_label_table(R.llm_labels(spark, d), _reviews_msg(spark, d))
+
+
+@register("p10_rename_labels", _with(R.SQL_LLM_LABELS) + """
+SELECT job_id, seq, spam, advertisement, irrelevant_content AS relevance, non_visitor_rant AS rant,
+       toxicity, 0 AS extra_flag FROM llm_labels""")
+def q_p10(spark, d):
+    out = C.rename_labels(R.llm_labels(spark, d), J.LLM_TO_FINAL, required=["extra_flag"])
+    return out
+
+
+_ENC = R.ENCODER_LABELS
+
+
+@register("j3_prompt_pairs", _with(R.SQL_LLM_LABELS, R.SQL_REVIEWS_RAW, R.SQL_BUSINESS_META,
+                                   _SQL_REVIEWS_MSG) + """
+SELECT r.id, r.user_message AS prompt,
+       '{' || string_agg('"' || k || '": ' || v, ', ' ORDER BY o) || '}' AS response
+FROM reviews_msg r JOIN (
+  SELECT job_id, k, o, CAST(coalesce(TRY_CAST(val AS INTEGER), 0) AS VARCHAR) AS v FROM (
+    SELECT job_id, unnest(['advertisement','irrelevant_content','non_visitor_rant','toxicity']) AS k,
+           unnest([1, 2, 3, 4]) AS o,
+           unnest([advertisement, irrelevant_content, non_visitor_rant, toxicity]) AS val
+    FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn
+                         FROM llm_labels) WHERE rn = 1))) l
+ON r.id = l.job_id GROUP BY r.id, r.user_message""")
+def q_j3(spark, d):
+    labels = R.llm_labels(spark, d).select(
+        "job_id", "seq", *[F.coalesce(F.col(c).try_cast("int"), F.lit(0)).alias(c) for c in _ENC])
+    pairs = TB.prompt_pairs(_reviews_msg(spark, d), labels, _ENC)
+    return pairs.select("id", F.col("user_message").alias("prompt"),
+                        J.response_json(_ENC).alias("response"))
+
+
+# =====================================================================================
+# Synthetic reviews (P23, P15, P20, O1, P5, P10) = W3 and its checks
+# =====================================================================================
+_SQL_OBJS = f"""objs AS (
+  SELECT batch_id, class_type, obj, CAST(obj_pos AS INTEGER) AS obj_pos FROM (
+    SELECT batch_id, class_type, unnest({S.json_objects('content')}) AS obj,
+           unnest(range(len({S.json_objects('content')}))) AS obj_pos
+    FROM llm_responses)
+  WHERE json_valid(obj) AND json_type(obj) = 'OBJECT'),
+parsed AS (
+  SELECT batch_id, class_type, obj_pos, json_extract_string(obj, '$.review') AS review,
+         TRY_CAST(json_extract(obj, '$.rating') AS DOUBLE) AS rating,
+         json_extract_string(obj, '$.business_name') AS business_name,
+         json_extract_string(obj, '$.category') AS category,
+         json_extract_string(obj, '$.description') AS description,
+         json_extract_string(obj, '$.response') AS response,
+         {', '.join(f"CAST(class_type = '{c}' AS INTEGER) AS label_{c}" for c in J.GENERATION_CLASSES)}
+  FROM objs)"""
+
+
+@register("p23_extract_json", _with(R.SQL_LLM_RESPONSES, _SQL_OBJS) +
+          "SELECT batch_id, obj_pos, review, rating, business_name FROM parsed")
+def q_p23(spark, d):
+    sch = T.StructType([T.StructField("review", T.StringType()),
+                        T.StructField("rating", T.DoubleType()),
+                        T.StructField("business_name", T.StringType())])
+    return C.extract_json(R.llm_responses(spark, d), "content", sch, keep=["batch_id"])
+
+
+_SQL_W3 = _with(R.SQL_LLM_RESPONSES, _SQL_OBJS, """kept AS (
+  SELECT * FROM parsed WHERE NOT coalesce(contains(lower(review), 'fallback'), false)),
+shuffled AS (
+  SELECT *, row_number() OVER (ORDER BY md5('42:' || CAST(batch_id AS VARCHAR) || ':' || CAST(obj_pos AS VARCHAR)),
+                                        CAST(batch_id AS VARCHAR) || ':' || CAST(obj_pos AS VARCHAR)) - 1 AS idx
+  FROM kept)""", f"""w3 AS (
+  SELECT idx, {S.render_message()} AS text, label_spam AS spam, label_advertisement AS advertisement,
+         label_irrelevant_content AS relevance, label_non_visitor_rant AS rant, label_toxicity AS toxicity
+  FROM shuffled)""")
+
+
+@register("w3_synthetic_table", _SQL_W3 + "SELECT * FROM w3")
+def q_w3(spark, d):
+    return J.synthetic_table(R.llm_responses(spark, d))
+
+
+_FINAL5 = ["spam", "advertisement", "relevance", "rant", "toxicity"]
+
+
+@register("a4_label_distribution", _SQL_W3 + "SELECT label, positives, rows, round(positives * 100.0 / rows, 6) AS pct FROM (" +
+          " UNION ALL ".join(f"SELECT '{c}' AS label, CAST(sum({c}) AS BIGINT) AS positives, count(*) AS rows FROM w3"
+                             for c in _FINAL5) + ")")
+def q_a4(spark, d):
+    return PF.label_distribution(J.synthetic_table(R.llm_responses(spark, d)), _FINAL5)
+
+
+@register("a5_single_label", _SQL_W3 + """
+SELECT count(*) FILTER (WHERE spam + advertisement + relevance + rant + toxicity = 1) AS single_label,
+       count(*) AS rows,
+       CASE WHEN count(*) FILTER (WHERE spam + advertisement + relevance + rant + toxicity = 1) = count(*)
+            THEN 'PASSED' ELSE 'FAILED' END AS status FROM w3""")
+def q_a5(spark, d):
+    return PF.check_single_label(J.synthetic_table(R.llm_responses(spark, d)), _FINAL5)
+
+
+@register("a6_placeholder_count", _with(R.SQL_LLM_RESPONSES, _SQL_OBJS) +
+          "SELECT count(*) FILTER (WHERE coalesce(contains(lower(review), 'fallback'), false)) AS placeholders FROM parsed")
+def q_a6(spark, d):
+    sch = T.StructType([T.StructField("review", T.StringType())])
+    objs = C.extract_json(R.llm_responses(spark, d), "content", sch, keep=["batch_id"])
+    return PF.placeholder_count(objs, "review")
+
+
+@register("a7_quota_plan", _with(R.SQL_LLM_RESPONSES, _SQL_OBJS) + f"""
+SELECT c.class_type, coalesce(n.n, 0) AS current, greatest(0, 3000 - coalesce(n.n, 0)) AS need,
+       3000 - coalesce(n.n, 0) > 0 AS planned
+FROM (SELECT unnest({[*J.GENERATION_CLASSES, 'unknown_class']}) AS class_type) c
+LEFT JOIN (SELECT class_type, max(n) AS n FROM (
+             SELECT class_type, batch_id // 1000 % 2 AS src, count(*) AS n FROM parsed GROUP BY ALL)
+           GROUP BY class_type) n ON c.class_type = n.class_type""")
+def q_a7(spark, d):
+    sch = T.StructType([T.StructField("review", T.StringType())])
+    objs = C.extract_json(R.llm_responses(spark, d), "content", sch, keep=["batch_id", "class_type"])
+    objs = objs.withColumn("src", (F.col("batch_id") / 1000).cast("long") % 2)
+    return PF.quota_plan(objs, [*J.GENERATION_CLASSES, "unknown_class"], "class_type", 3000,
+                         source_col="src")
+
+
+# =====================================================================================
+# Ordering, splits, folds, batches
+# =====================================================================================
+@register("o1_seeded_shuffle", """
+SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS idx
+FROM documents""")
+def q_o1(spark, d):
+    return O.shuffle_order(R.table(spark, d, "documents").select("doc_id"), "doc_id", 42)
+
+
+@register("o2_row_cap", "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100001")
+def q_o2(spark, d):
+    return O.head_rows(R.table(spark, d, "documents").select("doc_id", "source"), ["doc_id"], 100001)
+
+
+@register("o3_dense_index", """
+SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS idx FROM documents""")
+def q_o3(spark, d):
+    return O.dense_index(R.table(spark, d, "documents").select("doc_id", "source"),
+                         ["source", "doc_id"])
+
+
+@register("o3_dense_index_by_lang", """
+SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS idx,
+       count(*) OVER (PARTITION BY lang) AS lang_rows
+FROM documents""")
+def q_o3b(spark, d):
+    doc = R.table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    return O.dense_index(doc, [F.col("n_chars").desc(), "doc_id"], by=["lang"],
+                         group_size="lang_rows").select("doc_id", "lang", "idx", "lang_rows")
+
+
+@register("o4_stratified_split", """
+SELECT doc_id, toxic, CASE WHEN row_number() OVER (PARTITION BY toxic ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1
+                           < floor(count(*) OVER (PARTITION BY toxic) * 0.75) THEN 'train' ELSE 'test' END AS split
+FROM labels""")
+def q_o4(spark, d):
+    return O.split(R.table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", 0.75, 42,
+                   stratify="toxic")
+
+
+@register("o5_plain_split", """
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) - 1
+                    < floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS split
+FROM labels""")
+def q_o5(spark, d):
+    return O.split(R.table(spark, d, "labels").select("doc_id"), "doc_id", 0.8, 7)
+
+
+@register("o7_folds", """
+SELECT doc_id, toxic, CAST((row_number() OVER (PARTITION BY toxic ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1) % 3 AS INTEGER) AS fold
+FROM labels""")
+def q_o7(spark, d):
+    return O.folds(R.table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", 3, 42, "toxic")
+
+
+def _batches(spark, d) -> DataFrame:
+    return O.assemble_batches(_reviews_msg(spark, d), "id", "user_message", size=20, seed=42)
+
+
+_SQL_BATCHES = _with(R.SQL_REVIEWS_RAW, R.SQL_BUSINESS_META, _SQL_REVIEWS_MSG, f"""ix AS (
+  SELECT id, user_message, row_number() OVER (ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) - 1 AS i
+  FROM reviews_msg)""", f"""batches AS (
+  SELECT CAST(floor(i / 20) AS BIGINT) AS batch_no, count(*) AS n,
+         string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids,
+         string_agg('<Job ' || CAST(i % 20 + 1 AS VARCHAR) || '>' || chr(10) || {S.strip_ws('user_message')}
+                    || chr(10) || '</Job ' || CAST(i % 20 + 1 AS VARCHAR) || '>' || chr(10) || chr(10), '' ORDER BY i) AS prompt,
+         max(i) + 1 AS next_checkpoint
+  FROM ix GROUP BY 1)""")
+
+
+@register("a8_assemble_batches", _SQL_BATCHES + "SELECT * FROM batches")
+def q_a8(spark, d):
+    return _batches(spark, d)
+
+
+@register("o8_pending_batches", _SQL_BATCHES + """
+SELECT batch_no, n, next_checkpoint FROM batches
+WHERE batch_no NOT IN (SELECT batch_no FROM batches WHERE batch_no % 3 = 0)""")
+def q_o8(spark, d):
+    b = _batches(spark, d).select("batch_no", "n", "next_checkpoint")
+    done = b.filter(F.col("batch_no") % 3 == 0).select("batch_no")
+    return O.pending_batches(b, done)
+
+
+def _attach(spark, d):
+    b = _batches(spark, d).select(
+        "batch_no", F.transform(F.split("ids", ","), lambda x: x.cast("long")).alias("ids"))
+    lab = TB.keep_last(R.llm_labels(spark, d).select("job_id", "seq", *_ENC), ["job_id"], "seq")
+    items = (b.select("batch_no", F.posexplode("ids").alias("pos", "job_id"))
+             .join(lab, "job_id", "left")
+             # the service drops its first answer for every seventh batch: a size mismatch
+             .filter(~((F.col("batch_no") % 7 == 3) & (F.col("pos") == 0))))
+    outputs = items.groupBy("batch_no").agg(F.array_sort(F.collect_list(
+        F.struct("pos", *[F.coalesce(F.col(c), F.lit("0")).alias(c) for c in _ENC]))).alias("items"))
+    outputs = outputs.select("batch_no", F.transform("items", lambda x: x.dropFields("pos")).alias("items"))
+    return TB.attach_ids(b, outputs)
+
+
+_SQL_ATTACH = _SQL_BATCHES.replace("WITH ", "WITH " + R.SQL_LLM_LABELS + ",\n", 1).rstrip() + ",\n" + """lab AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM llm_labels)
+  WHERE rn = 1),
+pos AS (
+  SELECT batch_no, CAST(unnest(string_split(ids, ',')) AS BIGINT) AS job_id,
+         CAST(unnest(range(len(string_split(ids, ',')))) AS INTEGER) AS pos FROM batches),
+items AS (
+  SELECT p.batch_no, p.pos, p.job_id, coalesce(l.advertisement, '0') AS advertisement,
+         coalesce(l.irrelevant_content, '0') AS irrelevant_content,
+         coalesce(l.non_visitor_rant, '0') AS non_visitor_rant, coalesce(l.toxicity, '0') AS toxicity
+  FROM pos p LEFT JOIN lab l ON p.job_id = l.job_id
+  WHERE NOT (p.batch_no % 7 = 3 AND p.pos = 0)),
+sizes AS (
+  SELECT b.batch_no, len(string_split(b.ids, ',')) AS n_ids,
+         (SELECT count(*) FROM items i WHERE i.batch_no = b.batch_no) AS n_outputs
+  FROM batches b WHERE b.batch_no IN (SELECT batch_no FROM items))
+"""
+_SQL_ATTACH = _SQL_ATTACH.replace(
+    "WHERE NOT (p.batch_no % 7 = 3 AND p.pos = 0)),",
+    "WHERE NOT (p.batch_no % 7 = 3 AND p.pos = 0)),\nranked AS (SELECT *, row_number() OVER "
+    "(PARTITION BY batch_no ORDER BY pos) - 1 AS out_pos FROM items),")
+
+
+@register("j4_attach_ids_ok", _SQL_ATTACH + """
+SELECT r.batch_no, CAST(r.out_pos AS INTEGER) AS pos, p.job_id, r.advertisement, r.irrelevant_content,
+       r.non_visitor_rant, r.toxicity
+FROM ranked r JOIN sizes s ON r.batch_no = s.batch_no AND s.n_ids = s.n_outputs
+JOIN pos p ON p.batch_no = r.batch_no AND p.pos = r.out_pos""")
+def q_j4ok(spark, d):
+    return _attach(spark, d)[0]
+
+
+@register("j4_attach_ids_rejected", _SQL_ATTACH + """
+SELECT batch_no, CAST(n_ids AS INTEGER) AS n_ids, CAST(n_outputs AS INTEGER) AS n_outputs
+FROM sizes WHERE n_ids <> n_outputs""")
+def q_j4bad(spark, d):
+    return _attach(spark, d)[1]
+
+
+# =====================================================================================
+# Profiles (A1, A2, A3)
+# =====================================================================================
+@register("a1_value_counts", """
+SELECT 'event_type' AS "column", event_type AS value, count(*) AS count FROM events
+WHERE event_type IS NOT NULL GROUP BY 1, 2
+UNION ALL
+SELECT 'user_id', CAST(user_id AS VARCHAR), count(*) FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2""")
+def q_a1(spark, d):
+    return PF.value_counts(R.table(spark, d, "events"), ["event_type", "user_id"])
+
+
+@register("a2_null_summary", _with(R.SQL_JIGSAW_RAW) + """
+SELECT "column", nulls FROM (
+  SELECT 'comment_text' AS "column", count(*) FILTER (WHERE comment_text IS NULL) AS nulls, 1 AS o FROM jigsaw_raw
+  UNION ALL SELECT 'toxic', count(*) FILTER (WHERE toxic IS NULL), 2 FROM jigsaw_raw
+  UNION ALL SELECT 'severe_toxic', count(*) FILTER (WHERE severe_toxic IS NULL), 3 FROM jigsaw_raw
+  UNION ALL SELECT 'insult', count(*) FILTER (WHERE insult IS NULL), 4 FROM jigsaw_raw
+  UNION ALL SELECT 'identity_hate', count(*) FILTER (WHERE identity_hate IS NULL), 5 FROM jigsaw_raw)""")
+def q_a2(spark, d):
+    return PF.null_summary(R.jigsaw_raw(spark, d),
+                           ["comment_text", "toxic", "severe_toxic", "insult", "identity_hate"])
+
+
+@register("a3_duplicate_count", """
+SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (
+  SELECT count(*) AS n FROM documents GROUP BY text, lang, source)""")
+def q_a3(spark, d):
+    return PF.duplicate_count(R.table(spark, d, "documents"), ["text", "lang", "source"])
+
+
+# =====================================================================================
+# Metrics (A9-A14)
+# =====================================================================================
+def _lexicon_predictions(spark, d) -> DataFrame:
+    doc = R.table(spark, d, "documents")
+    lab = R.table(spark, d, "labels")
+    return lab.join(doc, "doc_id", "inner").select(
+        "doc_id", F.col("toxic").alias("truth"), lexicon_hit("text", LEX).alias("pred"))
+
+
+_SQL_LEX_PRED = (f"preds AS (SELECT l.doc_id, l.toxic AS truth, {S.lexicon_hit('d.text', LEX)} AS pred "
+                 "FROM labels l JOIN documents d ON l.doc_id = d.doc_id)")
+_SQL_CM = """cm AS (SELECT count(*) FILTER (WHERE truth = 1 AND pred = 1) AS tp,
+  count(*) FILTER (WHERE truth = 1 AND pred <> 1) AS fn, count(*) FILTER (WHERE truth <> 1 AND pred = 1) AS fp,
+  count(*) FILTER (WHERE truth <> 1 AND pred <> 1) AS tn FROM preds)"""
+
+
+def _sql_ratio(a: str, b: str) -> str:
+    return f"coalesce(CAST({a} AS DOUBLE) / nullif({b}, 0), 0.0)"
+
+
+@register("a9_confusion", _with(_SQL_LEX_PRED, _SQL_CM) + "SELECT tp, fn, fp, tn FROM cm")
+def q_a9(spark, d):
+    return MX.confusion(_lexicon_predictions(spark, d))
+
+
+@register("a10_binary_report", _with(_SQL_LEX_PRED, _SQL_CM) + f"""
+SELECT tp, fn, fp, tn, round({_sql_ratio('tp', 'tp + fp')}, 6) AS precision,
+       round({_sql_ratio('tp', 'tp + fn')}, 6) AS recall, tp + fn = 0 AS no_positive_truth,
+       fp + tn = 0 AS no_negative_truth FROM cm""")
+def q_a10(spark, d):
+    return MX.binary_report(_lexicon_predictions(spark, d))
+
+
+def _multilabel_frame(spark, d) -> DataFrame:
+    lab = TB.keep_last(R.llm_labels(spark, d).select("job_id", "seq", *_ENC), ["job_id"], "seq")
+    lab = lab.select(F.col("job_id").alias("id"), *[F.col(c).try_cast("int").alias(c) for c in _ENC])
+    probs = R.probabilities(spark, d).select("id", *[f"{c}_prob" for c in _ENC])
+    j = lab.join(probs, "id", "inner")
+    return j.withColumns({f"{c}_pred": (F.col(f"{c}_prob") > 0.5).cast("int") for c in _ENC})
+
+
+_SQL_ML = _with(R.SQL_LLM_LABELS, R.sql_probabilities(), """ml AS (
+  SELECT l.job_id AS id, TRY_CAST(l.advertisement AS INTEGER) AS advertisement,
+         TRY_CAST(l.irrelevant_content AS INTEGER) AS irrelevant_content,
+         TRY_CAST(l.non_visitor_rant AS INTEGER) AS non_visitor_rant, TRY_CAST(l.toxicity AS INTEGER) AS toxicity,
+         p.advertisement_prob, p.irrelevant_content_prob, p.non_visitor_rant_prob, p.toxicity_prob
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM llm_labels)
+        WHERE rn = 1) l JOIN probabilities p ON l.job_id = p.id)""")
+
+
+def _sql_bce() -> str:
+    terms = []
+    for c in _ENC:
+        p = f"least(greatest({c}_prob, 1e-07), 1 - 1e-07)"
+        terms.append(f"-({c} * ln({p}) + (1 - {c}) * ln(1 - {p}))")
+    return "(" + " + ".join(terms) + f") / {float(len(_ENC))}"
+
+
+def _sql_multilabel() -> str:
+    cols, accs = [], []
+    for c in _ENC:
+        t, p = f"{c} = 1", f"{c}_prob > 0.5"
+        tp = f"count(*) FILTER (WHERE {t} AND {p})"
+        fn = f"count(*) FILTER (WHERE {t} AND NOT ({p}))"
+        fp = f"count(*) FILTER (WHERE NOT ({t}) AND {p})"
+        tn = f"count(*) FILTER (WHERE NOT ({t}) AND NOT ({p}))"
+        has = f"({tp} + {fn}) > 0"
+        prec, rec = _sql_ratio(tp, f"{tp} + {fp}"), _sql_ratio(tp, f"{tp} + {fn}")
+        acc = f"CASE WHEN {has} THEN {_sql_ratio(f'{tp} + {tn}', 'count(*)')} END"
+        f1 = f"CASE WHEN {prec} + {rec} > 0 THEN 2 * {prec} * {rec} / ({prec} + {rec}) ELSE 0.0 END"
+        cols += [f"round({acc}, 6) AS {c}_accuracy",
+                 f"round(CASE WHEN {has} THEN {prec} END, 6) AS {c}_precision",
+                 f"round(CASE WHEN {has} THEN {rec} END, 6) AS {c}_recall",
+                 f"round(CASE WHEN {has} THEN {f1} END, 6) AS {c}_f1"]
+        accs.append(f"coalesce({acc}, 0.0)")
+    cols.append(f"round(({' + '.join(accs)}) / {float(len(_ENC))}, 6) AS overall_accuracy")
+    cols.append(f"round(avg({_sql_bce()}), 6) AS avg_loss")
+    return "SELECT " + ",\n  ".join(cols) + " FROM ml"
+
+
+@register("a12_multilabel_report", _SQL_ML + _sql_multilabel())
+def q_a12(spark, d):
+    return MX.multilabel_report(_multilabel_frame(spark, d), _ENC, loss=MX.bce_terms(_ENC))
+
+
+@register("a13_bce_loss", _SQL_ML + f"SELECT round(avg({_sql_bce()}), 6) AS avg_loss FROM ml")
+def q_a13(spark, d):
+    return MX.bce_loss(_multilabel_frame(spark, d), _ENC)
+
+
+def _sql_class_report(src: str, prob: str = "prob", truth: str = "truth", thr: float = 0.5) -> str:
+    return f"""cm AS (SELECT count(*) FILTER (WHERE {truth} = 1 AND {prob} >= {thr}) AS tp,
+    count(*) FILTER (WHERE {truth} = 1 AND NOT ({prob} >= {thr})) AS fn,
+    count(*) FILTER (WHERE {truth} <> 1 AND {prob} >= {thr}) AS fp,
+    count(*) FILTER (WHERE {truth} <> 1 AND NOT ({prob} >= {thr})) AS tn FROM {src}),
+  m AS (SELECT *, tp + fn + fp + tn AS n, tp + fn AS s1, tn + fp AS s0,
+    {_sql_ratio('tp', 'tp + fp')} AS p1, {_sql_ratio('tp', 'tp + fn')} AS r1,
+    {_sql_ratio('tn', 'tn + fn')} AS p0, {_sql_ratio('tn', 'tn + fp')} AS r0 FROM cm),
+  f AS (SELECT *, CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0.0 END AS f1_1,
+    CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0.0 END AS f1_0 FROM m)
+SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM (
+  SELECT '0' AS class, p0 AS precision, r0 AS recall, f1_0 AS f1, s0 AS support FROM f
+  UNION ALL SELECT '1', p1, r1, f1_1, s1 FROM f
+  UNION ALL SELECT 'accuracy', NULL, NULL, {_sql_ratio('tp + tn', 'n')}, n FROM f
+  UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f1_0 + f1_1) / 2, n FROM f
+  UNION ALL SELECT 'weighted avg', {_sql_ratio('p0 * s0 + p1 * s1', 'n')}, {_sql_ratio('r0 * s0 + r1 * s1', 'n')},
+                   {_sql_ratio('f1_0 * s0 + f1_1 * s1', 'n')}, n FROM f)"""
+
+
+@register("a14_classification_report", _with(R.sql_probabilities(), """scored AS (
+  SELECT l.toxic AS truth, p.safety_prob AS prob FROM labels l JOIN probabilities p ON l.doc_id = p.id)""")
+          + ", " + _sql_class_report("scored"))
+def q_a14(spark, d):
+    lab = R.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("truth"))
+    scored = lab.join(R.probabilities(spark, d).select("id", F.col("safety_prob").alias("prob")), "id")
+    return MX.classification_report(scored, "truth", "prob", 0.5)
+
+
+# =====================================================================================
+# Heads, gate and cascade
+# =====================================================================================
+@register("m10_head_fire", _with(R.sql_probabilities(), R.sql_head_scores()) +
+          "SELECT id, head, label = '__label__pos' AND prob >= 0.7 AS fired FROM head_scores")
+def q_m10(spark, d):
+    s = R.head_scores(spark, d)
+    return s.select("id", "head", fire_top1("label", "prob", 0.7).alias("fired"))
+
+
+def _settings(spark) -> DataFrame:
+    # a per-head settings table: rant has its own threshold, spam is switched off
+    return spark.createDataFrame([("rant", 0.6, True), ("spam", None, False), ("unsafe", None, True)],
+                                 "head string, threshold double, enabled boolean")
+
+
+@register("m11_or_gate", _with(R.sql_probabilities(), R.sql_head_scores()) + """
+SELECT id, coalesce(string_agg(head, ',' ORDER BY o) FILTER (WHERE fired), '') AS fired,
+       CASE WHEN bool_or(fired) THEN 'bad' ELSE 'good' END AS decision
+FROM (SELECT s.id, s.head, list_position(['spam','ad','irrelevant','rant','unsafe'], s.head) AS o,
+             coalesce(st.enabled, true) AND s.label = '__label__pos'
+             AND (coalesce(st.threshold, 0.7) IS NULL OR s.prob >= coalesce(st.threshold, 0.7)) AS fired
+      FROM head_scores s LEFT JOIN (VALUES ('rant', 0.6, true), ('spam', NULL, false), ('unsafe', NULL, true))
+           st(head, threshold, enabled) ON s.head = st.head)
+GROUP BY id""")
+def q_m11(spark, d):
+    g = or_gate(R.head_scores(spark, d), R.HEADS, _settings(spark), default_threshold=0.7)
+    return g.select("id", F.array_join("fired", ",").alias("fired"), "decision")
+
+
+@register("c1_cascade_rules", _with(R.sql_probabilities()) + _sql_cascade("probabilities"))
+def q_c1(spark, d):
+    return _flat_verdicts(cascade_rules(R.probabilities(spark, d)))
+
+
+@register("c2_verdict_summary", _with(R.sql_probabilities(), f"v AS ({_sql_cascade('probabilities')})") +
+          "SELECT stage, decision, count(*) AS reviews FROM v GROUP BY ALL")
+def q_c2(spark, d):
+    return verdict_summary(cascade_rules(R.probabilities(spark, d)))
