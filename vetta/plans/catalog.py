@@ -837,3 +837,131 @@ def q_c1(spark, d):
           "SELECT stage, decision, count(*) AS reviews FROM v GROUP BY ALL")
 def q_c2(spark, d):
     return verdict_summary(cascade_rules(R.probabilities(spark, d)))
+
+
+# =====================================================================================
+# Features (M1): relational TF-IDF over the labelled documents
+# =====================================================================================
+from vetta.operators import features as FT  # noqa: E402
+
+
+def _sql_tfidf(min_df: int, max_features: int) -> str:
+    tok = "regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}_]{2,}')"
+    return f"""WITH toks AS (
+  SELECT l.doc_id, {tok} AS t FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+grams AS (
+  SELECT doc_id, unnest(list_concat(t, CASE WHEN len(t) >= 2 THEN
+           list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term
+  FROM toks),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
+vocab AS (
+  SELECT term, count(*) AS df, sum(tf) AS ttf FROM tf GROUP BY term HAVING count(*) >= {min_df}
+  ORDER BY ttf DESC, term LIMIT {max_features}),
+n AS (SELECT count(*) AS n FROM toks),
+raw AS (
+  SELECT tf.doc_id, tf.term, tf.tf * (ln((1.0 + n.n) / (v.df + 1.0)) + 1.0) AS raw
+  FROM tf JOIN vocab v ON tf.term = v.term, n)
+SELECT r.doc_id, r.term, round(r.raw / s.norm, 6) AS weight
+FROM raw r JOIN (SELECT doc_id, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY doc_id) s
+  ON r.doc_id = s.doc_id"""
+
+
+def _labelled_docs(spark, d) -> DataFrame:
+    return R.table(spark, d, "labels").join(R.table(spark, d, "documents"), "doc_id").select(
+        "doc_id", "text", "toxic", "quality")
+
+
+@register("m1_tfidf_relational", _sql_tfidf(2, 20000))
+def q_m1(spark, d):
+    return FT.tfidf_relational(_labelled_docs(spark, d), "doc_id", "text", (1, 2), 2, 20000)
+
+
+# =====================================================================================
+# Models (M2-M9, M13-M15) and the model cascade: fitted models, rows-only checks
+# =====================================================================================
+from vetta.operators import models as MD  # noqa: E402
+
+
+def _safety_split(spark, d) -> DataFrame:
+    return O.split(_labelled_docs(spark, d).withColumnRenamed("toxic", "label"), "doc_id",
+                   0.75, 42, stratify="label", first="train", second="test")
+
+
+def _fit_safety_model(parts: DataFrame):
+    return MD.fit_safety(parts.filter(F.col("split") == "train"), LEX, "text", "label",
+                         MD.SAFETY_BEST)
+
+
+@register("m6_safety_scores", None)
+def q_m6(spark, d):
+    """Safety model at the published best point, trained on the 75 % part, scored on
+    the held-out 25 %: (doc_id, truth, safety_prob, pred)."""
+    parts = _safety_split(spark, d)
+    model = _fit_safety_model(parts)
+    test = parts.filter(F.col("split") == "test").select("doc_id", "text", "label")
+    s = MD.score_safety(model, test)
+    return s.select("doc_id", F.col("label").alias("truth"), F.round("safety_prob", 6).alias("safety_prob"),
+                    (F.col("safety_prob") >= 0.5).cast("int").alias("pred"))
+
+
+@register("w10_safety_report", None)
+def q_w10(spark, d):
+    """Held-out classification report of the safety model (threshold 0.5, ``>=``)."""
+    return MX.classification_report(q_m6(spark, d), "truth", "safety_prob", 0.5)
+
+
+def _head_parts(spark, d) -> DataFrame:
+    good, _ = C.parse_labels(R.head_samples(spark, d), _HEAD_CATS)
+    good = good.withColumn("text", collapse_ws("text")).filter(F.length("text") > 0)
+    return O.split(good, "doc_id", 0.9, 42, first="train", second="eval")
+
+
+@register("w11_head_eval", None)
+def q_w11(spark, d):
+    """Heads trained on the 90 % part, evaluated on the 10 % part (confusion, P/R, warnings)."""
+    parts = _head_parts(spark, d)
+    models = MD.fit_heads(parts.filter(F.col("split") == "train"), _HEAD_CATS, skip_missing=True)
+    ev = MD.score_heads(models, parts.filter(F.col("split") == "eval").select("doc_id", "text", *_HEAD_CATS))
+    args = ", ".join(f"'{h}', `{h}`, `{h}_prob`" for h in models)
+    long = ev.selectExpr(f"stack({len(models)}, {args}) AS (head, truth, prob)")
+    long = long.withColumn("pred", (F.col("prob") > 0.5).cast("int"))
+    return MX.binary_report(long, "truth", "pred", by=["head"])
+
+
+def _multilabel_table(spark, d) -> DataFrame:
+    labels = TB.keep_last(R.llm_labels(spark, d), ["job_id"], "seq").drop("seq")
+    t = J.build_label_table(labels, _reviews_msg(spark, d))
+    t = C.rename_labels(t, J.FINAL_TO_ENCODER)
+    return t.select("id", "text", *_ENC).na.drop(subset=["text"])
+
+
+@register("w12_multilabel_report", None)
+def q_w12(spark, d):
+    """Third stage: 80/20 split, fit with validation-loss selection, per-label report."""
+    parts = O.split(_multilabel_table(spark, d), "id", 0.8, 42, first="train", second="val")
+    train, val = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "val")
+    feats, models, _ = MD.fit_multilabel(train, _ENC, val=val, max_iters=(10, 30))
+    scored = MD.score_multilabel(feats, models, val)
+    return MX.multilabel_report(scored, _ENC, loss=MX.bce_terms(_ENC))
+
+
+@register("c1_cascade_models", None)
+def q_c1m(spark, d):
+    """The model cascade over every document: safety model, then heads on survivors,
+    then the third stage on their survivors."""
+    from vetta.operators.cascade import cascade
+    parts = _safety_split(spark, d)
+    safety = _fit_safety_model(parts)
+    hp = _head_parts(spark, d)
+    heads = MD.fit_heads(hp.filter(F.col("split") == "train"), STAGE2_HEADS, skip_missing=True)
+    feats, ml, _ = MD.fit_multilabel(_multilabel_table(spark, d), _ENC, max_iters=(30,))
+    req = C.render_prompt(R.requests(spark, d)).select("id", F.col("review").alias("text"),
+                                                       "prompt")
+    v = cascade(req, lambda df: MD.score_safety(safety, df),
+                lambda df: MD.score_heads(heads, df.withColumnRenamed("text", "__review")
+                                          .withColumnRenamed("prompt", "text"))
+                .withColumnRenamed("text", "prompt").withColumnRenamed("__review", "text"),
+                lambda df: MD.score_multilabel(feats, ml, df.withColumnRenamed("text", "__review")
+                                               .withColumnRenamed("prompt", "text")),
+                heads=list(heads))
+    return _flat_verdicts(v).withColumn("safety_prob", F.round("safety_prob", 6))

@@ -97,7 +97,11 @@ SQL_REQUESTS = """requests AS (
 # ------------------------------------------------------------------ scores
 def probabilities(spark, d) -> DataFrame:
     """Per document: safety probability (lexicon-driven), head and label probabilities."""
-    doc = table(spark, d, "documents")
+    return probabilities_from(table(spark, d, "documents"))
+
+
+def probabilities_from(doc: DataFrame) -> DataFrame:
+    """The same scores for any frame with ``doc_id`` and ``text`` (batch or stream)."""
     hit = lexicon_hit("text", TEST_LEXICON)
     cols = {"id": F.col("doc_id"),
             "safety_prob": F.round(hit * 0.55 + pseudo_prob("safety", "doc_id") * 0.45, 6)}
