@@ -965,3 +965,155 @@ def q_c1m(spark, d):
                                                .withColumnRenamed("prompt", "text")),
                 heads=list(heads))
     return _flat_verdicts(v).withColumn("safety_prob", F.round("safety_prob", 6))
+
+
+# =====================================================================================
+# Streaming (T1, T2): the stream is fed with JSON files Spark writes from the tables
+# =====================================================================================
+from vetta.session import scratch_path  # noqa: E402
+from vetta.sources import readers as RD  # noqa: E402
+from vetta.sources import writers as WR  # noqa: E402
+from vetta.streaming import dedup_stream, moderate_stream  # noqa: E402
+
+_DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()),
+                            T.StructField("text", T.StringType())])
+
+
+def _feed_files(df: DataFrame, path: str, key: str, files: int = 4) -> None:
+    """Write ``df`` as JSON lines in ``files`` files (each file becomes one micro-batch)."""
+    df.repartition(files, key).write.mode("overwrite").json(path)
+
+
+@register("t1_stream_moderation", _with(R.sql_probabilities()) + _sql_cascade("probabilities"))
+def q_t1(spark, d):
+    """Documents arrive as JSON files; every micro-batch is scored by the rule cascade in
+    ``foreachBatch``; the sink (one folder per batch id) is read back. Equals C1."""
+    base = scratch_path(spark, "t1")
+    _feed_files(R.table(spark, d, "documents").select("doc_id", "text"), f"{base}/in", "doc_id")
+    stream = spark.readStream.schema(_DOC_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    q = moderate_stream(stream, lambda b: _flat_verdicts(cascade_rules(R.probabilities_from(b))),
+                        f"{base}/out", f"{base}/ckpt", available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("batch_id")
+
+
+_EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()),
+                              T.StructField("ts", T.TimestampType()),
+                              T.StructField("user_id", T.LongType()),
+                              T.StructField("event_type", T.StringType())])
+
+
+@register("t2_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+def q_t2(spark, d):
+    """Events arrive as JSON files; repeats of (user, event type) within the watermark
+    delay are dropped in the stream. With a delay that spans the data this equals a
+    distinct over the table."""
+    base = scratch_path(spark, "t2")
+    _feed_files(R.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type"),
+                f"{base}/in", "event_id")
+    stream = spark.readStream.schema(_EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    out = dedup_stream(stream, ["user_id", "event_type"], "ts", "3650 days")
+    q = (out.select("user_id", "event_type").writeStream.format("parquet")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema("user_id long, event_type string").parquet(f"{base}/out")
+
+
+# =====================================================================================
+# Sources and sinks (S1-S5, S8-S10): round trips through files Spark writes from the tables
+# =====================================================================================
+_S1_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()),
+                           T.StructField("source", T.StringType()),
+                           T.StructField("lang", T.StringType()),
+                           T.StructField("flag", T.StringType()),
+                           T.StructField("ok", T.BooleanType())])
+
+
+def _s1_files(spark, d) -> str:
+    """JSON lines: strict JSON for most documents, a Python-literal line (single quotes,
+    None, True) for every fifth, plus a blank line and a garbage line after every seventh."""
+    doc = R.table(spark, d, "documents")
+    js = F.to_json(F.struct("doc_id", "source", "lang", F.lit(None).cast("string").alias("flag"),
+                            F.lit(True).alias("ok")))
+    py = F.concat(F.lit("{'doc_id': "), F.col("doc_id").cast("string"), F.lit(", 'source': '"),
+                  F.col("source"), F.lit("', 'lang': '"), F.col("lang"),
+                  F.lit("', 'flag': None, 'ok': True}"))
+    line = F.when(F.col("doc_id") % 5 == 1, py).otherwise(js)
+    extra = F.when(F.col("doc_id") % 7 == 0,
+                   F.array(F.lit("   "), F.concat(F.lit("garbage "), F.col("doc_id").cast("string"))))
+    lines = doc.select(F.explode(F.concat(F.array(line), F.coalesce(extra, F.array().cast("array<string>"))))
+                       .alias("value"))
+    path = scratch_path(spark, "s1")
+    lines.write.mode("overwrite").text(path)
+    return path
+
+
+@register("s1_read_json_lines", "SELECT doc_id, source, lang, NULL::VARCHAR AS flag, true AS ok FROM documents")
+def q_s1(spark, d):
+    good, _ = RD.read_json_lines(spark, _s1_files(spark, d), _S1_SCHEMA)
+    return good
+
+
+@register("s1_rejected_lines", "SELECT 'garbage ' || CAST(doc_id AS VARCHAR) AS value FROM documents WHERE doc_id % 7 = 0")
+def q_s1r(spark, d):
+    _, bad = RD.read_json_lines(spark, _s1_files(spark, d), _S1_SCHEMA)
+    return bad.select("value")
+
+
+@register("o2_s1_first_records", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 250")
+def q_s1cap(spark, d):
+    """Row cap while reading: the first 250 good records in file order (one sorted file)."""
+    doc = R.table(spark, d, "documents").select("doc_id", "source", "lang")
+    path = scratch_path(spark, "s1cap")
+    doc.orderBy("doc_id").coalesce(1).select(F.to_json(F.struct("doc_id", "source", "lang"))
+                                             .alias("value")).write.text(path)
+    good, _ = RD.read_json_lines(spark, path, _S1_SCHEMA, limit=250)
+    return good.select("doc_id")
+
+
+_S2_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()),
+                           T.StructField("lang", T.StringType()),
+                           T.StructField("source", T.StringType()),
+                           T.StructField("n_chars", T.LongType()),
+                           T.StructField("text", T.StringType())])
+
+
+@register("s2_read_csv", "SELECT doc_id, lang, source, n_chars, text FROM documents")
+def q_s2(spark, d):
+    """CSV round trip: headers written as ' Doc_ID ', 'LANG', ... (trimmed and matched
+    case-insensitively on read), multi-line quoted text."""
+    doc = R.table(spark, d, "documents")
+    path = scratch_path(spark, "s2")
+    WR.write_table(doc.select(F.col("doc_id").alias(" Doc_ID "), F.col("lang").alias("LANG"),
+                              F.col("source").alias("Source "), F.col("n_chars").alias("N_Chars"),
+                              F.col("text").alias("Text")), path, fmt="csv")
+    return RD.read_csv(spark, path, _S2_SCHEMA, required=["doc_id", "text"])
+
+
+@register("s5_labeled_lines", _SQL_W9.replace("SELECT split, category, doc_id, \nCASE", "SELECT split, category, doc_id, CASE")
+          .rsplit("SELECT split, category, doc_id, ", 1)[0] +
+          "SELECT split, category, CASE WHEN label = 1 THEN '__label__pos' ELSE '__label__neg' END AS label, text FROM (" +
+          " UNION ALL ".join(f"SELECT split, '{c}' AS category, doc_id, {c} AS label, text FROM parts"
+                             for c in _HEAD_CATS) + ")")
+def q_s5(spark, d):
+    """Head training lines written as ``split=/category=`` text folders, read back as
+    (label, text) with the folder columns."""
+    lines, _ = J.head_training_table(R.head_samples(spark, d), key="doc_id")
+    path = scratch_path(spark, "s9")
+    WR.write_labeled_lines(lines, path)
+    return RD.read_labeled_lines(spark, path).select("split", "category", "label", "text")
+
+
+@register("s3_label_batches", _with(R.SQL_LLM_LABELS) + """
+SELECT job_id, """ + ", ".join(f"coalesce(TRY_CAST({c} AS INTEGER), 0) AS {c}" for c in _FLAGS5) +
+          " FROM llm_labels")
+def q_s3(spark, d):
+    """Label records written as one JSON array per batch of 20 (S10), read back (S3)."""
+    lab = R.llm_labels(spark, d)
+    ix = O.dense_index(lab, ["job_id", "seq"], out="i")
+    batches = ix.withColumn("batch_no", F.floor(F.col("i") / 20).cast("long")) \
+        .withColumn("pos", F.col("i") % 20).drop("i", "seq")
+    path = scratch_path(spark, "s10")
+    WR.write_label_batches(batches, path)
+    return RD.read_label_batches(spark, path, _FLAGS5).select("job_id", *_FLAGS5)
