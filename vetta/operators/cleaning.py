@@ -125,8 +125,8 @@ def parse_labels(df: DataFrame, cols: Sequence[str], strict: bool = False
                         F.coalesce(F.col(c).cast("string"), F.lit("null"))))
         for c in cols])
     if strict:
-        parsed = parsed.withColumn("__chk", F.when(bad, F.raise_error(errors)))
-        parsed = parsed.drop("__chk")
+        # the check is a filter condition, so it is evaluated on every row
+        parsed = parsed.filter(F.when(bad, F.raise_error(errors)).otherwise(F.lit(True)))
     good = (parsed.filter(~bad)
             .select(*[F.col(f"__p_{c}").alias(c) if c in cols else F.col(c) for c in df.columns]))
     rejected = parsed.filter(bad).select(*[F.col(c) for c in df.columns],
