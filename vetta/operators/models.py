@@ -14,8 +14,9 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+import json
 
 from vetta.operators.features import head_feature_stages, safety_feature_stages, tfidf_stages
 from vetta.operators.metrics import bce_terms
@@ -140,10 +141,17 @@ def head_features(df: DataFrame, text: str = "text", **kw) -> DataFrame:
 
 def fit_heads(df: DataFrame, heads: Sequence[str], text: str = "text",
               label_suffix: str = "", max_iter: int = 50, reg: float = 1e-4, tol: float = 1e-4,
-              skip_missing: bool = False, parallelism: int = 4) -> dict:
+              skip_missing: bool = False, parallelism: int = 4,
+              val: DataFrame | None = None, grid: Sequence[Mapping] | None = None) -> dict:
     """One binary logistic head per label column, all on one cached feature frame;
-    the K fits run concurrently. A head without both classes is skipped (or an error)."""
+    the K fits run concurrently. A head without both classes is skipped (or an error).
+
+    With a validation frame and a ``grid`` of ``{"max_iter": .., "reg": ..}`` points, each
+    head keeps the point with the best F1 of the positive class on the validation rows
+    (a bounded number of fits); otherwise the fixed ``max_iter``/``reg`` are used."""
     feats = _coalesced(head_features(df, text)).persist(StorageLevel.MEMORY_AND_DISK)
+    vfeats = head_features(val, text).persist(StorageLevel.MEMORY_AND_DISK) \
+        if (val is not None and grid) else None
     present = {}
     for h in heads:
         col = h + label_suffix
@@ -154,19 +162,57 @@ def fit_heads(df: DataFrame, heads: Sequence[str], text: str = "text",
             raise ValueError(f"head '{h}' has no training data with both classes")
         present[h] = col
 
+    points = list(grid) if vfeats is not None else [{"max_iter": max_iter, "reg": reg}]
+
     def fit_one(item):
         h, col = item
-        lr = LogisticRegression(featuresCol="features", labelCol="__y", maxIter=max_iter,
-                                regParam=reg, tol=tol, probabilityCol=f"__p_{h}",
-                                rawPredictionCol=f"__r_{h}", predictionCol=f"__yhat_{h}")
-        return h, lr.fit(feats.withColumn("__y", F.col(col).cast("double")))
+        best, best_f1 = None, None
+        for pt in points:
+            lr = LogisticRegression(featuresCol="features", labelCol="__y",
+                                    maxIter=int(pt.get("max_iter", max_iter)),
+                                    regParam=float(pt.get("reg", reg)), tol=tol,
+                                    probabilityCol=f"__p_{h}", rawPredictionCol=f"__r_{h}",
+                                    predictionCol=f"__yhat_{h}")
+            m = lr.fit(feats.withColumn("__y", F.col(col).cast("double")))
+            if vfeats is None:
+                return h, m
+            s = m.transform(vfeats).select(F.col(col).alias("t"),
+                                           (prob1(f"__p_{h}") > 0.5).cast("int").alias("p"))
+            r = s.agg(F.count_if((F.col("t") == 1) & (F.col("p") == 1)).alias("tp"),
+                      F.count_if(F.col("t") == 1).alias("pos"),
+                      F.count_if(F.col("p") == 1).alias("pp")).first()
+            f1 = 2 * r.tp / (r.pos + r.pp) if (r.pos + r.pp) else 0.0
+            if best_f1 is None or f1 > best_f1:
+                best, best_f1 = m, f1
+        return h, best
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         models = dict(pool.map(fit_one, present.items()))
     feats.unpersist()
+    if vfeats is not None:
+        vfeats.unpersist()
     return models
 
 
+# ------------------------------------------------------------------ persistence
+def save_safety(model: PipelineModel, path: str, params: Mapping | None = None) -> None:
+    """Save the fitted pipeline (standard stages only) and, when given, the chosen
+    parameters as a one-row JSON next to it."""
+    model.write().overwrite().save(f"{path.rstrip('/')}/model")
+    if params is not None:
+        from vetta.sources.writers import write_metrics
+        spark = SparkSession.getActiveSession()
+        row = {k: (list(v) if isinstance(v, tuple) else
+                   (json.dumps({str(a): b for a, b in v.items()}) if isinstance(v, dict) else v))
+               for k, v in params.items()}
+        write_metrics(spark.createDataFrame([{k: str(v) for k, v in row.items()}]),
+                      f"{path.rstrip('/')}/best_params")
+
+
+def load_safety(path: str) -> PipelineModel:
+    return PipelineModel.load(f"{path.rstrip('/')}/model")
+
+
 def score_heads(models: Mapping, df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``<head>_prob`` (probability of the positive label) for every head model."""
     feats = head_features(df, text)

@@ -918,14 +918,11 @@ def _head_parts(spark, d) -> DataFrame:
 
 @register("w11_head_eval", None)
 def q_w11(spark, d):
-    """Heads trained on the 90 % part, evaluated on the 10 % part (confusion, P/R, warnings)."""
-    parts = _head_parts(spark, d)
-    models = MD.fit_heads(parts.filter(F.col("split") == "train"), _HEAD_CATS, skip_missing=True)
-    ev = MD.score_heads(models, parts.filter(F.col("split") == "eval").select("doc_id", "text", *_HEAD_CATS))
-    args = ", ".join(f"'{h}', `{h}`, `{h}_prob`" for h in models)
-    long = ev.selectExpr(f"stack({len(models)}, {args}) AS (head, truth, prob)")
-    long = long.withColumn("pred", (F.col("prob") > 0.5).cast("int"))
-    return MX.binary_report(long, "truth", "pred", by=["head"])
+    """W9 label lines -> one head per category trained on the train lines -> scored on
+    the eval lines -> confusion counts, precision/recall and warnings per head."""
+    lines, _ = J.head_training_table(R.head_samples(spark, d), key="doc_id")
+    _, report = J.run_heads(lines, _HEAD_CATS)
+    return report
 
 
 def _multilabel_table(spark, d) -> DataFrame:
@@ -947,23 +944,17 @@ def q_w12(spark, d):
 
 @register("c1_cascade_models", None)
 def q_c1m(spark, d):
-    """The model cascade over every document: safety model, then heads on survivors,
-    then the third stage on their survivors."""
-    from vetta.operators.cascade import cascade
+    """Requests -> completeness check -> serving prompt -> model cascade (safety model,
+    then heads on survivors, then the third stage on their survivors)."""
     parts = _safety_split(spark, d)
     safety = _fit_safety_model(parts)
     hp = _head_parts(spark, d)
     heads = MD.fit_heads(hp.filter(F.col("split") == "train"), STAGE2_HEADS, skip_missing=True)
     feats, ml, _ = MD.fit_multilabel(_multilabel_table(spark, d), _ENC, max_iters=(30,))
-    req = C.render_prompt(R.requests(spark, d)).select("id", F.col("review").alias("text"),
-                                                       "prompt")
-    v = cascade(req, lambda df: MD.score_safety(safety, df),
-                lambda df: MD.score_heads(heads, df.withColumnRenamed("text", "__review")
-                                          .withColumnRenamed("prompt", "text"))
-                .withColumnRenamed("text", "prompt").withColumnRenamed("__review", "text"),
-                lambda df: MD.score_multilabel(feats, ml, df.withColumnRenamed("text", "__review")
-                                               .withColumnRenamed("prompt", "text")),
-                heads=list(heads))
+    v, _rejected = J.moderate(R.requests(spark, d),
+                              lambda df: MD.score_safety(safety, df),
+                              lambda df: MD.score_heads(heads, df),
+                              lambda df: MD.score_multilabel(feats, ml, df), list(heads))
     return _flat_verdicts(v).withColumn("safety_prob", F.round("safety_prob", 6))
 
 
@@ -990,7 +981,7 @@ def q_t1(spark, d):
     ``foreachBatch``; the sink (one folder per batch id) is read back. Equals C1."""
     base = scratch_path(spark, "t1")
     _feed_files(R.table(spark, d, "documents").select("doc_id", "text"), f"{base}/in", "doc_id")
-    stream = spark.readStream.schema(_DOC_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    stream = spark.readStream.schema(_DOC_SCHEMA).option("maxFilesPerTrigger", 2).json(f"{base}/in")
     q = moderate_stream(stream, lambda b: _flat_verdicts(cascade_rules(R.probabilities_from(b))),
                         f"{base}/out", f"{base}/ckpt", available_now=True)
     q.awaitTermination()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vetta.functions.labels import any_flag, one_hot
 from vetta.functions.text import clean_tweet, collapse_ws, label_line
 from vetta.operators.cleaning import (
-    band_label, clean_sentences, drop_null, drop_placeholders, explode_prompts, extract_json,
+    band_label, clean_sentences, drop_blank, drop_null, drop_placeholders, explode_prompts, extract_json,
     lists_to_text, parse_labels, render_message, select_renamed,
 )
 from vetta.operators.ordering import dense_index, split
@@ -117,7 +117,7 @@ def head_training_table(samples: DataFrame, key: str = "doc_id", ratio: float =
                         positive_value: int = 1) -> tuple[DataFrame, DataFrame]:
     """Parse flags (invalid rows to the second frame), normalise text, drop empty text,
     exact seeded 90/10 split, one ``"<label> <text>"`` line per category."""
-    good, bad = parse_labels(samples, list(categories))
+    good, bad = parse_labels(drop_blank(samples), list(categories))
     good = good.withColumn("text", collapse_ws("text")).filter(F.length("text") > 0)
     parts = split(good, key, ratio, seed, out="split", first="train", second="eval")
     args = ", ".join(f"'{c}', `{c}`" for c in categories)
@@ -136,3 +136,58 @@ def response_json(labels: Sequence[str]):
         parts += [F.lit(("{" if i == 0 else ", ") + f'"{lab}": '), F.col(lab).cast("int").cast("string")]
     parts.append(F.lit("}"))
     return F.concat(*parts)
+
+
+# ------------------------------------------------------------------ W11 heads from label lines
+def lines_to_wide(lines: DataFrame, categories: Sequence[str] = HEAD_CATEGORIES,
+                  key: str = "doc_id", positive: str = "__label__pos") -> DataFrame:
+    """``(split, category, key, line)`` -> one row per (split, key, text) with a 0/1 column
+    per category. The pivot values are fixed, so it is one aggregation; a group holds one
+    line per category."""
+    from vetta.functions.text import NON_WS, WS
+    parsed = lines.select("split", "category", key,
+                          F.regexp_extract("line", f"^({NON_WS}+)", 1).alias("label"),
+                          F.regexp_extract("line", f"(?s)^{NON_WS}+{WS}+(.*)$", 1).alias("text"))
+    return (parsed.groupBy("split", key, "text").pivot("category", list(categories))
+            .agg(F.max((F.col("label") == positive).cast("int"))))
+
+
+def run_heads(lines: DataFrame, heads: Sequence[str] = HEAD_CATEGORIES, key: str = "doc_id",
+              threshold: float | None = None, tune_grid: Sequence[dict] | None = None):
+    """Train one head per category on the ``train`` lines (tuned on ``eval`` when a grid is
+    given), score the ``eval`` lines and report confusion counts, precision, recall and the
+    warnings per head. Returns (models, report)."""
+    from vetta.operators import metrics as MX
+    from vetta.operators import models as MD
+    from vetta.operators.gate import fire
+    wide = lines_to_wide(lines, heads, key)
+    train, ev = wide.filter(F.col("split") == "train"), wide.filter(F.col("split") == "eval")
+    models = MD.fit_heads(train, heads, skip_missing=True,
+                          val=ev if tune_grid else None, grid=tune_grid)
+    scored = MD.score_heads(models, ev.select(key, "text", *models))
+    args = ", ".join(f"'{h}', `{h}`, `{h}_prob`" for h in models)
+    long = scored.selectExpr(f"stack({len(models)}, {args}) AS (head, truth, prob)")
+    long = long.withColumn("pred", fire("prob", threshold).cast("int"))
+    return models, MX.binary_report(long, "truth", "pred", by=["head"])
+
+
+# ------------------------------------------------------------------ W13 moderate requests
+def moderate(requests: DataFrame, stage1, stage2, stage3, heads: Sequence[str],
+             head_threshold: float = 0.7):
+    """Requests -> completeness check (rejects to the second frame) -> serving prompt ->
+    cascade (safety on the review text, heads and third stage on the prompt)."""
+    from vetta.operators.cascade import cascade
+    from vetta.operators.cleaning import render_prompt, validate_requests
+    valid, rejected = validate_requests(requests)
+    req = render_prompt(valid).select("id", F.col("review").alias("text"), "prompt")
+
+    def on_prompt(fn):
+        def run(df):
+            swapped = df.withColumnRenamed("text", "__review").withColumnRenamed("prompt", "text")
+            out = fn(swapped)
+            return out.withColumnRenamed("text", "prompt").withColumnRenamed("__review", "text")
+        return run
+
+    verdicts = cascade(req, stage1, on_prompt(stage2), on_prompt(stage3), heads=list(heads),
+                       head_threshold=head_threshold)
+    return verdicts, rejected

@@ -61,3 +61,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint root."""
     root = ensure_checkpoint_dir(spark)
     return f"{root.rstrip('/')}/vetta-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin a frame over the cores when its scan yields fewer partitions than there
+    are cores (a single-row-group file is one task). CPU-heavy text work then uses every
+    core; a large input already has enough splits and is returned untouched (no shuffle)."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
