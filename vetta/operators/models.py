@@ -39,9 +39,10 @@ def prob1(col: str = "probability"):
 
 
 # ------------------------------------------------------------------ class weights (M3)
-def class_weight_col(df: DataFrame, label: str, weight, out: str = "weight") -> tuple[DataFrame, float]:
+def class_weight_col(df: DataFrame, label: str, weight, out: str = "weight"
+                     ) -> tuple[DataFrame, float, int]:
     """Add a per-row weight column; ``weight`` is ``"balanced"`` (n / (2 n_c)) or a map.
-    Returns the frame and the weight sum (for the C -> regParam conversion)."""
+    Returns the frame, the weight sum (for the C -> regParam conversion) and the row count."""
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # <= 2 rows
     n = sum(counts.values())
     if weight == "balanced":
@@ -54,7 +55,7 @@ def class_weight_col(df: DataFrame, label: str, weight, out: str = "weight") ->
     for k, v in w.items():
         expr = F.when(F.col(label) == k, F.lit(float(v))).otherwise(expr)
     total = sum(w.get(k, 1.0) * c for k, c in counts.items())
-    return df.withColumn(out, expr), total
+    return df.withColumn(out, expr), total, n
 
 
 def reg_param(c: float, weight_sum: float) -> float:
@@ -63,20 +64,26 @@ def reg_param(c: float, weight_sum: float) -> float:
     return 1.0 / (c * weight_sum)
 
 
-def _coalesced(df: DataFrame) -> DataFrame:
-    """L-BFGS runs one job per iteration; tiny tasks dominate on small inputs, so keep the
-    partition count near the core count (never above the input's)."""
+ROWS_PER_FIT_PARTITION = 20_000
+
+
+def _coalesced(df: DataFrame, n_rows: int | None = None) -> DataFrame:
+    """L-BFGS runs one or more jobs per iteration, so per-task overhead and the tree
+    aggregation of dense gradients dominate when partitions are tiny. Size the partition
+    count from the row count (about ``ROWS_PER_FIT_PARTITION`` rows each), never above
+    the core count or the input's own count; a large input keeps full parallelism."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.coalesce(max(1, min(df.rdd.getNumPartitions(), cores)))
+    want = cores if n_rows is None else max(1, -(-n_rows // ROWS_PER_FIT_PARTITION))
+    return df.coalesce(max(1, min(df.rdd.getNumPartitions(), cores, want)))
 
 
 # ------------------------------------------------------------------ safety model (M1-M6)
 def fit_safety(df: DataFrame, words: Sequence[str], text: str = "text", label: str = "label",
                params: Mapping = SAFETY_BEST, c: float = 1.0, tol: float = 1e-4) -> PipelineModel:
     """TF-IDF || lexicon -> weighted L2 logistic regression at one parameter point."""
-    data, wsum = class_weight_col(df.select(text, F.col(label).cast("double").alias("label")),
-                                  "label", params["class_weight"])
-    data = _coalesced(data).persist(StorageLevel.MEMORY_AND_DISK)
+    data, wsum, n = class_weight_col(df.select(text, F.col(label).cast("double").alias("label")),
+                                     "label", params["class_weight"])
+    data = _coalesced(data, n).persist(StorageLevel.MEMORY_AND_DISK)
     stages = safety_feature_stages(words, text, tuple(params["ngram"]), params["min_df"],
                                    params["max_features"])
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
@@ -93,12 +100,12 @@ def search_safety(df: DataFrame, words: Sequence[str], fold_col: str = "fold",
     """Grid search with given folds (``fold_col``), scored by F1 of class 1; the best
     point is refit on all rows. Returns (best PipelineModel, [(params, mean F1)])."""
     base = df.select(text, F.col(label).cast("double").alias("label"), F.col(fold_col).cast("int"))
-    weight_cols, sums = {}, {}
+    weight_cols, sums, n = {}, {}, None
     for i, w in enumerate(grid["class_weight"]):
-        base, s = class_weight_col(base, "label", w, out=f"w{i}")
+        base, s, n = class_weight_col(base, "label", w, out=f"w{i}")
         weight_cols[i], sums[i] = f"w{i}", s
     k = base.select(fold_col).distinct().count()
-    base = _coalesced(base).persist(StorageLevel.MEMORY_AND_DISK)
+    base = _coalesced(base, n).persist(StorageLevel.MEMORY_AND_DISK)
     stages = safety_feature_stages(words, text, (1, 2), 1.0, 1 << 18)
     cv_stage = next(s for s in stages if s.__class__.__name__ == "CountVectorizer")
     cat_stage = next(s for s in stages if isinstance(s, SQLTransformer)
@@ -149,14 +156,19 @@ def fit_heads(df: DataFrame, heads: Sequence[str], text: str = "text",
     With a validation frame and a ``grid`` of ``{"max_iter": .., "reg": ..}`` points, each
     head keeps the point with the best F1 of the positive class on the validation rows
     (a bounded number of fits); otherwise the fixed ``max_iter``/``reg`` are used."""
+    cols = [h + label_suffix for h in heads if h + label_suffix in df.columns]
+    stats = df.agg(F.count(F.lit(1)).alias("__n"),
+                   *[F.min(c).alias(f"lo_{c}") for c in cols],
+                   *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
+    # hashed char n-grams make rows dense (thousands of terms): keep every core busy
     feats = _coalesced(head_features(df, text)).persist(StorageLevel.MEMORY_AND_DISK)
     vfeats = head_features(val, text).persist(StorageLevel.MEMORY_AND_DISK) \
         if (val is not None and grid) else None
     present = {}
     for h in heads:
         col = h + label_suffix
-        n_cls = feats.select(col).distinct().count() if col in feats.columns else 0
-        if n_cls < 2:
+        both = col in cols and stats[f"lo_{col}"] is not None and stats[f"lo_{col}"] != stats[f"hi_{col}"]
+        if not both:
             if skip_missing:
                 continue
             raise ValueError(f"head '{h}' has no training data with both classes")
@@ -226,17 +238,19 @@ def score_heads(models: Mapping, df: DataFrame, text: str = "text") -> DataFrame
 def fit_multilabel(train: DataFrame, labels: Sequence[str], text: str = "text",
                    val: DataFrame | None = None, max_iters: Sequence[int] = (50,),
                    vector_size: int = 32, reg: float = 1e-3, seed: int = 42,
-                   tol: float = 1e-4, parallelism: int = 4):
+                   tol: float = 1e-4, parallelism: int = 4, min_count: int = 2):
     """Shared features (document-mean Word2Vec || TF-IDF) and one logistic model per label.
     With a validation frame, each ``maxIter`` candidate is fitted and the one with the
     lowest validation log loss kept. Returns (feature PipelineModel, {label: model}, loss)."""
+    n = train.count()
     feat_est = Pipeline(stages=[
         *tfidf_stages(text, "tfidf", (1, 1), 1.0, 1 << 16),
-        Word2Vec(inputCol="__tok", outputCol="w2v", vectorSize=vector_size, minCount=1,
-                 seed=seed, maxIter=1),
+        Word2Vec(inputCol="__tok", outputCol="w2v", vectorSize=vector_size, minCount=min_count,
+                 seed=seed, maxIter=1, numPartitions=max(1, min(
+                     train.sparkSession.sparkContext.defaultParallelism, -(-n // 2000)))),
         VectorAssembler(inputCols=["tfidf", "w2v"], outputCol="features")])
     feat_model = feat_est.fit(train)
-    tr = _coalesced(feat_model.transform(train)).persist(StorageLevel.MEMORY_AND_DISK)
+    tr = _coalesced(feat_model.transform(train), n).persist(StorageLevel.MEMORY_AND_DISK)
     va = feat_model.transform(val).persist(StorageLevel.MEMORY_AND_DISK) if val is not None else None
     best, best_loss = None, None
     def fit_one(args):

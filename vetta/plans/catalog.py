@@ -942,15 +942,19 @@ def q_w12(spark, d):
     return MX.multilabel_report(scored, _ENC, loss=MX.bce_terms(_ENC))
 
 
-@register("c1_cascade_models", None)
-def q_c1m(spark, d):
-    """Requests -> completeness check -> serving prompt -> model cascade (safety model,
-    then heads on survivors, then the third stage on their survivors)."""
-    parts = _safety_split(spark, d)
-    safety = _fit_safety_model(parts)
+def fit_cascade_models(spark, d):
+    """Fit the three stages on the labelled tables: (safety, heads, (features, labels))."""
+    safety = _fit_safety_model(_safety_split(spark, d))
     hp = _head_parts(spark, d)
     heads = MD.fit_heads(hp.filter(F.col("split") == "train"), STAGE2_HEADS, skip_missing=True)
     feats, ml, _ = MD.fit_multilabel(_multilabel_table(spark, d), _ENC, max_iters=(30,))
+    return safety, heads, (feats, ml)
+
+
+def score_cascade(spark, d, models) -> DataFrame:
+    """W13 scoring: requests -> completeness check -> serving prompt -> model cascade
+    (safety on the review, heads on survivors' prompts, third stage on theirs)."""
+    safety, heads, (feats, ml) = models
     v, _rejected = J.moderate(R.requests(spark, d),
                               lambda df: MD.score_safety(safety, df),
                               lambda df: MD.score_heads(heads, df),
@@ -958,6 +962,12 @@ def q_c1m(spark, d):
     return _flat_verdicts(v).withColumn("safety_prob", F.round("safety_prob", 6))
 
 
+@register("c1_cascade_models", None)
+def q_c1m(spark, d):
+    """W13 end to end: fit the three stages, then moderate every request through them."""
+    return score_cascade(spark, d, fit_cascade_models(spark, d))
+
+
 # =====================================================================================
 # Streaming (T1, T2): the stream is fed with JSON files Spark writes from the tables
 # =====================================================================================
