@@ -86,3 +86,68 @@ def test_heads_and_multilabel_fit(spark):
     assert loss is not None
     out = MD.score_multilabel(feats, ml, df)
     assert {"ad_prob", "ad_pred", "rant_prob", "rant_pred"} <= set(out.columns)
+
+
+def test_save_load_and_best_params(spark):
+    import os
+    import tempfile
+    rows = [(i, ("idiot trash " if i % 4 == 0 else "nice place ") + str(i), int(i % 4 == 0))
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    params = dict(MD.SAFETY_BEST, min_df=1, max_iter=20, class_weight="balanced")
+    model = MD.fit_safety(df, ["idiot"], params=params)
+    path = tempfile.mkdtemp(prefix="vetta-model-")
+    MD.save_safety(model, path, params)
+    back = MD.load_safety(path)
+    a = [round(r.safety_prob, 9) for r in MD.score_safety(model, df).orderBy("id").collect()]
+    b = [round(r.safety_prob, 9) for r in MD.score_safety(back, df).orderBy("id").collect()]
+    assert a == b
+    assert any(f.endswith(".json") for f in os.listdir(os.path.join(path, "best_params")))
+
+
+def test_heads_tuned_on_validation(spark):
+    rows = [(i, ("buy now cheap deals " if i % 3 == 0 else "lovely quiet park ") + str(i),
+             int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, ad int")
+    grid = [{"max_iter": 5, "reg": 1000.0}, {"max_iter": 30, "reg": 1e-4}]
+    models = MD.fit_heads(df, ["ad"], val=df, grid=grid)
+    assert models["ad"].getMaxIter() == 30
+
+
+def test_run_heads_from_lines(spark):
+    from vetta.plans import jobs as J
+    rows = []
+    for i in range(80):
+        text = ("buy now cheap deals" if i % 3 == 0 else "lovely quiet park") + f" {i}"
+        split = "eval" if i % 10 == 0 else "train"
+        for cat in ["ad", "rant"]:
+            pos = (cat == "ad" and i % 3 == 0) or (cat == "rant" and i % 2 == 0)
+            rows.append((split, cat, i, ("__label__pos " if pos else "__label__neg ") + text))
+    lines = spark.createDataFrame(rows, "split string, category string, doc_id long, line string")
+    wide = J.lines_to_wide(lines, ["ad", "rant"]).collect()
+    assert len(wide) == 80 and {r.ad for r in wide} == {0, 1}
+    _, report = J.run_heads(lines, ["ad", "rant"])
+    rep = {r.head: r for r in report.collect()}
+    assert rep["ad"].tp + rep["ad"].fn == 3 and rep["ad"].recall == 1.0
+
+
+def test_moderate_rejects_incomplete(spark):
+    from vetta.plans import jobs as J
+    req = spark.createDataFrame(
+        [(1, "B", "c", "d", "fine", 4.0), (2, "B", "c", "d", None, 1.0),
+         (3, "B", "c", "d", "you idiot", 1.0)],
+        "id long, name string, category string, description string, review string, rating double")
+
+    def s1(df):
+        return df.withColumn("safety_prob", F.when(F.col("text").contains("idiot"), 0.9).otherwise(0.1))
+
+    def s2(df):
+        return df.withColumns({f"{h}_prob": F.lit(0.0) for h in ["ad", "rant"]})
+
+    def s3(df):
+        return df.withColumns({f"{lab}_prob": F.lit(0.0) for lab in
+                               ["advertisement", "irrelevant_content", "non_visitor_rant", "toxicity"]})
+    v, rejected = J.moderate(req, s1, s2, s3, ["ad", "rant"])
+    got = {r.id: (r.stage, r.decision) for r in v.collect()}
+    assert got == {1: (3, "accept"), 3: (1, "reject")}
+    assert [r.id for r in rejected.collect()] == [2]
