@@ -1118,3 +1118,48 @@ def q_s3(spark, d):
     path = scratch_path(spark, "s10")
     WR.write_label_batches(batches, path)
     return RD.read_label_batches(spark, path, _FLAGS5).select("job_id", *_FLAGS5)
+
+
+# =====================================================================================
+# Head features before hashing (M7) and the samples reader
+# =====================================================================================
+def _head_terms(text_col: str = "text"):
+    toks = FT.tokens(text_col)
+    words = F.concat(toks, FT.word_ngrams(toks, 2))
+    chars = FT.char_ngrams(toks, 2, 5)
+    return words, chars
+
+
+@register("m7_head_terms", """
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS toks FROM documents),
+g AS (
+  SELECT doc_id,
+         list_concat(toks, CASE WHEN len(toks) >= 2 THEN
+           list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]) ELSE [] END) AS words,
+         flatten(list_transform(toks, lambda w: flatten(list_transform(range(2, 6), lambda n:
+           list_transform(range(1, length('<' || w || '>') - n + 2), lambda i: substr('<' || w || '>', i, n)))))) AS chars
+  FROM t)
+SELECT doc_id, len(words) AS word_terms, len(chars) AS char_grams,
+       len(list_distinct(list_concat(words, chars))) AS distinct_terms
+FROM g""")
+def q_m7(spark, d):
+    """Word 1-2-grams and char 2-5-grams of ``<token>`` per document, counted before
+    hashing: the exact term multiset the heads' HashingTF sees."""
+    words, chars = _head_terms()
+    doc = R.table(spark, d, "documents").select("doc_id", words.alias("w"), chars.alias("c"))
+    return doc.select("doc_id", F.size("w").cast("long").alias("word_terms"),
+                      F.size("c").cast("long").alias("char_grams"),
+                      F.size(F.array_distinct(F.concat("w", "c"))).cast("long").alias("distinct_terms"))
+
+
+_S4_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ["doc_id", *_HEAD_CATS, "text"]])
+
+
+@register("s4_samples_json", _with(R.SQL_HEAD_SAMPLES) +
+          "SELECT CAST(doc_id AS VARCHAR) AS doc_id, " + ", ".join(_HEAD_CATS) + ", text FROM head_samples")
+def q_s4(spark, d):
+    """Head samples written as JSON lines and read back with the array-or-lines reader
+    (the first character decides)."""
+    path = scratch_path(spark, "s4")
+    R.head_samples(spark, d).write.mode("overwrite").json(path)
+    return RD.read_samples_json(spark, path, _S4_SCHEMA)
