@@ -151,3 +151,61 @@ def test_moderate_rejects_incomplete(spark):
     got = {r.id: (r.stage, r.decision) for r in v.collect()}
     assert got == {1: (3, "accept"), 3: (1, "reject")}
     assert [r.id for r in rejected.collect()] == [2]
+
+
+def test_run_safety_with_grid_and_profile(spark):
+    import tempfile
+    from vetta.plans import jobs as J
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/labels.parquet").join(
+        spark.read.parquet(f"{d}/documents.parquet"), "doc_id").select(
+        F.col("doc_id").alias("id"), "text", F.col("toxic").alias("unsafe_label"))
+    grid = {"min_df": [1], "max_features": [500], "ngram": [(1, 1)], "max_iter": [10],
+            "class_weight": ["balanced", {0: 1.0, 1: 2.5}]}
+    path = tempfile.mkdtemp(prefix="vetta-run-")
+    model, scored, report, scores = J.run_safety(docs, ["trash"], grid=grid, save_to=path)
+    assert len(scores) == 2 and report.count() == 5
+    assert scored.count() + 0 > 0
+    vc, nulls, dups = J.profile_table(docs, ["unsafe_label"])
+    assert vc.count() == 2 and nulls.count() == 3 and dups.first().duplicates >= 0
+
+
+def test_model_stream_equals_batch(spark):
+    import json as _json
+    import os
+    import tempfile
+    from pyspark.sql import types as T
+    from vetta.plans import jobs as J
+    from vetta.sources.readers import REQUEST_SCHEMA
+    train = spark.createDataFrame(
+        [(i, ("you idiot trash " if i % 4 == 0 else "great coffee here ") + str(i), int(i % 4 == 0),
+          int(i % 3 == 0), int(i % 5 == 0)) for i in range(60)],
+        "id long, text string, label int, ad int, toxicity int")
+    safety = MD.fit_safety(train, ["idiot"], params=dict(MD.SAFETY_BEST, min_df=1, max_iter=20,
+                                                          class_weight="balanced"))
+    heads = MD.fit_heads(train, ["ad"], max_iter=10)
+    feats, ml, _ = MD.fit_multilabel(train, ["toxicity"], max_iters=(5,))
+    models = (safety, heads, (feats, ml))
+    src = tempfile.mkdtemp(prefix="vetta-req-")
+    reqs = [{"id": i, "name": "B", "category": "c", "description": "d",
+             "review": ("you idiot" if i == 0 else f"nice place {i}"), "rating": 4.0}
+            for i in range(3)]
+    for r in reqs:
+        with open(os.path.join(src, f"r{r['id']}.json"), "w") as f:
+            _json.dump(r, f, indent=2)
+    schema = T.StructType([T.StructField("id", T.LongType())] + list(REQUEST_SCHEMA.fields))
+    batch_df = spark.read.schema(schema).json(src, multiLine=True)
+    v_batch, _ = J.moderate(batch_df, lambda df: MD.score_safety(safety, df),
+                            lambda df: MD.score_heads(heads, df),
+                            lambda df: MD.score_multilabel(feats, ml, df), ["ad"],
+                            labels=["toxicity"])
+    out, ck = tempfile.mkdtemp(prefix="vetta-out-"), tempfile.mkdtemp(prefix="vetta-ck-")
+    stream = spark.readStream.schema(schema).option("multiLine", True) \
+        .option("maxFilesPerTrigger", 1).json(src)
+    q = J.moderate_model_stream(stream, models, out, ck, available_now=True)
+    q.awaitTermination()
+    cols = ["id", "stage", "decision"]
+    a = sorted(tuple(r) for r in spark.read.parquet(out).select(*cols).collect())
+    b = sorted(tuple(r) for r in v_batch.select(*cols).collect())
+    assert a == b and len(a) == 3
+    assert len([p for p in os.listdir(out) if p.startswith("batch_id=")]) == 3

@@ -91,3 +91,20 @@ def test_stream_equals_batch(spark):
     b = sorted(tuple(r) for r in q["c1_cascade_rules"](spark, d).select(
         "id", "stage", "decision", "safety_prob", "fired_heads", "reasons").collect())
     assert a == b and len(a) == 200
+
+
+def test_release_unpersists_stage_frames(spark):
+    from vetta.operators.cascade import _PERSISTED, release
+    probs = _probs(spark)
+
+    def add(cols):
+        return lambda df: df.join(probs.select("id", *cols), "id")
+    v = cascade(probs.select("id"), add(["safety_prob"]),
+                add(["ad_prob", "irrelevant_prob", "rant_prob", "unsafe_prob"]),
+                add(["advertisement_prob", "irrelevant_content_prob", "non_visitor_rant_prob",
+                     "toxicity_prob"]))
+    frames = list(_PERSISTED[id(v)])
+    assert all(f.is_cached for f in frames)
+    v.count()
+    release(v)
+    assert not any(f.is_cached for f in frames) and id(v) not in _PERSISTED

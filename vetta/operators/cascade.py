@@ -83,7 +83,20 @@ def cascade(df: DataFrame, stage1, stage2, stage3, id_col: str = "id",
                    F.when(F.size("reasons") > 0, F.lit("reject")).otherwise(F.lit("accept"))
                    .alias("decision"), "safety_prob", "fired_heads", "reasons",
                    lp.alias("label_probs"))
-    return v1.unionByName(v2).unionByName(v3)
+    out = v1.unionByName(v2).unionByName(v3)
+    _PERSISTED[id(out)] = [s1, s2]
+    return out
+
+
+# frames a cascade persisted, keyed by the verdict frame they feed
+_PERSISTED: dict[int, list[DataFrame]] = {}
+
+
+def release(verdicts: DataFrame) -> None:
+    """Unpersist the stage frames behind ``verdicts`` once its output has been written
+    (a streaming ``foreachBatch`` calls this after every micro-batch)."""
+    for df in _PERSISTED.pop(id(verdicts), []):
+        df.unpersist()
 
 
 def verdict_summary(verdicts: DataFrame) -> DataFrame:
@@ -91,5 +104,5 @@ def verdict_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("stage", "decision").agg(F.count(F.lit(1)).alias("reviews"))
 
 
-__all__ = ["cascade_rules", "cascade", "verdict_summary", "fire", "STAGE2_HEADS",
+__all__ = ["cascade_rules", "cascade", "release", "verdict_summary", "fire", "STAGE2_HEADS",
            "STAGE3_LABELS", "DEFAULT_HEAD_THRESHOLD"]

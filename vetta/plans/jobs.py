@@ -173,7 +173,7 @@ def run_heads(lines: DataFrame, heads: Sequence[str] = HEAD_CATEGORIES, key: str
 
 # ------------------------------------------------------------------ W13 moderate requests
 def moderate(requests: DataFrame, stage1, stage2, stage3, heads: Sequence[str],
-             head_threshold: float = 0.7):
+             head_threshold: float = 0.7, labels: Sequence[str] | None = None):
     """Requests -> completeness check (rejects to the second frame) -> serving prompt ->
     cascade (safety on the review text, heads and third stage on the prompt)."""
     from vetta.operators.cascade import cascade
@@ -188,6 +188,75 @@ def moderate(requests: DataFrame, stage1, stage2, stage3, heads: Sequence[str],
             return out.withColumnRenamed("text", "prompt").withColumnRenamed("__review", "text")
         return run
 
+    from vetta.operators.cascade import STAGE3_LABELS
     verdicts = cascade(req, stage1, on_prompt(stage2), on_prompt(stage3), heads=list(heads),
-                       head_threshold=head_threshold)
+                       head_threshold=head_threshold, labels=list(labels or STAGE3_LABELS))
     return verdicts, rejected
+
+
+def moderate_model_stream(stream: DataFrame, models, out: str, checkpoint: str,
+                          available_now: bool = False):
+    """T1 with fitted models: each micro-batch of requests goes through ``moderate``;
+    the per-batch stage caches are released after the batch is written."""
+    from vetta.operators import models as MD
+    from vetta.streaming import moderate_stream
+    safety, heads, (feats, ml) = models
+
+    def score(batch: DataFrame) -> DataFrame:
+        v, _ = moderate(batch, lambda df: MD.score_safety(safety, df),
+                        lambda df: MD.score_heads(heads, df),
+                        lambda df: MD.score_multilabel(feats, ml, df), list(heads),
+                        labels=list(ml))
+        return v
+
+    return moderate_stream(stream, score, out, checkpoint, available_now=available_now)
+
+
+# ------------------------------------------------------------------ W8 table profile
+def profile_table(df: DataFrame, cols: Sequence[str] | None = None):
+    """(value counts, null summary, duplicate count) of a table."""
+    from vetta.operators.profile import duplicate_count, null_summary, value_counts
+    return value_counts(df, cols), null_summary(df), duplicate_count(df)
+
+
+# ------------------------------------------------------------------ W10 safety model
+def run_safety(df: DataFrame, words: Sequence[str], key: str = "id", text: str = "text",
+               label: str = "unsafe_label", grid: dict | None = None, params: dict | None = None,
+               test_ratio: float = 0.25, seed: int = 42, folds_k: int = 3,
+               save_to: str | None = None, threshold: float = 0.5):
+    """Drop nulls -> stratified split -> (grid search over stratified folds, or the given
+    point) -> fit -> optional save with the chosen parameters -> held-out report.
+    Returns (model, scored test rows, report, cv scores or None)."""
+    from vetta.operators import metrics as MX
+    from vetta.operators import models as MD
+    from vetta.operators.ordering import folds
+    data = drop_null(df.select(key, text, label))
+    parts = split(data, key, 1.0 - test_ratio, seed, stratify=label, first="train", second="test")
+    train = parts.filter(F.col("split") == "train").drop("split")
+    test = parts.filter(F.col("split") == "test").drop("split")
+    scores = None
+    if grid:
+        model, scores = MD.search_safety(folds(train, key, folds_k, seed, stratify=label), words,
+                                         "fold", text, label, grid)
+        chosen = max(scores, key=lambda x: x[1])[0]
+    else:
+        chosen = dict(params or MD.SAFETY_BEST)
+        model = MD.fit_safety(train, words, text, label, chosen)
+    if save_to:
+        MD.save_safety(model, save_to, chosen)
+    scored = MD.score_safety(model, test.select(key, text, label))
+    report = MX.classification_report(scored, label, "safety_prob", threshold)
+    return model, scored, report, scores
+
+
+# ------------------------------------------------------------------ W12 third stage
+def run_multilabel(df: DataFrame, labels: Sequence[str], key: str = "id", text: str = "text",
+                   ratio: float = 0.8, seed: int = 42, max_iters: Sequence[int] = (10, 30)):
+    """80/20 split -> fit with validation-loss selection -> per-label report with loss."""
+    from vetta.operators import metrics as MX
+    from vetta.operators import models as MD
+    parts = split(df, key, ratio, seed, first="train", second="val")
+    train, val = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "val")
+    feats, models, loss = MD.fit_multilabel(train, labels, text, val=val, max_iters=max_iters)
+    scored = MD.score_multilabel(feats, models, val)
+    return (feats, models), MX.multilabel_report(scored, labels, loss=MX.bce_terms(labels))

@@ -135,3 +135,9 @@ def read_requests(spark: SparkSession, path: str, schema: T.StructType = REQUEST
             r = r.option("maxFilesPerTrigger", files_per_trigger)
         return r.json(path)
     return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def read_parquet_pair(spark: SparkSession, generated: str, annotated: str
+                      ) -> tuple[DataFrame, DataFrame]:
+    """The two toxicity tables (generated prompts, annotated texts) as Parquet."""
+    return spark.read.parquet(generated), spark.read.parquet(annotated)

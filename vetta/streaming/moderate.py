@@ -18,8 +18,12 @@ def moderate_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame],
                     checkpoint: str, available_now: bool = False,
                     processing_time: str | None = None, name: str | None = None
                     ) -> StreamingQuery:
+    from vetta.operators.cascade import release
+
     def run(batch: DataFrame, batch_id: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+        verdicts = score(batch)
+        verdicts.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+        release(verdicts)  # a model cascade's stage caches are dropped per micro-batch
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if name:
