@@ -380,7 +380,7 @@ _FLAGS5 = ["spam", "advertisement", "irrelevant_content", "non_visitor_rant", "t
 
 @register("w2_label_table", _with(R.SQL_LLM_LABELS, R.SQL_REVIEWS_RAW, R.SQL_BUSINESS_META,
                                   _SQL_REVIEWS_MSG) + """
-SELECT l.job_id AS id, r.user_message AS text,
+SELECT r.user_message AS text,
        coalesce(TRY_CAST(l.spam AS INTEGER), 0) AS spam,
        coalesce(TRY_CAST(l.advertisement AS INTEGER), 0) AS advertisement,
        coalesce(TRY_CAST(l.irrelevant_content AS INTEGER), 0) AS relevance,
@@ -931,8 +931,9 @@ def q_w11(spark, d):
 def _multilabel_table(spark, d) -> DataFrame:
     labels = TB.keep_last(R.llm_labels(spark, d), ["job_id"], "seq").drop("seq")
     t = J.build_label_table(labels, _reviews_msg(spark, d))
-    t = C.rename_labels(t, J.FINAL_TO_ENCODER)
-    return t.select("id", "text", *_ENC).na.drop(subset=["text"])
+    t = C.rename_labels(t, J.FINAL_TO_ENCODER).na.drop(subset=["text"])
+    # the label table has no id column; the text (unique per review) keys the split
+    return t.select(F.md5("text").alias("id"), "text", *_ENC)
 
 
 @register("w12_multilabel_report", None)

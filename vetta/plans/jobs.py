@@ -54,7 +54,7 @@ def build_label_table(labels: DataFrame, reviews: DataFrame, label_key: str = "j
     lab = labels.select(F.col(label_key).alias(review_key),
                         *[F.coalesce(F.col(f).try_cast("int"), F.lit(0)).alias(f) for f in flags])
     j = lab.join(reviews.select(review_key, "user_message"), review_key, "left")
-    out = j.select(F.col(review_key), F.col("user_message").alias("text"),
+    out = j.select(F.col("user_message").alias("text"),
                    *[F.col(f).alias(LLM_TO_FINAL.get(f, f)) for f in flags])
     return out
 
