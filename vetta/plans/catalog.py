@@ -1121,6 +1121,16 @@ def q_s3(spark, d):
     return RD.read_label_batches(spark, path, _FLAGS5).select("job_id", *_FLAGS5)
 
 
+@register("s11_metrics_roundtrip", QUERIES["a10_binary_report"][1])
+def q_s11(spark, d):
+    """Metrics sink: the lexicon head's binary report (A9-A11) written as one JSON file
+    and read back with its schema."""
+    report = MX.binary_report(_lexicon_predictions(spark, d))
+    path = scratch_path(spark, "s11")
+    WR.write_metrics(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 # =====================================================================================
 # Head features before hashing (M7) and the samples reader
 # =====================================================================================
