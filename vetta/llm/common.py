@@ -6,6 +6,7 @@ import os
 import string
 import tempfile
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,13 +58,13 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to a fresh folder under the shared checkpoint root and read it back.
 
     It cuts the lineage like a checkpoint, survives lost executors, and lets later jobs
     read only the columns they need."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -108,3 +109,37 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
                      .filter("u <> v").distinct(), "edges")
         if live.isEmpty():
             return roots
+
+
+def linked(member: DataFrame, confirm: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> DataFrame:
+    """``node, root`` of the components that candidate buckets and ``confirm`` give.
+
+    ``member``: ``band, node, busy`` rows of buckets with two nodes at least; ``confirm``
+    keeps the true links of ``u, v`` pairs. In a star round every node of a bucket meets only
+    the bucket's busiest node; then buckets whose nodes share a component are done. The last
+    round compares what is left across components, so no link between components is missed,
+    and a bucket of like nodes is never expanded into all its pairs."""
+    spark = member.sparkSession
+    seen, links = empty(spark, "u long, v long"), empty(spark, "u long, v long")
+    roots = empty(spark, "node long, root long")
+    for step in range(star_rounds + 1):
+        own = member.join(roots, "node", "left") \
+            .select("band", "node", "busy", F.coalesce("root", "node").alias("root"))
+        unlike = own.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
+            .filter("low <> high").select("band")
+        own = own.join(unlike, "band")
+        if step < star_rounds:
+            hub = own.groupBy("band").agg(F.max(F.struct("busy", "node", "root")).alias("hub"))
+            met = own.join(hub, "band").filter("root <> hub.root") \
+                .select(F.col("hub.node").alias("u"), F.col("node").alias("v"))
+        else:
+            met = own.alias("a").join(own.alias("b"), F.expr("a.band = b.band and a.root < b.root")) \
+                .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+        met = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        met = table(met.join(seen, ["u", "v"], "left_anti"), "met")
+        if met.isEmpty():
+            break
+        seen = seen.union(met)
+        links = links.union(table(confirm(met), "links"))
+        roots = components(links)
+    return roots

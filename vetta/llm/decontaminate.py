@@ -11,7 +11,7 @@ what is broadcast is bounded; all rows of the corpus meet every block.
 
 Cases: null or empty texts match nothing; items shorter than ``SHORTEST`` normalised
 characters are not searched (they would match by chance); an empty benchmark leaves all
-documents clean; repeated items or rows change nothing; other columns are never read.
+documents clean; items that share an id are one item with several texts; repeated rows get equal results; other columns are never read.
 """
 
 from __future__ import annotations
@@ -80,12 +80,12 @@ class Matcher:
     """One block of items: an automaton of their pieces, and the items."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.items = {i: (t, budget(t, rate)) for i, t in items}
-        self.reach = max((len(t) + 2 * e + 2 for t, e in self.items.values()), default=0)
+        self.items = [(i, t, budget(t, rate)) for i, t in items]
+        self.reach = max((len(t) + 2 * e + 2 for _, t, e in self.items), default=0)
         found: dict[str, list[tuple[int, int]]] = {}
-        for i, (t, e) in self.items.items():
+        for k, (_, t, e) in enumerate(self.items):
             for offset, piece in pieces(t, e):
-                found.setdefault(piece, []).append((i, offset))
+                found.setdefault(piece, []).append((k, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, owners in found.items():
             self.automaton.add_word(piece, (len(piece), owners))
@@ -101,17 +101,17 @@ class Matcher:
             part = text[max(0, begin - self.reach):begin + STRETCH + self.reach]
             windows: dict[int, list[tuple[int, int]]] = {}
             for end, (size, owners) in self.automaton.iter(part):
-                for i, offset in owners:
-                    length, errors = len(self.items[i][0]), self.items[i][1]
+                for k, offset in owners:
+                    length, errors = len(self.items[k][1]), self.items[k][2]
                     a = end + 1 - size - offset - errors
                     b = a + length + 2 * errors
-                    spans = windows.setdefault(i, [])
+                    spans = windows.setdefault(k, [])
                     if spans and a <= spans[-1][1] and b - spans[-1][0] <= 2 * (length + 2 * errors):
                         spans[-1] = (min(a, spans[-1][0]), max(b, spans[-1][1]))
                     else:
                         spans.append((a, b))
-            for i, spans in windows.items():
-                item, errors = self.items[i]
+            for k, spans in windows.items():
+                i, item, errors = self.items[k]
                 for a, b in spans:
                     if out.get(i, errors + 1) == 0:
                         break
@@ -168,10 +168,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per document: ``doc_id, contaminated, n_items, item_ids, min_distance``."""
     found = hits(docs, benchmark, text_col, item_id, item_text, rate)
     rows = docs.select(F.col(id_col).alias("doc_id"), _joined(found).alias("found"))
+    ids = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["item_id"])))
     return rows.select("doc_id", (F.size("found") > 0).alias("contaminated"),
-                       F.size("found").cast("long").alias("n_items"),
-                       F.array_sort(F.array_distinct(F.transform("found", lambda x: x["item_id"])))
-                       .alias("item_ids"),
+                       F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"),
                        F.array_min(F.transform("found", lambda x: x["distance"])).alias("min_distance"))
 
 

@@ -29,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, empty, id_and_text, ship, table
+from .common import id_and_text, linked, ship, table
 from .shingles import groups_of, mix, shingle_sets
 
 WIDTH, BANDS, ROWS = 5, 25, 5
 NUMERATOR, DENOMINATOR = 85, 100
-STAR_ROUNDS = 2
 #: Shingles of a set hashed at once per coordinate block.
 BLOCK = 1 << 14
 
@@ -156,7 +155,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: in
 def linked_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int,
                  numerator: int, denominator: int) -> DataFrame:
     """``node, root`` for nodes with at least one confirmed link."""
-    spark = docs.sparkSession
     member = nodes.select("node", F.explode("bands").alias("band"))
     sizes = member.groupBy("band").count().filter("count > 1")
     member = table(member.join(sizes, "band").select("band", "node", F.col("count").alias("size")), "buckets")
@@ -164,32 +162,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     wanted = table(busy.join(nodes.select("node", "doc_id"), "node"), "wanted")
     sets = table(full_sets(docs, wanted, id_col, text_col, width), "sets")
     member = table(member.join(wanted.select("node", "busy"), "node").select("band", "node", "busy"), "members")
-    seen, links, roots = None, empty(spark, "u long, v long"), empty(spark, "node long, root long")
-    for step in range(STAR_ROUNDS + 1):
-        own = member.join(roots, "node", "left") \
-            .select("band", "node", "busy", F.coalesce("root", "node").alias("root"))
-        open_ = own.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
-            .filter("low <> high").select("band")
-        own = own.join(open_, "band")
-        if step < STAR_ROUNDS:
-            hub = own.groupBy("band").agg(F.max(F.struct("busy", "node", "root")).alias("hub"))
-            met = own.join(hub, "band").filter("root <> hub.root") \
-                .select(F.col("hub.node").alias("u"), F.col("node").alias("v"))
-        else:
-            met = own.alias("a").join(own.alias("b"), F.expr("a.band = b.band and a.root < b.root")) \
-                .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-        met = met.distinct()
-        if seen is not None:
-            either = seen.union(seen.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            met = met.join(either, ["u", "v"], "left_anti")
-        met = table(met, "met")
-        if met.isEmpty():
-            break
-        seen = met if seen is None else seen.union(met)
-        links = links.union(table(confirmed(similar_enough(met, nodes, numerator, denominator), sets,
-                                            numerator, denominator), "links"))
-        roots = components(links)
-    return roots
+    return linked(member, lambda pairs: confirmed(
+        similar_enough(pairs, nodes, numerator, denominator), sets, numerator, denominator))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,

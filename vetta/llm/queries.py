@@ -7,7 +7,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, near_dedup
+from . import (byte_bpe, decontaminate, exact_dedup, interpolated_lm, language_id, licenses, line_dedup,
+               near_dedup, pii, suffix_dedup)
 from .common import LOWER, UPPER
 
 
@@ -15,14 +16,38 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of the registered query; a real run passes its own secret.
+PII_KEY = "example-key"
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_read(spark, sf_dir, "documents"))
 
 
+def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score(_read(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.cut_repeats(_read(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_read(spark, sf_dir, "documents"), PII_KEY)
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(_read(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -66,8 +91,13 @@ from n join c on c.node = n.doc_id
 """
 
 QUERIES = {
+    "op1_line_dedup": (op1_line_dedup, None),
     "op2_language_id": (op2_language_id, None),
+    "op3_interpolated_lm": (op3_interpolated_lm, None),
     "op4_exact_dedup": (op4_exact_dedup, OP4_SQL),
+    "op5_suffix_dedup": (op5_suffix_dedup, None),
+    "op6_pii": (op6_pii, None),
+    "op7_licenses": (op7_licenses, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_near_dedup": (op9_near_dedup, OP9_SQL),
     "op10_decontaminate": (op10_decontaminate, None),
