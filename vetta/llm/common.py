@@ -41,6 +41,13 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("string").alias("doc_id"), text_of(text_col).alias("text"))
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` as one struct column ``row`` beside working columns, whose names then cannot
+    clash with those of the table; ``select("row.*")`` gives the table back."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, *[c.alias(name) for name, c in columns.items()])
+
+
 def text_of(column: Column | str) -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

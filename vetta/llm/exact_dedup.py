@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, text_of
+from .common import ascii_lower, packed, table, text_of
 
 MIN_CHUNK, MAX_CHUNK = 256, 2048
 
@@ -75,12 +75,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts; columns unchanged."""
     kept = exact_groups(docs, id_col, text_col).filter("kept") \
-        .groupBy(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")) \
-        .agg(F.count("*").alias("_same"))
-    sha = F.sha2(ascii_lower(text_of(text_col)), 256)
-    stay = docs.withColumn("_sha", sha).join(
-        kept, F.col(id_col).eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    once = stay.filter("_same = 1").select(*cols)
-    again = stay.filter("_same > 1").dropDuplicates([id_col, "_sha"]).select(*cols)
-    return once.unionByName(again)
+        .groupBy("doc_id", "text_sha256").agg(F.count("*").alias("same"))
+    rows = packed(docs, id=F.col(id_col), sha=F.sha2(ascii_lower(text_of(text_col)), 256))
+    stay = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("sha") == F.col("text_sha256")))
+    again = stay.filter("same > 1").dropDuplicates(["id", "sha"])
+    return stay.filter("same = 1").select("row.*").unionByName(again.select("row.*"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_and_text, linked, ship, table
+from .common import id_and_text, linked, packed, ship, table
 from .shingles import groups_of, mix, shingle_sets
 
 WIDTH, BANDS, ROWS = 5, 25, 5
@@ -190,5 +190,6 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
               numerator: int = 80, denominator: int = 100) -> DataFrame:
     """``docs`` with the smallest id of each near-duplicate component; columns unchanged."""
     kept = near_components(docs, id_col, text_col, width, numerator, denominator).filter("kept") \
-        .select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
+        .select("doc_id").distinct()
+    return packed(docs, id=F.col(id_col)).join(kept, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi") \
+        .select("row.*")
