@@ -14,13 +14,19 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Fixed value: how a decimal number is written.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def parse_label(c) -> Column:
     """``"0"``/``"1"`` or anything whose float truncates to 0/1; otherwise null (invalid).
 
     ``0.9`` -> 0, ``-0.5`` -> 0, ``1e0`` -> 1; ``2``, ``nan``, ``inf``, empty -> null.
-    Nested ``try_cast`` keeps ANSI mode from throwing on NaN/inf.
+    Nested ``try_cast`` keeps ANSI mode from throwing on NaN/inf; the number pattern keeps
+    out what only the cast would take (``1d``, ``0f``).
     """
-    as_double = strip_ws(_c(c).cast("string")).try_cast("double")
+    text = strip_ws(_c(c).cast("string"))
+    as_double = F.when(text.rlike(NUMBER), text).try_cast("double")
     as_int = as_double.try_cast("int")
     return F.when(as_int.isin(0, 1), as_int)
 

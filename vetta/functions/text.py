@@ -39,8 +39,14 @@ TWEET_CHAIN = [
     ("RT", ""),
 ]
 
+# Every code point of WS_CLASS, for the linear trim.
+WS_CHARS = "".join(chr(c) for c in [*range(9, 14), *range(0x1c, 0x21), 0x85, 0xa0, 0x1680,
+                                    *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000])
+
 # Fixed value: the pattern that finds JSON objects (nesting depth at most one) in free text.
-JSON_OBJECT = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}"
+# The quantifiers are possessive: the classes do not overlap, so matches are the same, and
+# the matcher neither backtracks nor recurses once per nested group.
+JSON_OBJECT = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
 
 
 def _c(c) -> Column:
@@ -53,8 +59,8 @@ def collapse_ws(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_c(c), f"^{WS}+|{WS}+$", "")
+    """Python ``str.strip()``: remove Unicode whitespace at both ends (linear in the text)."""
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def clean_tweet(c) -> Column:
@@ -95,8 +101,7 @@ def lexicon_hit(c, words: Iterable[str], whole_word: bool = False) -> Column:
         return F.lit(0)
     low = F.lower(_c(c))
     if whole_word:
-        alt = "|".join(_regex_quote(w) for w in words)
-        hit = low.rlike(f"(?<!{WORD})(?:{alt})(?!{WORD})")
+        hit = low.rlike(whole_word_pattern(words))
     else:
         hit = None
         for w in words:
@@ -105,8 +110,10 @@ def lexicon_hit(c, words: Iterable[str], whole_word: bool = False) -> Column:
     return F.when(_c(c).isNull(), F.lit(None)).otherwise(hit.cast("int"))
 
 
-def _regex_quote(w: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() else ch for ch in w)
+def whole_word_pattern(words: Iterable[str]) -> str:
+    """The one matcher of whole lexicon words: every word is quoted."""
+    alt = "|".join("".join("\\" + ch if not ch.isalnum() else ch for ch in w) for w in words)
+    return f"(?<!{WORD})(?:{alt})(?!{WORD})"
 
 
 def label_line(label, text, positive_value=1,

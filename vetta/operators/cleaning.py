@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 
 from vetta.functions.labels import band, parse_label
 from vetta.functions.text import (
-    collapse_ws, has_ascii_letter, json_object_candidates, rating_text, strip_dashes,
-    strip_ws,
+    has_ascii_letter, json_object_candidates, rating_text, strip_dashes, strip_ws,
 )
 
 
@@ -67,6 +66,7 @@ def render_message(df: DataFrame, out: str = "user_message", null_token: str = "
                    description: str = "description", review: str = "review",
                    rating: str = "rating", response: str = "response") -> DataFrame:
     """Six labelled lines joined by newlines; nulls print as ``null_token``."""
+    # The six field labels, in this order.
     parts = [
         F.concat(F.lit("Business Name: "), _txt(F.col(name), null_token)),
         F.concat(F.lit("Category: "), _txt(F.col(category), null_token)),
@@ -121,7 +121,7 @@ def parse_labels(df: DataFrame, cols: Sequence[str], strict: bool = False
         bad = cond if bad is None else (bad | cond)
     errors = F.concat_ws("; ", *[
         F.when(F.col(f"__p_{c}").isNull(),
-               F.concat(F.lit(f"column '{c}' must be 0 or 1, got "),
+               F.concat(F.lit(f"{c}: not a 0/1 flag: "),
                         F.coalesce(F.col(c).cast("string"), F.lit("null"))))
         for c in cols])
     if strict:
@@ -142,21 +142,23 @@ def drop_placeholders(df: DataFrame, col: str = "review", word: str = "fallback"
 # ---------------------------------------------------------------- free text -> JSON
 def extract_json(df: DataFrame, col: str, schema: T.StructType,
                  keep: Sequence[str] = ()) -> DataFrame:
-    """One row per brace group in ``col`` that parses as a JSON object with ``schema``.
+    """One row per brace group in ``col`` that parses as a JSON object.
 
-    Groups that do not parse are dropped (they surface in ``_corrupt`` before the filter).
+    Every field is read as text and then cast, so a value of another type than ``schema``
+    asks for (``"rating": "5"``) costs that value at most (null), never the object.
+    Groups that are not JSON are dropped.
     """
-    fields = list(schema.fields) + [T.StructField("_corrupt", T.StringType())]
-    parse_schema = T.StructType(fields)
+    read = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]
+                        + [T.StructField("_corrupt", T.StringType())])
     exploded = df.select(*[F.col(k) for k in keep],
                          F.posexplode(json_object_candidates(col)).alias("obj_pos", "obj"))
     parsed = exploded.withColumn(
-        "_j", F.from_json("obj", parse_schema,
+        "_j", F.from_json("obj", read,
                           {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
                            "allowSingleQuotes": "false"}))
     return (parsed.filter(F.col("_j").isNotNull() & F.col("_j._corrupt").isNull())
             .select(*[F.col(k) for k in keep], "obj_pos",
-                    *[F.col(f"_j.{f.name}").alias(f.name) for f in schema.fields]))
+                    *[F.col(f"_j.{f.name}").try_cast(f.dataType).alias(f.name) for f in schema.fields]))
 
 
 # ---------------------------------------------------------------- requests
@@ -187,7 +189,3 @@ def clean_sentences(df: DataFrame, col: str = "text") -> DataFrame:
     """Drop nulls, strip leading dashes then whitespace, keep rows with an ASCII letter."""
     out = drop_null(df).withColumn(col, strip_dashes(col))
     return keep_alphabetic(out, col)
-
-
-def normalise_text(df: DataFrame, col: str = "text") -> DataFrame:
-    return df.withColumn(col, collapse_ws(col))

@@ -332,7 +332,7 @@ def q_p16v(spark, d):
 
 @register("p16_parse_labels_rejected", _with(R.SQL_HEAD_SAMPLES, _sql_parsed_samples()) +
           "SELECT doc_id, concat_ws('; ', " + ", ".join(
-              f"CASE WHEN p_{c} IS NULL THEN 'column ''{c}'' must be 0 or 1, got ' || coalesce({c}, 'null') END"
+              f"CASE WHEN p_{c} IS NULL THEN '{c}: not a 0/1 flag: ' || coalesce({c}, 'null') END"
               for c in _HEAD_CATS) + f") AS error FROM parsed WHERE {_sql_bad_cond()}")
 def q_p16r(spark, d):
     _, bad = C.parse_labels(R.head_samples(spark, d), _HEAD_CATS)
@@ -433,7 +433,7 @@ _SQL_OBJS = f"""objs AS (
   WHERE json_valid(obj) AND json_type(obj) = 'OBJECT'),
 parsed AS (
   SELECT batch_id, class_type, obj_pos, json_extract_string(obj, '$.review') AS review,
-         TRY_CAST(json_extract(obj, '$.rating') AS DOUBLE) AS rating,
+         TRY_CAST(json_extract_string(obj, '$.rating') AS DOUBLE) AS rating,
          json_extract_string(obj, '$.business_name') AS business_name,
          json_extract_string(obj, '$.category') AS category,
          json_extract_string(obj, '$.description') AS description,

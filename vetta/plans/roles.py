@@ -180,24 +180,24 @@ def toxigen_gen(spark, d) -> DataFrame:
     return doc.join(lab, "doc_id", "left").select(
         F.col("doc_id"),
         F.replace(F.col("text"), F.lit("\n"), F.lit("\\n")).alias("prompt"),
-        F.substring("text", 1, 40).alias("generation"),
+        F.concat(F.lit("-- "), F.col("text")).alias("generation"),
         F.coalesce(F.col("toxic"), F.lit(0)).alias("prompt_label"))
 
 
 SQL_TOXIGEN_GEN = """toxigen_gen AS (
-  SELECT d.doc_id, replace(d.text, chr(10), '\\n') AS prompt, substr(d.text, 1, 40) AS generation,
+  SELECT d.doc_id, replace(d.text, chr(10), '\\n') AS prompt, '-- ' || d.text AS generation,
          coalesce(l.toxic, 0) AS prompt_label
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
 def toxigen_annotated(spark, d) -> DataFrame:
     doc = table(spark, d, "documents")
-    return doc.select(F.col("doc_id"), F.substring("text", 41, 80).alias("text"),
+    return doc.select(F.col("doc_id"), F.col("text"),
                       ((F.col("doc_id") % 11) * 0.5).alias("toxicity_human"))
 
 
 SQL_TOXIGEN_ANNOTATED = """toxigen_annotated AS (
-  SELECT doc_id, substr(text, 41, 80) AS text, (doc_id % 11) * 0.5 AS toxicity_human FROM documents)"""
+  SELECT doc_id, text, (doc_id % 11) * 0.5 AS toxicity_human FROM documents)"""
 
 
 def tweets(spark, d) -> DataFrame:
@@ -265,17 +265,23 @@ SQL_HEAD_SAMPLES = """head_samples AS (
 
 
 def llm_responses(spark, d) -> DataFrame:
-    """Free-text generation responses with JSON objects embedded (one per turn), plus a
-    broken brace group on every third turn."""
+    """Free-text generation responses with JSON objects embedded (one per turn, around the
+    whole turn text; some with quotes, braces and newlines), plus a broken brace group on
+    every third turn."""
     conv = table(spark, d, "conversations")
     cls = F.element_at(F.array(*[F.lit(c) for c in CLASSES]),
                        (F.col("conv_id") % 5 + 1).cast("int"))
-    snippet = F.when(F.col("turn") % 4 == 3,
-                     F.concat(F.lit("Fallback "), cls, F.lit(" review")))\
-        .otherwise(F.regexp_replace(F.substring("text", 1, 30), r'["\\{}\n\r\t]', ""))
-    obj = F.concat(F.lit('{"review": "'), snippet, F.lit('", "rating": '),
-                   (F.col("turn") % 5 + 1).cast("string"), F.lit(', "business_name": "B'),
-                   F.col("conv_id").cast("string"), F.lit('"}'))
+    review = F.when(F.col("turn") % 4 == 3, F.concat(F.lit("Fallback "), cls, F.lit(" review"))) \
+        .when(F.col("turn") % 4 == 2, F.concat(F.lit('she said "no" \\ {once}\n'), F.col("text"))) \
+        .otherwise(F.col("text"))
+    stars = (F.col("turn") % 5 + 1).cast("string")
+    # every other rating is a JSON string; the object's text is whatever the conversation holds
+    obj = F.when(F.col("conv_id") % 2 == 0, F.to_json(F.struct(
+        review.alias("review"), stars.alias("rating"),
+        F.concat(F.lit("B"), F.col("conv_id").cast("string")).alias("business_name")))) \
+        .otherwise(F.to_json(F.struct(
+            review.alias("review"), stars.cast("int").alias("rating"),
+            F.concat(F.lit("B"), F.col("conv_id").cast("string")).alias("business_name"))))
     content = F.concat(F.col("role"), F.lit(" wrote: "), obj,
                        F.when(F.col("turn") % 3 == 0, F.lit(' and {broken "x": }'))
                        .otherwise(F.lit("")))
@@ -286,11 +292,11 @@ def llm_responses(spark, d) -> DataFrame:
 SQL_LLM_RESPONSES = """llm_responses AS (
   SELECT conv_id * 1000 + turn AS batch_id,
          (['spam','advertisement','irrelevant_content','non_visitor_rant','toxicity'])[conv_id % 5 + 1] AS class_type,
-         role || ' wrote: ' || '{"review": "'
-           || CASE WHEN turn % 4 = 3
-                   THEN 'Fallback ' || (['spam','advertisement','irrelevant_content','non_visitor_rant','toxicity'])[conv_id % 5 + 1] || ' review'
-                   ELSE regexp_replace(substr(text, 1, 30), '["\\\\{}\\n\\r\\t]', '', 'g') END
-           || '", "rating": ' || CAST(turn % 5 + 1 AS VARCHAR) || ', "business_name": "B'
-           || CAST(conv_id AS VARCHAR) || '"}'
+         role || ' wrote: ' || CASE WHEN conv_id % 2 = 0
+           THEN CAST(to_json({'review': review, 'rating': CAST(turn % 5 + 1 AS VARCHAR), 'business_name': 'B' || CAST(conv_id AS VARCHAR)}) AS VARCHAR)
+           ELSE CAST(to_json({'review': review, 'rating': CAST(turn % 5 + 1 AS INTEGER), 'business_name': 'B' || CAST(conv_id AS VARCHAR)}) AS VARCHAR) END
            || CASE WHEN turn % 3 = 0 THEN ' and {broken "x": }' ELSE '' END AS content
-  FROM conversations)"""
+  FROM (SELECT *, CASE turn % 4
+          WHEN 3 THEN 'Fallback ' || (['spam','advertisement','irrelevant_content','non_visitor_rant','toxicity'])[conv_id % 5 + 1] || ' review'
+          WHEN 2 THEN 'she said "no" \\ {once}' || chr(10) || text ELSE text END AS review
+        FROM conversations))"""
