@@ -69,7 +69,7 @@ def shingle_sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
-def groups_of(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def groups_of(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` characters: bounds the work arrays."""
     a, size = 0, 0
     for i, t in enumerate(texts):
