@@ -115,9 +115,12 @@ def test_minhash_agreement_estimates_similarity():
     assert abs(agree - 800 / 1200) < 0.08
 
 
+BLANK = " \t\n\x0b\f\r"
+STEP = re.compile(f"(?s)[\x21-\u2E7F]{{1,{line_dedup.STEP}}}[{BLANK}]*|[^{BLANK}][{BLANK}]*|[{BLANK}]+")
+
+
 def line_set(line):
-    w = line_dedup.WIDTH
-    return {line} if len(line) <= w else {line[i:i + w] for i in range(len(line) - w + 1)}
+    return {line[m.start():m.start() + line_dedup.WIDTH] for m in STEP.finditer(line)}
 
 
 def test_lines_against_brute_force(spark):
