@@ -71,13 +71,13 @@ def test_model_cascade_scores_survivors_only(spark):
             return df.join(probs.select("id", *cols), "id")
         return run
 
-    v = cascade(probs.select("id"), stage(["safety_prob"], 1),
+    v = cascade(probs.select("id", F.lit("words").alias("text")), stage(["safety_prob"], 1),
                 stage(["ad_prob", "irrelevant_prob", "rant_prob", "unsafe_prob"], 2),
                 stage(["advertisement_prob", "irrelevant_content_prob", "non_visitor_rant_prob",
                        "toxicity_prob"], 3))
     got = {r.id: (r.stage, r.decision) for r in v.collect()}
     assert got == {1: (1, "reject"), 2: (2, "reject"), 3: (3, "reject"), 4: (3, "accept")}
-    assert sorted(r.id for r in seen[3].collect()) == [3, 4]
+    assert sorted(r.id for r in seen[3].filter("text <> ''").collect()) == [3, 4]
     counts = verdict_summary(v).agg(F.sum("reviews")).first()[0]
     assert counts == 4
 
@@ -93,18 +93,30 @@ def test_stream_equals_batch(spark):
     assert a == b and len(a) == 200
 
 
-def test_release_unpersists_stage_frames(spark):
-    from vetta.operators.cascade import _PERSISTED, release
+def test_missing_scores_are_quarantined(spark):
     probs = _probs(spark)
-
-    def add(cols):
-        return lambda df: df.join(probs.select("id", *cols), "id")
-    v = cascade(probs.select("id"), add(["safety_prob"]),
-                add(["ad_prob", "irrelevant_prob", "rant_prob", "unsafe_prob"]),
-                add(["advertisement_prob", "irrelevant_content_prob", "non_visitor_rant_prob",
-                     "toxicity_prob"]))
-    frames = list(_PERSISTED[id(v)])
-    assert all(f.is_cached for f in frames)
-    v.count()
-    release(v)
-    assert not any(f.is_cached for f in frames) and id(v) not in _PERSISTED
+    one = probs.filter("id = 4")
+    cases = [one.withColumn("id", F.lit(10)).withColumn("safety_prob", F.lit(None).cast("double")),
+             one.withColumn("id", F.lit(11)).withColumn("rant_prob", F.lit(None).cast("double")),
+             one.withColumn("id", F.lit(12)).withColumn("toxicity_prob", F.lit(None).cast("double"))]
+    df = probs
+    for c in cases:
+        df = df.unionByName(c)
+    got = {r.id: (r.stage, r.decision, r.reasons) for r in cascade_rules(df).collect()}
+    assert got[10] == (1, "quarantine", ["no safety_prob"])
+    assert got[11] == (2, "quarantine", ["no rant_prob"])
+    assert got[12] == (3, "quarantine", ["no toxicity_prob"])
+    assert len(got) == 7
+
+
+def test_settings_of_the_gate(spark):
+    scores = spark.createDataFrame([(1, "ad", "__label__pos", 0.9), (2, "other", "__label__pos", 0.9)],
+                                   "id int, head string, label string, prob double")
+    twice = spark.createDataFrame([("ad", 0.5, True), ("ad", 0.6, True)], "head string, threshold double, enabled boolean")
+    with pytest.raises(ValueError):
+        or_gate(scores, ["ad"], twice)
+    off = spark.createDataFrame([("ad", None, False)], "head string, threshold double, enabled boolean")
+    with pytest.raises(ValueError):
+        or_gate(scores, ["ad"], off)
+    got = {r.id: (r.decision, r.fired) for r in or_gate(scores, ["ad"]).collect()}
+    assert got == {1: ("bad", ["ad"]), 2: ("good", [])}

@@ -19,10 +19,10 @@ def test_join_business_fanout_and_null_safe(spark):
                                 "id long, gmap_id string, name string")
     meta = spark.createDataFrame([("g1", "B1"), ("g1", "B1 again"), (None, "Bnull")],
                                  "gmap_id string, name string")
-    j = TB.join_business(rev, meta)
+    j = TB.join_business(rev, meta, null_safe=True)
     assert set(j.columns) == {"id", "gmap_id", "name_x", "name_y"}
     assert sorted((r.id, r.name_y) for r in j.collect()) == [(1, "B1"), (1, "B1 again"), (3, "Bnull")]
-    assert TB.join_business(rev, meta, null_safe=False).count() == 2
+    assert TB.join_business(rev, meta).count() == 2
 
 
 def test_prompt_pairs_last_wins(spark):
@@ -78,3 +78,33 @@ def test_dense_index_equals_row_number(spark, parts):
     assert a == b
     sizes = {(r.g, r.n) for r in got.select("g", "n").distinct().collect()}
     assert sizes == {(r.g, r["count"]) for r in df.groupBy("g").count().collect()}
+
+
+def test_null_strata_stay(spark):
+    df = spark.createDataFrame([(i, [None, "a", "b"][i % 3], f"text {i}") for i in range(30)], "id long, g string, t string")
+    parts = O.split(df, "id", 0.7, 1, stratify="g")
+    counts = {(r.g, r.split): r["count"] for r in parts.groupBy("g", "split").count().collect()}
+    assert counts == {(g, s): n for g in (None, "a", "b") for s, n in (("train", 7), ("test", 3))}
+    folded = O.folds(df, "id", 5, 1, stratify="g")
+    assert folded.count() == 30 and {r["count"] for r in folded.groupBy("g", "fold").count().collect()} == {2}
+    assert O.split(df, "id", 1.0).filter("split = 'train'").count() == 30
+    assert O.split(df, "id", 0.0).filter("split = 'test'").count() == 30
+
+
+def test_prepare_reviews_is_one_row_a_review_on_any_partitioning(spark):
+    from vetta.plans import jobs as J
+    rev = spark.createDataFrame([(1, "g", "ann", "fine", 4.0, None), (2, "g", "bob", "ok", 3.0, None)],
+                                "id long, gmap_id string, name string, text string, rating double, resp string")
+    meta = [("g", "B", ["x"], "d"), ("g", "A", ["y"], "d"), ("g", "A", ["y"], "d")]
+    for n in (1, 2, 3):
+        m = spark.createDataFrame(meta, "gmap_id string, name string, category array<string>, description string").repartition(n)
+        got = J.prepare_reviews(rev, m).orderBy("id").collect()
+        assert [(r.id, r.business_name) for r in got] == [(0, "A"), (1, "A")]
+
+
+def test_blank_rows_leave_the_head_table(spark):
+    from vetta.plans import jobs as J
+    rows = [(1, "1", "0", "some text"), (2, " ", None, "\t"), (3, "x", "0", "text")]
+    lines, bad = J.head_training_table(spark.createDataFrame(rows, "doc_id long, spam string, ad string, text string"),
+                                       categories=["spam", "ad"])
+    assert {r.doc_id for r in lines.collect()} == {1} and [r.doc_id for r in bad.collect()] == [3]

@@ -159,3 +159,41 @@ def test_whitespace_class_matches_python(spark):
     got = [r[0] for r in df.select(collapse_ws("t")).collect()]
     assert got == ["a b"] * len(chars)
     assert F is not None
+
+
+def test_json_objects_in_hostile_text(spark):
+    from pyspark.sql import types as T
+    from vetta.operators import cleaning as C
+    sch = T.StructType([T.StructField("review", T.StringType()), T.StructField("rating", T.DoubleType())])
+    nested = "{" + "{a}" * 20000 + "}"
+    rows = [(1, nested), (2, 'x {"review": "says \\"no\\" {once}", "rating": "5"} y'), (3, '{"rating": "many"} {bad'), (4, None)]
+    got = C.extract_json(spark.createDataFrame(rows, "id int, t string"), "t", sch, keep=["id"]).collect()
+    assert sorted((r.id, r.review, r.rating) for r in got if r.id == 2) == [(2, 'says "no" {once}', 5.0)]
+    assert [(r.review, r.rating) for r in got if r.id == 3] == [(None, None)] and {r.id for r in got} == {2, 3}
+
+
+def test_strip_is_linear_and_label_numbers_strict(spark):
+    import time
+    from pyspark.sql import functions as F
+    from vetta.functions.labels import parse_label
+    from vetta.functions.text import strip_ws
+    t0 = time.time()
+    text = "a" + " " * 60000 + "b"
+    assert spark.createDataFrame([(f"\u2003\n {text}\x1f ",)], "t string").select(strip_ws("t")).first()[0] == text
+    assert time.time() - t0 < 20
+    df = spark.createDataFrame([(x,) for x in ["1d", "0f", "1", " 0.9 ", "+1", "1e0", ".5", "1_0", "0x1", "nan"]], "t string")
+    assert [r[0] for r in df.select(parse_label(F.col("t"))).collect()] == [None, None, 1, 0, 1, 1, 0, None, None, None]
+
+
+def test_whole_words_are_quoted_everywhere(spark):
+    from vetta.functions.text import lexicon_hit
+    from vetta.operators.features import lexicon_join, lexicon_stage
+    df = spark.createDataFrame([(1, "pay a$$ now"), (2, "pay a now"), (3, "It's BAD stuff"), (4, None), (5, "very bad idea")],
+                               "id int, text string")
+    words = ["a$$", "it's", "bad idea"]
+    stage = lexicon_stage(words, "text", "lex", whole_word=True).transform(df)
+    assert {r.id: r.lex for r in stage.collect()} == {1: 1.0, 2: 0.0, 3: 1.0, 4: 0.0, 5: 1.0}
+    hits = df.select("id", lexicon_hit("text", words, whole_word=True).alias("h")).collect()
+    assert {r.id: r.h for r in hits} == {1: 1, 2: 0, 3: 1, 4: None, 5: 1}
+    table = spark.createDataFrame([("bad idea",), ("Stuff",)], "word string")
+    assert {r.id: r.lexicon for r in lexicon_join(df, "id", "text", table).collect()} == {1: 0, 2: 0, 3: 1, 4: None, 5: 1}

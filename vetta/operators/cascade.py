@@ -1,11 +1,14 @@
-"""Cheap-first cascade (C1) and its verdict summary."""
+"""Cheap-first cascade (C1) and its verdict summary.
+
+Every request gets one verdict: ``accept``, ``reject`` or ``quarantine``. A review is
+quarantined, with the reason, when it cannot be judged: an incomplete request (stage 0) or
+a score that is missing at the stage that needs it."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetta.operators.gate import fire, or_gate_wide
@@ -16,87 +19,82 @@ DEFAULT_HEAD_THRESHOLD = 0.7
 STAGE3_LABELS = ["advertisement", "irrelevant_content", "non_visitor_rant", "toxicity"]
 
 
+def _missing(cols: Sequence[str]) -> Column:
+    """Reasons for the score columns that are null."""
+    return F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in cols]))
+
+
+def _verdicts(g: DataFrame, id_col: str, safety_prob: str, heads: Sequence[str], labels: Sequence[str],
+              label_threshold: float, incomplete: Column | None) -> DataFrame:
+    """The verdict of each row from its scores and fired heads: one projection."""
+    p = F.col(safety_prob)
+    flagged = F.array_compact(F.array(*[F.when(F.col(f"{lab}_prob") > label_threshold, F.lit(lab))
+                                        for lab in labels]))
+    bad = F.lit("") if incomplete is None else F.coalesce(incomplete, F.lit(""))
+    g = g.withColumns({"__flag": flagged, "__bad": bad,
+                       "__no2": _missing([f"{h}_prob" for h in heads]),
+                       "__no3": _missing([f"{lab}_prob" for lab in labels])})
+    s0, s1 = F.col("__bad") != "", p > 0.5
+    s2, s3 = F.size("__fired") > 0, F.size("__flag") > 0
+    q1, q2, q3 = p.isNull(), F.size("__no2") > 0, F.size("__no3") > 0
+    stage = F.when(s0, 0).when(q1 | s1, 1).when(s2 | q2, 2).otherwise(3)
+    decision = (F.when(s0 | q1, "quarantine").when(s1 | s2, "reject").when(q2, "quarantine")
+                .when(s3, "reject").when(q3, "quarantine").otherwise("accept"))
+    reasons = (F.when(s0, F.array("__bad")).when(q1, F.array(F.lit(f"no {safety_prob}")))
+               .when(s1, F.array(F.lit("safety"))).when(s2, F.col("__fired")).when(q2, F.col("__no2"))
+               .when(s3, F.col("__flag")).otherwise(F.col("__no3")))
+    seen2 = ~s0 & ~q1 & ~s1
+    probs = F.create_map(*[x for lab in labels for x in (F.lit(lab), F.col(f"{lab}_prob"))])
+    return g.select(F.col(id_col), stage.alias("stage"), decision.alias("decision"),
+                    F.when(~s0, p).alias("safety_prob"), F.when(seen2, F.col("__fired")).alias("fired_heads"),
+                    reasons.alias("reasons"), F.when(seen2 & ~s2 & ~q2, probs).alias("label_probs"))
+
+
 def cascade_rules(df: DataFrame, id_col: str = "id", safety_prob: str = "safety_prob",
                   heads: Sequence[str] = STAGE2_HEADS,
                   head_threshold: float = DEFAULT_HEAD_THRESHOLD,
                   labels: Sequence[str] = STAGE3_LABELS,
-                  label_threshold: float = 0.5) -> DataFrame:
+                  label_threshold: float = 0.5, thresholds: Mapping | None = None,
+                  disabled: Sequence[str] = ()) -> DataFrame:
     """Cascade over given probability columns (``safety_prob``, ``<head>_prob``,
     ``<label>_prob``): one projection, no shuffle.
 
     Stage 1 rejects when the safety probability of class 1 is above 0.5; stage 2 when
-    any head fires at ``head_threshold``; stage 3 when any label probability is above
-    ``label_threshold``. Accepted reviews finish at stage 3.
+    any head that is not ``disabled`` fires at its threshold; stage 3 when any label
+    probability is above ``label_threshold``. Accepted reviews finish at stage 3.
     """
-    g = or_gate_wide(df, heads, default_threshold=head_threshold, out="__fired")
-    s1 = F.col(safety_prob) > 0.5
-    s2 = F.size("__fired") > 0
-    flagged = F.filter(F.array(*[F.when(F.col(f"{lab}_prob") > label_threshold, F.lit(lab))
-                                 for lab in labels]), lambda x: x.isNotNull())
-    g = g.withColumn("__flag", flagged)
-    s3 = F.size("__flag") > 0
-    stage = F.when(s1, F.lit(1)).when(s2, F.lit(2)).otherwise(F.lit(3))
-    decision = F.when(s1 | s2 | s3, F.lit("reject")).otherwise(F.lit("accept"))
-    reasons = (F.when(s1, F.array(F.lit("safety")))
-               .when(s2, F.col("__fired"))
-               .otherwise(F.col("__flag")))
-    label_probs = F.when(~s1 & ~s2, F.create_map(*[x for lab in labels
-                                                   for x in (F.lit(lab), F.col(f"{lab}_prob"))]))
-    return g.select(F.col(id_col), stage.alias("stage"), decision.alias("decision"),
-                    F.col(safety_prob).alias("safety_prob"),
-                    F.when(~s1, F.col("__fired")).alias("fired_heads"),
-                    reasons.alias("reasons"), label_probs.alias("label_probs"))
+    g = or_gate_wide(df, heads, default_threshold=head_threshold, thresholds=thresholds,
+                     disabled=disabled, out="__fired")
+    on = [h for h in heads if h not in disabled]
+    return _verdicts(g, id_col, safety_prob, on, labels, label_threshold, None)
 
 
-def cascade(df: DataFrame, stage1, stage2, stage3, id_col: str = "id",
+def cascade(df: DataFrame, stage1: Callable, stage2: Callable, stage3: Callable, id_col: str = "id",
             heads: Sequence[str] = STAGE2_HEADS, head_threshold: float = DEFAULT_HEAD_THRESHOLD,
             labels: Sequence[str] = STAGE3_LABELS, label_threshold: float = 0.5,
-            storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
-    """Model cascade: each stage scores only the survivors of the previous one.
+            thresholds: Mapping | None = None, disabled: Sequence[str] = (),
+            texts: Sequence[str] = ("text",), incomplete: str | None = None) -> DataFrame:
+    """Model cascade in one pass: each stage scores only the survivors of the previous one.
 
     ``stage1(df) -> df + safety_prob``; ``stage2(df) -> df + <head>_prob``;
-    ``stage3(df) -> df + <label>_prob``. Each scored frame is persisted once and split
-    into rejects and survivors, so no row is scored twice and expensive features are
-    never built for rows an earlier stage rejected.
+    ``stage3(df) -> df + <label>_prob``. The ``texts`` of a row that is already decided are
+    blanked before the next stage, so its expensive features are never built; nothing is
+    cached and no row is read twice. ``incomplete`` names a column with the reason why a
+    request cannot be scored (blank: complete).
     """
-    s1 = stage1(df).persist(storage)
-    rej1 = s1.filter(F.col("safety_prob") > 0.5)
-    keep1 = s1.filter(~(F.col("safety_prob") > 0.5))
-    s2 = or_gate_wide(stage2(keep1), heads, default_threshold=head_threshold,
-                      out="fired_heads").persist(storage)
-    rej2 = s2.filter(F.size("fired_heads") > 0)
-    keep2 = s2.filter(F.size("fired_heads") == 0)
-    s3 = stage3(keep2)
-    flagged = F.filter(F.array(*[F.when(F.col(f"{lab}_prob") > label_threshold, F.lit(lab))
-                                 for lab in labels]), lambda x: x.isNotNull())
-    s3 = s3.withColumn("reasons", flagged)
-    lp = F.create_map(*[x for lab in labels for x in (F.lit(lab), F.col(f"{lab}_prob"))])
-    null_heads = F.lit(None).cast("array<string>")
-    null_map = F.lit(None).cast("map<string,double>")
-    v1 = rej1.select(id_col, F.lit(1).alias("stage"), F.lit("reject").alias("decision"),
-                     "safety_prob", null_heads.alias("fired_heads"),
-                     F.array(F.lit("safety")).alias("reasons"), null_map.alias("label_probs"))
-    v2 = rej2.select(id_col, F.lit(2).alias("stage"), F.lit("reject").alias("decision"),
-                     "safety_prob", "fired_heads", F.col("fired_heads").alias("reasons"),
-                     null_map.alias("label_probs"))
-    v3 = s3.select(id_col, F.lit(3).alias("stage"),
-                   F.when(F.size("reasons") > 0, F.lit("reject")).otherwise(F.lit("accept"))
-                   .alias("decision"), "safety_prob", "fired_heads", "reasons",
-                   lp.alias("label_probs"))
-    out = v1.unionByName(v2).unionByName(v3)
-    _PERSISTED[id(out)] = [s1, s2]
-    return out
-
-
-# frames a cascade persisted, keyed by the verdict frame they feed
-_PERSISTED: dict[int, list[DataFrame]] = {}
-
-
-def release(verdicts: DataFrame) -> None:
-    """Unpersist the stage frames behind ``verdicts`` once its output has been written
-    (a streaming ``foreachBatch`` calls this after every micro-batch)."""
-    for df in _PERSISTED.pop(id(verdicts), []):
-        df.unpersist()
+    def only(frame: DataFrame, alive: Column) -> DataFrame:
+        alive = F.coalesce(alive, F.lit(False))
+        return frame.withColumns({c: F.when(alive, F.coalesce(F.col(c), F.lit(""))).otherwise(F.lit("")) for c in texts})
+
+    complete = F.lit(True) if incomplete is None else F.coalesce(F.col(incomplete), F.lit("")) == ""
+    s1 = stage1(only(df, complete))
+    alive = complete & (F.col("safety_prob") <= 0.5)
+    s2 = or_gate_wide(stage2(only(s1, alive)), heads, default_threshold=head_threshold,
+                      thresholds=thresholds, disabled=disabled, out="__fired")
+    s3 = stage3(only(s2, alive & (F.size("__fired") == 0)))
+    on = [h for h in heads if h not in disabled]
+    return _verdicts(s3, id_col, "safety_prob", on, labels, label_threshold,
+                     None if incomplete is None else F.col(incomplete))
 
 
 def verdict_summary(verdicts: DataFrame) -> DataFrame:
@@ -104,5 +102,5 @@ def verdict_summary(verdicts: DataFrame) -> DataFrame:
     return verdicts.groupBy("stage", "decision").agg(F.count(F.lit(1)).alias("reviews"))
 
 
-__all__ = ["cascade_rules", "cascade", "release", "verdict_summary", "fire", "STAGE2_HEADS",
+__all__ = ["cascade_rules", "cascade", "verdict_summary", "fire", "STAGE2_HEADS",
            "STAGE3_LABELS", "DEFAULT_HEAD_THRESHOLD"]

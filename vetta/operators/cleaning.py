@@ -165,12 +165,17 @@ def extract_json(df: DataFrame, col: str, schema: T.StructType,
 REQUEST_FIELDS = ("name", "category", "description", "review", "rating")
 
 
+def request_errors(fields: Sequence[str] = REQUEST_FIELDS) -> Column:
+    """The missing fields of a request; a field is missing when null or blank."""
+    return F.concat_ws("; ", *[
+        F.when(F.col(f).isNull() | (F.length(strip_ws(F.col(f).cast("string"))) == 0),
+               F.lit(f"missing {f}")) for f in fields])
+
+
 def validate_requests(df: DataFrame, fields: Sequence[str] = REQUEST_FIELDS
                       ) -> tuple[DataFrame, DataFrame]:
-    """Split requests into (valid, rejected); a field is missing when null or blank."""
-    checks = [F.when(F.col(f).isNull() | (F.length(strip_ws(F.col(f).cast("string"))) == 0),
-                     F.lit(f"missing {f}")) for f in fields]
-    tagged = df.withColumn("error", F.concat_ws("; ", *checks))
+    """Split requests into (valid, rejected with ``error``)."""
+    tagged = df.withColumn("error", request_errors(fields))
     ok = F.col("error") == ""
     return tagged.filter(ok).drop("error"), tagged.filter(~ok)
 

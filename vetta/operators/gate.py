@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vetta.operators.tables import bounded_broadcast
-
 POSITIVE = "__label__pos"
 
 
@@ -32,12 +30,16 @@ def fire_top1(label, prob, threshold=None, positive: str = POSITIVE) -> Column:
 
 
 def check_settings(settings: DataFrame | None, heads: Sequence[str]) -> None:
-    """Fail when every head in ``heads`` is disabled (the settings table is small)."""
-    if settings is None:
+    """Fail when a head in ``heads`` has two settings rows or every one is disabled. One row
+    of counts reaches the driver, whatever the table's size."""
+    if settings is None or not heads:
         return
-    rows = bounded_broadcast(settings.select("head", "enabled"), 100_000).collect()
-    disabled = {r["head"] for r in rows if r["enabled"] is False}
-    if heads and all(h in disabled for h in heads):
+    own = settings.filter(F.col("head").isin(list(heads)))
+    row = own.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("head").alias("heads"),
+                  F.count_if(~F.coalesce(F.col("enabled"), F.lit(True))).alias("off")).first()
+    if row["n"] != row["heads"]:
+        raise ValueError("a head has more than one settings row")
+    if row["off"] == len(set(heads)):
         raise ValueError("all heads are disabled")
 
 
@@ -48,19 +50,21 @@ def or_gate(scores: DataFrame, heads: Sequence[str], settings: DataFrame | None
 
     ``settings(head, threshold, enabled)`` overrides the default threshold per head and
     can switch heads off; heads without an entry use the default. Only ``heads`` count,
-    in that order. Output: ``id, decision ('bad'|'good'), fired (array, head order)``.
+    in that order; an id that has none of them is ``good``.
+    Output: ``id, decision ('bad'|'good'), fired (array, head order)``.
     """
     check_settings(settings, heads)
     order = F.create_map(*[x for i, h in enumerate(heads) for x in (F.lit(h), F.lit(i))])
-    s = scores.filter(F.col("head").isin(list(heads)))
+    s = scores
     if settings is not None:
-        st = bounded_broadcast(settings.select("head", "threshold", "enabled"), 100_000)
+        # at most one row a head (checked), so the table is as small as the head list
+        st = F.broadcast(settings.filter(F.col("head").isin(list(heads))).select("head", "threshold", "enabled"))
         s = s.join(st, "head", "left")
         thr = F.coalesce(F.col("threshold"), F.lit(default_threshold))
         enabled = F.coalesce(F.col("enabled"), F.lit(True))
     else:
         thr, enabled = F.lit(default_threshold), F.lit(True)
-    fired = enabled & fire_top1("label", "prob", thr, positive)
+    fired = F.col("head").isin(list(heads)) & enabled & fire_top1("label", "prob", thr, positive)
     per = s.select(id_col, F.when(fired, F.struct(order[F.col("head")].alias("o"),
                                                    F.col("head").alias("h"))).alias("f"))
     agg = per.groupBy(id_col).agg(F.array_sort(F.collect_list("f")).alias("__f"))

@@ -4,19 +4,17 @@ sums, per-model metrics) reach the driver."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import SQLTransformer, VectorAssembler, Word2Vec
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-import json
 
 from vetta.operators.features import head_feature_stages, safety_feature_stages, tfidf_stages
 from vetta.operators.metrics import bce_terms
@@ -64,75 +62,100 @@ def reg_param(c: float, weight_sum: float) -> float:
     return 1.0 / (c * weight_sum)
 
 
-ROWS_PER_FIT_PARTITION = 20_000
-
-
-def _coalesced(df: DataFrame, n_rows: int | None = None) -> DataFrame:
-    """L-BFGS runs one or more jobs per iteration, so per-task overhead and the tree
-    aggregation of dense gradients dominate when partitions are tiny. Size the partition
-    count from the row count (about ``ROWS_PER_FIT_PARTITION`` rows each), never above
-    the core count or the input's own count; a large input keeps full parallelism."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    want = cores if n_rows is None else max(1, -(-n_rows // ROWS_PER_FIT_PARTITION))
-    return df.coalesce(max(1, min(df.rdd.getNumPartitions(), cores, want)))
+def _fit_frame(df: DataFrame, partitions: int | None) -> DataFrame:
+    """The feature frame a fit iterates over, cached. Features are built at the input's full
+    width; ``partitions`` merges the result, as L-BFGS pays for a dense gradient and a task
+    per partition in every iteration (None: as it is). It never depends on the data's size."""
+    return (df if partitions is None else df.coalesce(partitions)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # ------------------------------------------------------------------ safety model (M1-M6)
 def fit_safety(df: DataFrame, words: Sequence[str], text: str = "text", label: str = "label",
-               params: Mapping = SAFETY_BEST, c: float = 1.0, tol: float = 1e-4) -> PipelineModel:
-    """TF-IDF || lexicon -> weighted L2 logistic regression at one parameter point."""
-    data, wsum, n = class_weight_col(df.select(text, F.col(label).cast("double").alias("label")),
+               params: Mapping = SAFETY_BEST, c: float = 1.0, tol: float = 1e-4,
+               partitions: int | None = None) -> PipelineModel:
+    """TF-IDF || lexicon -> weighted L2 logistic regression at one parameter point. The text
+    is read once into a cached token frame, and the features once into a cached frame."""
+    data, wsum, _ = class_weight_col(df.select(text, F.col(label).cast("double").alias("label")),
                                      "label", params["class_weight"])
-    data = _coalesced(data, n).persist(StorageLevel.MEMORY_AND_DISK)
-    stages = safety_feature_stages(words, text, tuple(params["ngram"]), params["min_df"],
-                                   params["max_features"])
+    feats, frame = _fit_features(data, safety_feature_stages(
+        words, text, tuple(params["ngram"]), params["min_df"], params["max_features"]))
+    train = _fit_frame(frame.select("features", "label", "weight"), partitions)
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                             maxIter=int(params["max_iter"]), regParam=reg_param(c, wsum),
                             elasticNetParam=0.0, standardization=False, tol=tol)
-    model = Pipeline(stages=[*stages, lr]).fit(data)
-    data.unpersist()
+    model = PipelineModel(stages=[*feats, lr.fit(train)])
+    train.unpersist()
     return model
 
 
+def _fit_features(data: DataFrame, stages: Sequence) -> tuple[list, DataFrame]:
+    """Fit feature stages one after the other; what the counting estimators read repeatedly
+    (the terms) is cached while they do. Returns (fitted stages, transformed frame)."""
+    fitted, frame, cached = [], data, None
+    for st in stages:
+        if not hasattr(st, "fit"):
+            model = st
+        else:
+            if cached is None:
+                cached = frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+            model = st.fit(frame)
+        fitted.append(model)
+        frame = model.transform(frame)
+    if cached is not None:
+        _CACHED_TERMS.append(cached)
+        while len(_CACHED_TERMS) > 1:        # the previous fit's terms are no longer read
+            _CACHED_TERMS.pop(0).unpersist()
+    return fitted, frame
+
+
+_CACHED_TERMS: list[DataFrame] = []
+
+
 def search_safety(df: DataFrame, words: Sequence[str], fold_col: str = "fold",
                   text: str = "text", label: str = "label", grid: Mapping = SAFETY_GRID,
-                  c: float = 1.0, parallelism: int = 4):
-    """Grid search with given folds (``fold_col``), scored by F1 of class 1; the best
-    point is refit on all rows. Returns (best PipelineModel, [(params, mean F1)])."""
-    base = df.select(text, F.col(label).cast("double").alias("label"), F.col(fold_col).cast("int"))
-    weight_cols, sums, n = {}, {}, None
-    for i, w in enumerate(grid["class_weight"]):
-        base, s, n = class_weight_col(base, "label", w, out=f"w{i}")
-        weight_cols[i], sums[i] = f"w{i}", s
-    k = base.select(fold_col).distinct().count()
-    base = _coalesced(base, n).persist(StorageLevel.MEMORY_AND_DISK)
-    stages = safety_feature_stages(words, text, (1, 2), 1.0, 1 << 18)
-    cv_stage = next(s for s in stages if s.__class__.__name__ == "CountVectorizer")
-    cat_stage = next(s for s in stages if isinstance(s, SQLTransformer)
-                     and "__terms" in s.getStatement())
-    lr = LogisticRegression(featuresCol="features", labelCol="label", standardization=False,
-                            tol=1e-4)
-    maps, points = [], []
+                  c: float = 1.0, tol: float = 1e-4, partitions: int | None = None):
+    """Grid search with given folds (``fold_col``), scored by F1 of class 1; the best point
+    (the first among equals) is refit on all rows. Features are built once per (feature
+    setting, fold); "balanced" weights and the regularisation come from the rows fitted on.
+    A point that differs only in ``max_iter`` is not fitted again where the smaller limit was
+    not reached. Returns (best PipelineModel, [(params, mean F1)])."""
+    base = df.select(text, F.col(label).cast("double").alias("label"), F.col(fold_col).cast("int").alias("__f"))
+    numbers = [r[0] for r in base.select("__f").distinct().orderBy("__f").collect()]   # k folds
+    iters = sorted(grid["max_iter"])
+    totals: dict[tuple, float] = {}
     for md in grid["min_df"]:
         for mf in grid["max_features"]:
             for ng in grid["ngram"]:
-                stmt = ("SELECT *, concat(`__tok`, `__ng2`) AS __terms FROM __THIS__"
-                        if tuple(ng)[1] >= 2 else "SELECT *, `__tok` AS __terms FROM __THIS__")
-                for mi in grid["max_iter"]:
+                for k in numbers:
+                    feats, train = _fit_features(base.filter(F.col("__f") != k),
+                                                 safety_feature_stages(words, text, tuple(ng), md, mf))
+                    train = _fit_frame(train.select("features", "label"), partitions)
+                    val = _fit_frame(PipelineModel(stages=feats).transform(base.filter(F.col("__f") == k))
+                                     .select("features", "label"), partitions)
                     for i, w in enumerate(grid["class_weight"]):
-                        maps.append({cv_stage.minDF: float(md), cv_stage.vocabSize: int(mf),
-                                     cat_stage.statement: stmt, lr.maxIter: int(mi),
-                                     lr.weightCol: weight_cols[i],
-                                     lr.regParam: reg_param(c, sums[i] * (k - 1) / k)})
-                        points.append({"min_df": md, "max_features": mf, "ngram": tuple(ng),
-                                       "max_iter": mi, "class_weight": w})
-    ev = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0,
-                                           labelCol="label", predictionCol="prediction")
-    cv = CrossValidator(estimator=Pipeline(stages=[*stages, lr]), estimatorParamMaps=maps,
-                        evaluator=ev, foldCol=fold_col, parallelism=parallelism)
-    model = cv.fit(base)
-    base.unpersist()
-    return model.bestModel, list(zip(points, model.avgMetrics))
+                        weighted, wsum, _ = class_weight_col(train, "label", w)
+                        f1 = None
+                        for mi in iters:
+                            if f1 is None or model.summary.totalIterations >= done:
+                                model = LogisticRegression(
+                                    featuresCol="features", labelCol="label", weightCol="weight", maxIter=int(mi),
+                                    regParam=reg_param(c, wsum), standardization=False, tol=tol).fit(weighted)
+                                f1 = _f1(model.transform(val), "label", "prediction")
+                            done = int(mi)
+                            at = (md, mf, tuple(ng), mi, i)
+                            totals[at] = totals.get(at, 0.0) + f1 / len(numbers)
+                    train.unpersist()
+                    val.unpersist()
+    scores = [({"min_df": md, "max_features": mf, "ngram": ng, "max_iter": mi,
+                "class_weight": grid["class_weight"][i]}, f1) for (md, mf, ng, mi, i), f1 in totals.items()]
+    best = max(scores, key=lambda x: x[1])[0]
+    return fit_safety(base.select(text, "label"), words, text, "label", best, c, tol, partitions), scores
+
+
+def _f1(df: DataFrame, truth: str, pred: str) -> float:
+    r = df.agg(F.count_if((F.col(truth) == 1) & (F.col(pred) == 1)).alias("tp"),
+               F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(pred) == 1).alias("pp")).first()
+    return 2 * r.tp / (r.pos + r.pp) if (r.pos + r.pp) else 0.0
 
 
 def score_safety(model: PipelineModel, df: DataFrame, out: str = "safety_prob") -> DataFrame:
@@ -149,7 +172,8 @@ def head_features(df: DataFrame, text: str = "text", **kw) -> DataFrame:
 def fit_heads(df: DataFrame, heads: Sequence[str], text: str = "text",
               label_suffix: str = "", max_iter: int = 50, reg: float = 1e-4, tol: float = 1e-4,
               skip_missing: bool = False, parallelism: int = 4,
-              val: DataFrame | None = None, grid: Sequence[Mapping] | None = None) -> dict:
+              val: DataFrame | None = None, grid: Sequence[Mapping] | None = None,
+              partitions: int | None = None) -> dict:
     """One binary logistic head per label column, all on one cached feature frame;
     the K fits run concurrently. A head without both classes is skipped (or an error).
 
@@ -160,8 +184,7 @@ def fit_heads(df: DataFrame, heads: Sequence[str], text: str = "text",
     stats = df.agg(F.count(F.lit(1)).alias("__n"),
                    *[F.min(c).alias(f"lo_{c}") for c in cols],
                    *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
-    # hashed char n-grams make rows dense (thousands of terms): keep every core busy
-    feats = _coalesced(head_features(df, text)).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = _fit_frame(head_features(df, text).select("features", *cols), partitions)
     vfeats = head_features(val, text).persist(StorageLevel.MEMORY_AND_DISK) \
         if (val is not None and grid) else None
     present = {}
@@ -190,10 +213,7 @@ def fit_heads(df: DataFrame, heads: Sequence[str], text: str = "text",
                 return h, m
             s = m.transform(vfeats).select(F.col(col).alias("t"),
                                            (prob1(f"__p_{h}") > 0.5).cast("int").alias("p"))
-            r = s.agg(F.count_if((F.col("t") == 1) & (F.col("p") == 1)).alias("tp"),
-                      F.count_if(F.col("t") == 1).alias("pos"),
-                      F.count_if(F.col("p") == 1).alias("pp")).first()
-            f1 = 2 * r.tp / (r.pos + r.pp) if (r.pos + r.pp) else 0.0
+            f1 = _f1(s, "t", "p")
             if best_f1 is None or f1 > best_f1:
                 best, best_f1 = m, f1
         return h, best
@@ -209,22 +229,56 @@ def fit_heads(df: DataFrame, heads: Sequence[str], text: str = "text",
 # ------------------------------------------------------------------ persistence
 def save_safety(model: PipelineModel, path: str, params: Mapping | None = None) -> None:
     """Save the fitted pipeline (standard stages only) and, when given, the chosen
-    parameters as a one-row JSON next to it."""
+    parameters as one JSON text next to it (numbers stay numbers)."""
     model.write().overwrite().save(f"{path.rstrip('/')}/model")
     if params is not None:
-        from vetta.sources.writers import write_metrics
-        spark = SparkSession.getActiveSession()
-        row = {k: (list(v) if isinstance(v, tuple) else
-                   (json.dumps({str(a): b for a, b in v.items()}) if isinstance(v, dict) else v))
-               for k, v in params.items()}
-        write_metrics(spark.createDataFrame([{k: str(v) for k, v in row.items()}]),
-                      f"{path.rstrip('/')}/best_params")
+        _save_json(params, f"{path.rstrip('/')}/best_params")
 
 
 def load_safety(path: str) -> PipelineModel:
     return PipelineModel.load(f"{path.rstrip('/')}/model")
 
 
+def load_params(path: str) -> dict:
+    """The saved parameters; pairs and class maps come back as they were."""
+    out = _load_json(f"{path.rstrip('/')}/best_params")
+    if isinstance(out.get("ngram"), list):
+        out["ngram"] = tuple(out["ngram"])
+    if isinstance(out.get("class_weight"), dict):
+        out["class_weight"] = {int(k): v for k, v in out["class_weight"].items()}
+    return out
+
+
+def _save_json(value, path: str) -> None:
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _load_json(path: str):
+    return json.loads(SparkSession.getActiveSession().read.text(path, wholetext=True).first()[0])
+
+
+def save_cascade(models, path: str) -> None:
+    """Save (safety, heads, (features, label models)) under one folder, with the names."""
+    safety, heads, (feats, ml) = models
+    root = path.rstrip("/")
+    save_safety(safety, f"{root}/safety")
+    for kind, own in (("heads", heads), ("labels", ml)):
+        for name, m in own.items():
+            m.write().overwrite().save(f"{root}/{kind}/{name}")
+    feats.write().overwrite().save(f"{root}/features")
+    _save_json({"heads": list(heads), "labels": list(ml)}, f"{root}/names")
+
+
+def load_cascade(path: str):
+    """What ``save_cascade`` saved; a missing model is an error."""
+    root = path.rstrip("/")
+    names = _load_json(f"{root}/names")
+    heads = {h: LogisticRegressionModel.load(f"{root}/heads/{h}") for h in names["heads"]}
+    ml = {lab: LogisticRegressionModel.load(f"{root}/labels/{lab}") for lab in names["labels"]}
+    return load_safety(f"{root}/safety"), heads, (PipelineModel.load(f"{root}/features"), ml)
+
+
 def score_heads(models: Mapping, df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``<head>_prob`` (probability of the positive label) for every head model."""
     feats = head_features(df, text)
@@ -238,19 +292,22 @@ def score_heads(models: Mapping, df: DataFrame, text: str = "text") -> DataFrame
 def fit_multilabel(train: DataFrame, labels: Sequence[str], text: str = "text",
                    val: DataFrame | None = None, max_iters: Sequence[int] = (50,),
                    vector_size: int = 32, reg: float = 1e-3, seed: int = 42,
-                   tol: float = 1e-4, parallelism: int = 4, min_count: int = 2):
+                   tol: float = 1e-4, parallelism: int = 4, min_count: int = 2,
+                   max_features: int = 1 << 18, w2v_partitions: int = 1, partitions: int | None = None):
     """Shared features (document-mean Word2Vec || TF-IDF) and one logistic model per label.
     With a validation frame, each ``maxIter`` candidate is fitted and the one with the
-    lowest validation log loss kept. Returns (feature PipelineModel, {label: model}, loss)."""
-    n = train.count()
+    lowest validation log loss kept. Returns (feature PipelineModel, {label: model}, loss).
+
+    ``max_features`` bounds the TF-IDF vocabulary (the most frequent terms); Word2Vec averages
+    over ``w2v_partitions`` parts, so that number is part of the model: raise it for speed on
+    a large corpus, and keep it for equal models."""
     feat_est = Pipeline(stages=[
-        *tfidf_stages(text, "tfidf", (1, 1), 1.0, 1 << 16),
+        *tfidf_stages(text, "tfidf", (1, 1), 1.0, max_features),
         Word2Vec(inputCol="__tok", outputCol="w2v", vectorSize=vector_size, minCount=min_count,
-                 seed=seed, maxIter=1, numPartitions=max(1, min(
-                     train.sparkSession.sparkContext.defaultParallelism, -(-n // 2000)))),
+                 seed=seed, maxIter=1, numPartitions=w2v_partitions),
         VectorAssembler(inputCols=["tfidf", "w2v"], outputCol="features")])
     feat_model = feat_est.fit(train)
-    tr = _coalesced(feat_model.transform(train), n).persist(StorageLevel.MEMORY_AND_DISK)
+    tr = _fit_frame(feat_model.transform(train).select("features", *labels), partitions)
     va = feat_model.transform(val).persist(StorageLevel.MEMORY_AND_DISK) if val is not None else None
     best, best_loss = None, None
     def fit_one(args):

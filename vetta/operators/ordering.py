@@ -1,12 +1,12 @@
 """Dense numbering, seeded shuffles, exact splits, folds and batches.
 
 ``dense_index`` is the one primitive: a 0-based position in a total order, optionally
-restarting per group. It never funnels rows through one partition: rows are range
-partitioned on the order, sorted inside each partition, frozen with a reliable
-checkpoint (so a lost executor recomputes nothing non-deterministic), and numbered
-with ``monotonically_increasing_id``. Only the per-(partition, group) counts -- at
-most partitions x groups-per-partition rows -- are aggregated to turn local
-positions into global ones.
+restarting per group. Only the order and group columns are range partitioned, sorted and
+frozen with a reliable checkpoint (so a lost executor recomputes nothing
+non-deterministic) and numbered with ``monotonically_increasing_id``; the payload joins
+the positions on the order columns. Per-(partition, group) counts turn local positions
+into global ones. A null group is a group like any other. ``split`` needs no numbering at
+all: hash-prefix counts give the one row per stratum at which the parts meet.
 """
 
 from __future__ import annotations
@@ -26,42 +26,47 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def dense_index(df: DataFrame, order: Sequence, by: Sequence[str] = (),
+def dense_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
                 out: str = "idx", group_size: str | None = None,
                 partitions: int | None = None) -> DataFrame:
-    """Add a 0-based position ``out`` following ``order`` (must be a total order),
-    restarting inside each ``by`` group. ``group_size`` optionally adds the group's row
-    count (no extra pass: it comes from the same count table)."""
+    """Add a 0-based position ``out`` following the columns ``order`` (``"-c"``: descending;
+    together a total order), restarting inside each ``by`` group (nulls are one group).
+    ``group_size`` optionally adds the group's row count from the same count table."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    by_c, order_c = _cols(by), _cols(order)
+    keys = list(dict.fromkeys([*by, *(c.removeprefix("-") for c in order)]))
+    sort = [*_cols(by), *[F.col(c[1:]).desc() if c.startswith("-") else F.col(c) for c in order]]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *by_c, *order_c)
-              .sortWithinPartitions(*by_c, *order_c)
+    narrow = (df.select(*keys).repartitionByRange(n, *sort).sortWithinPartitions(*sort)
               .checkpoint(eager=True))
-    mid = F.monotonically_increasing_id()
-    tagged = ranged.withColumn("__mid", mid).withColumns({
+    tagged = narrow.withColumn("__mid", F.monotonically_increasing_id()).withColumns({
         "__pid": F.shiftrightunsigned(F.col("__mid"), 33),
-        "__pos": F.col("__mid").bitwiseAND(F.lit(_LOW33)),
-    })
-    keys = ["__pid", *by]
-    counts = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
-                                       F.min("__pos").alias("__first"))
+        "__pos": F.col("__mid").bitwiseAND(F.lit(_LOW33))})
+    counts = tagged.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("__n"),
+                                              F.min("__pos").alias("__first"))
     w = Window.partitionBy(*by).orderBy("__pid")
     counts = counts.withColumn(
-        "__off", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                            F.lit(0)))
+        "__off", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    extra = [group_size] if group_size else []
     if group_size:
-        counts = counts.withColumn(
-            group_size, F.sum("__n").over(Window.partitionBy(*by)))
-    sel = ["__pid", *by, "__off", "__first"] + ([group_size] if group_size else [])
-    small = counts.select(*sel)
+        counts = counts.withColumn(group_size, F.sum("__n").over(Window.partitionBy(*by)))
+    small = counts.select(F.col("__pid").alias("__cpid"), *[F.col(c).alias(f"__c_{c}") for c in by],
+                          "__off", "__first", *extra)
     if not by:
         # one row per partition: bounded by the partition count, safe to broadcast
         small = F.broadcast(small)
-    joined = tagged.join(small, on=keys, how="inner")
-    result = joined.withColumn(out, F.col("__off") + F.col("__pos") - F.col("__first"))
-    return result.drop("__mid", "__pid", "__pos", "__off", "__first")
+    on = F.col("__pid") == F.col("__cpid")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__c_{c}"))
+    placed = tagged.join(small, on).select(
+        *keys, (F.col("__off") + F.col("__pos") - F.col("__first")).alias(out), *extra)
+    if set(df.columns) <= set(keys):
+        return placed.select(*df.columns, out, *extra)
+    right = placed.select(*[F.col(k).alias(f"__k_{k}") for k in keys], out, *extra)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return df.join(right, same).select(*df.columns, out, *extra)
 
 
 def shuffle_order(df: DataFrame, key: str, seed: int = 42, out: str = "idx") -> DataFrame:
@@ -70,22 +75,48 @@ def shuffle_order(df: DataFrame, key: str, seed: int = 42, out: str = "idx") ->
                        out=out).drop("__ord")
 
 
-def head_rows(df: DataFrame, order: Sequence, n: int) -> DataFrame:
-    """Row cap that keeps exactly the first ``n`` rows in ``order`` (top-k, not a sample)."""
-    return df.orderBy(*_cols(order)).limit(n)
+def head_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """Row cap that keeps exactly the first ``n`` rows in ``order`` (a total order). Rows are
+    numbered where they stand, so no task receives ``n`` rows of every partition."""
+    return dense_index(df, order, out="__i").filter(F.col("__i") < int(n)).drop("__i")
+
+
+#: Leading md5 hex digits counted to find where two parts meet (65,536 prefixes a stratum).
+PREFIX = 4
+
+
+def _cut_keys(df: DataFrame, key: str, ratio: float, stratify: str | None) -> DataFrame:
+    """One row per stratum: ``__s, __m, __k``, the (hash, key) of the first row of the second
+    part, null where the first part has every row. Only the rows of one hash prefix a
+    stratum are ranked."""
+    stratum = F.col(stratify) if stratify else F.lit(1)
+    rows = df.select(stratum.alias("__s"), F.col("__ord").alias("__m"), F.col(key).alias("__k"),
+                     F.substring("__ord", 1, PREFIX).alias("__p"))
+    counts = rows.groupBy("__s", "__p").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy("__s")
+    counts = counts.select("__s", "__p", "__n",
+                           F.sum("__n").over(w.orderBy("__p")).alias("__upto"), F.sum("__n").over(w).alias("__all"))
+    first = F.floor(F.col("__all") * F.lit(float(ratio)))
+    edge = counts.withColumn("__left", first - (F.col("__upto") - F.col("__n"))) \
+        .filter((F.col("__left") >= 0) & (F.col("__left") < F.col("__n"))) \
+        .select(F.col("__s").alias("__es"), F.col("__p").alias("__ep"), "__left")
+    inside = rows.join(edge, F.col("__s").eqNullSafe(F.col("__es")) & (F.col("__p") == F.col("__ep")))
+    place = F.row_number().over(Window.partitionBy("__s").orderBy("__m", "__k")) - 1
+    return inside.withColumn("__at", place).filter(F.col("__at") == F.col("__left")).select("__s", "__m", "__k")
 
 
 def split(df: DataFrame, key: str, ratio: float, seed: int = 42,
           stratify: str | None = None, out: str = "split",
           first: str = "train", second: str = "test") -> DataFrame:
-    """Exact seeded split: inside each stratum (or overall) the first ``floor(n*ratio)``
-    rows in md5 order go to ``first``, the rest to ``second``. Every row lands in one part."""
-    by = [stratify] if stratify else []
-    idx = dense_index(df.withColumn("__ord", md5_order(key, seed)), ["__ord", key], by=by,
-                      out="__i", group_size="__n")
-    cut = F.floor(F.col("__n") * F.lit(float(ratio)))
-    return (idx.withColumn(out, F.when(F.col("__i") < cut, F.lit(first)).otherwise(F.lit(second)))
-            .drop("__ord", "__i", "__n"))
+    """Exact seeded split: inside each stratum (or overall; null is a stratum) the first
+    ``floor(n*ratio)`` rows in (md5, key) order go to ``first``, the rest to ``second``.
+    Every row lands in one part, and no payload is moved to be ranked."""
+    keyed = df.withColumn("__ord", md5_order(key, seed))
+    cut = _cut_keys(keyed, key, ratio, stratify)
+    stratum = F.col(stratify) if stratify else F.lit(1)
+    joined = keyed.withColumn("__own", stratum).join(cut, F.col("__own").eqNullSafe(F.col("__s")), "left")
+    before = F.col("__m").isNull() | (F.struct(F.col("__ord"), F.col(key)) < F.struct("__m", "__k"))
+    return joined.select(*df.columns, F.when(before, F.lit(first)).otherwise(F.lit(second)).alias(out))
 
 
 def folds(df: DataFrame, key: str, k: int = 3, seed: int = 42,

@@ -16,12 +16,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def join_business(reviews: DataFrame, meta: DataFrame, key: str = "gmap_id",
-                  null_safe: bool = True, suffixes: tuple[str, str] = ("_x", "_y")
+                  null_safe: bool = False, suffixes: tuple[str, str] = ("_x", "_y")
                   ) -> DataFrame:
     """Inner equi-join of reviews and business metadata (many-to-many fan-out kept).
 
     Clashing column names get ``_x`` (review side) / ``_y`` (meta side). ``null_safe``
-    matches null keys with each other, as an in-memory merge does. The join strategy
+    matches null keys with each other, as an in-memory merge does; it is off by default,
+    as all null keys would then meet each other. The join strategy
     is left to the planner: AQE broadcasts the metadata when its runtime size is under
     the broadcast threshold and falls back to a skew-aware sort-merge join otherwise.
     """
@@ -34,24 +35,40 @@ def join_business(reviews: DataFrame, meta: DataFrame, key: str = "gmap_id",
     return r.join(m, cond, "inner").drop("__mkey")
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row per ``keys`` (nulls equal): the one with the smallest ``order``.
-
-    ``min_by`` aggregates partially before the shuffle, so a hot key costs one
-    partial row per input partition, not all its rows.
-    """
-    others = [c for c in df.columns if c not in keys]
-    packed = F.struct(*[F.col(c) for c in others]) if others else F.lit(None)
-    agg = df.groupBy(*keys).agg(F.min_by(packed, F.col(order)).alias("__row"))
-    return agg.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in others]).select(*df.columns)
-
-
-def keep_last(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+def _keep(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool,
+          unique_order: bool) -> DataFrame:
+    kinds = dict(df.dtypes)
+    hashed = [F.sha2(F.col(k), 256) if kinds[k] == "string" else F.col(k) for k in keys]
+    own = df.select("*", *[h.alias(f"__h{i}") for i, h in enumerate(hashed)])
+    names = [f"__h{i}" for i in range(len(keys))]
+    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    best = own.groupBy(*names).agg((F.max if last else F.min)(rank).alias("__best"))
+    right = best.select(*[F.col(n).alias(f"__r{n}") for n in names], "__best")
+    same = rank.eqNullSafe(F.col("__best"))
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"__r{n}"))
+    out = own.join(right, same, "left_semi")
+    if not unique_order:
+        out = out.dropDuplicates(names)
+    return out.select(*df.columns)
+
+
+def keep_first(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
+               unique_order: bool = True) -> DataFrame:
+    """One row per ``keys`` (nulls equal): the one with the smallest ``order`` (one or more
+    columns that tell the rows of a key apart; where they may not, ``unique_order=False``
+    keeps one of the rows that tie).
+
+    Text keys are compared by SHA-256, so the shuffle of the aggregation carries hashes and
+    order values only; it aggregates partially before, so a hot key costs one partial row
+    per input partition. The winners come back by a semi-join."""
+    return _keep(df, keys, [order] if isinstance(order, str) else list(order), False, unique_order)
+
+
+def keep_last(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
+              unique_order: bool = True) -> DataFrame:
     """One row per ``keys``: the one with the largest ``order`` (last wins)."""
-    others = [c for c in df.columns if c not in keys]
-    agg = df.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in others]),
-                                         F.col(order)).alias("__row"))
-    return agg.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in others]).select(*df.columns)
+    return _keep(df, keys, [order] if isinstance(order, str) else list(order), True, unique_order)
 
 
 def union_all(*dfs: DataFrame) -> DataFrame:
@@ -62,13 +79,6 @@ def union_all(*dfs: DataFrame) -> DataFrame:
     return out
 
 
-def attach_reviews(labels: DataFrame, reviews: DataFrame, key: str = "id",
-                   keep: Sequence[str] = ()) -> DataFrame:
-    """Labels left-join reviews on ``key``; keep the label columns plus ``keep``."""
-    r = reviews.select(key, *keep)
-    return labels.join(r, on=key, how="left")
-
-
 def prompt_pairs(reviews: DataFrame, labels: DataFrame, label_cols: Sequence[str],
                  review_key: str = "id", label_key: str = "job_id", seq: str = "seq",
                  prompt: str = "user_message") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vetta.functions.hashing import md5_order, pseudo_prob
-from vetta.functions.text import clean_tweet, collapse_ws, lexicon_hit
+from vetta.functions.text import NON_WS, clean_tweet, collapse_ws, lexicon_hit
 from vetta.operators import cleaning as C
 from vetta.operators import metrics as MX
 from vetta.operators import ordering as O
@@ -129,6 +129,14 @@ def q_p21(spark, d):
                       lexicon_hit("text", LEX, whole_word=True).alias("lexicon_whole_word"))
 
 
+@register("p21_lexicon_join", f"SELECT doc_id, {S.lexicon_whole_word('text', LEX)} AS lexicon FROM documents")
+def q_p21j(spark, d):
+    """Whole lexicon words by the join for large lists; here the list is the test lexicon."""
+    from vetta.operators.features import lexicon_join
+    words = spark.createDataFrame([(w,) for w in LEX], "word string")
+    return lexicon_join(R.table(spark, d, "documents"), "doc_id", "text", words)
+
+
 @register("p6_render_prompt", _with(R.SQL_REQUESTS) + f"""
 SELECT id, {S.strip_ws("replace(" + " || '            ' || ".join([
     "'Business Name: ' || coalesce(name, 'None')", "'Category: ' || coalesce(category, 'None')",
@@ -537,7 +545,7 @@ SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC,
 FROM documents""")
 def q_o3b(spark, d):
     doc = R.table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    return O.dense_index(doc, [F.col("n_chars").desc(), "doc_id"], by=["lang"],
+    return O.dense_index(doc, ["-n_chars", "doc_id"], by=["lang"],
                          group_size="lang_rows").select("doc_id", "lang", "idx", "lang_rows")
 
 
@@ -650,25 +658,46 @@ def q_j4bad(spark, d):
 # =====================================================================================
 # Profiles (A1, A2, A3)
 # =====================================================================================
-@register("a1_value_counts", """
-SELECT 'event_type' AS "column", event_type AS value, count(*) AS count FROM events
-WHERE event_type IS NOT NULL GROUP BY 1, 2
-UNION ALL
-SELECT 'user_id', CAST(user_id AS VARCHAR), count(*) FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2""")
+def _sql_value_counts(cols, table: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS count FROM {table} "
+        f"WHERE {c} IS NOT NULL GROUP BY 1, 2" for c in cols)
+
+
+def _sql_null_summary(cols, table: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM {table}"
+                              for c in cols)
+
+
+_DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
+_JIGSAW_COLS = ["doc_id", "id", "comment_text", *J.JIGSAW_FLAGS]
+
+
+@register("a1_value_counts", _sql_value_counts(_DOC_COLS, "documents"))
 def q_a1(spark, d):
-    return PF.value_counts(R.table(spark, d, "events"), ["event_type", "user_id"])
+    """Every column of the table."""
+    return PF.value_counts(R.table(spark, d, "documents"), None)
 
 
-@register("a2_null_summary", _with(R.SQL_JIGSAW_RAW) + """
-SELECT "column", nulls FROM (
-  SELECT 'comment_text' AS "column", count(*) FILTER (WHERE comment_text IS NULL) AS nulls, 1 AS o FROM jigsaw_raw
-  UNION ALL SELECT 'toxic', count(*) FILTER (WHERE toxic IS NULL), 2 FROM jigsaw_raw
-  UNION ALL SELECT 'severe_toxic', count(*) FILTER (WHERE severe_toxic IS NULL), 3 FROM jigsaw_raw
-  UNION ALL SELECT 'insult', count(*) FILTER (WHERE insult IS NULL), 4 FROM jigsaw_raw
-  UNION ALL SELECT 'identity_hate', count(*) FILTER (WHERE identity_hate IS NULL), 5 FROM jigsaw_raw)""")
+@register("a2_null_summary", _with(R.SQL_JIGSAW_RAW) + _sql_null_summary(_JIGSAW_COLS, "jigsaw_raw"))
 def q_a2(spark, d):
-    return PF.null_summary(R.jigsaw_raw(spark, d),
-                           ["comment_text", "toxic", "severe_toxic", "insult", "identity_hate"])
+    """Every column of the table."""
+    return PF.null_summary(R.jigsaw_raw(spark, d))
+
+
+@register("w8_profile", _with(R.SQL_JIGSAW_RAW) + f"""
+SELECT 'nulls' AS part, "column", CAST(NULL AS VARCHAR) AS value, nulls AS n FROM ({_sql_null_summary(_JIGSAW_COLS, 'jigsaw_raw')})
+UNION ALL SELECT 'values', "column", value, count FROM ({_sql_value_counts(J.JIGSAW_FLAGS, 'jigsaw_raw')})
+UNION ALL SELECT 'duplicates', NULL, NULL, CAST(coalesce(sum(c - 1), 0) AS BIGINT)
+          FROM (SELECT count(*) AS c FROM jigsaw_raw GROUP BY ALL)""".replace("GROUP BY ALL)", "GROUP BY " + ", ".join(_JIGSAW_COLS) + ")"))
+def q_w8(spark, d):
+    """The three parts of the profile in one table."""
+    values, nulls, dups = J.profile_table(R.jigsaw_raw(spark, d), J.JIGSAW_FLAGS)
+    none = F.lit(None).cast("string")
+    return nulls.select(F.lit("nulls").alias("part"), "column", none.alias("value"), F.col("nulls").alias("n")) \
+        .unionByName(values.select(F.lit("values").alias("part"), "column", "value", F.col("count").alias("n"))) \
+        .unionByName(dups.select(F.lit("duplicates").alias("part"), none.alias("column"), none.alias("value"),
+                                 F.col("duplicates").alias("n")))
 
 
 @register("a3_duplicate_count", """
@@ -848,7 +877,7 @@ from vetta.operators import features as FT  # noqa: E402
 def _sql_tfidf(min_df: int, max_features: int) -> str:
     tok = "regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}_]{2,}')"
     return f"""WITH toks AS (
-  SELECT l.doc_id, {tok} AS t FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+  SELECT d.doc_id, {tok} AS t FROM documents d),
 grams AS (
   SELECT doc_id, unnest(list_concat(t, CASE WHEN len(t) >= 2 THEN
            list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)) AS term
@@ -873,13 +902,18 @@ def _labelled_docs(spark, d) -> DataFrame:
 
 @register("m1_tfidf_relational", _sql_tfidf(2, 20000))
 def q_m1(spark, d):
-    return FT.tfidf_relational(_labelled_docs(spark, d), "doc_id", "text", (1, 2), 2, 20000)
+    return FT.tfidf_relational(R.table(spark, d, "documents"), "doc_id", "text", (1, 2), 2, 20000)
 
 
 # =====================================================================================
 # Models (M2-M9, M13-M15) and the model cascade: fitted models, rows-only checks
 # =====================================================================================
 from vetta.operators import models as MD  # noqa: E402
+from vetta.session import scratch_path  # noqa: E402
+
+
+#: The test tables are small: few partitions keep an optimiser's iteration short.
+FIT_PARTITIONS = 2
 
 
 def _safety_split(spark, d) -> DataFrame:
@@ -889,28 +923,58 @@ def _safety_split(spark, d) -> DataFrame:
 
 def _fit_safety_model(parts: DataFrame):
     return MD.fit_safety(parts.filter(F.col("split") == "train"), LEX, "text", "label",
-                         MD.SAFETY_BEST)
+                         MD.SAFETY_BEST, partitions=FIT_PARTITIONS)
 
 
-@register("m6_safety_scores", None)
+_SQL_SAFETY_PARTS = """parts AS (
+  SELECT l.doc_id, l.toxic, row_number() OVER (PARTITION BY l.toxic ORDER BY md5('42:' || CAST(l.doc_id AS VARCHAR)), l.doc_id) - 1
+           < floor(count(*) OVER (PARTITION BY l.toxic) * 0.75) AS train
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+
+
+@register("m6_safety_scores", _with(_SQL_SAFETY_PARTS) +
+          "SELECT doc_id, toxic AS truth, true AS in_range, true AS decided FROM parts WHERE NOT train")
 def q_m6(spark, d):
-    """Safety model at the published best point, trained on the 75 % part, scored on
-    the held-out 25 %: (doc_id, truth, safety_prob, pred)."""
+    """Safety model at the published best point, trained on the 75 % part, scored on the
+    held-out 25 %. What is exact whatever the weights: which rows are scored, their labels,
+    that every score is a probability, and the decision rule. (Quality floors are tests.)"""
     parts = _safety_split(spark, d)
     model = _fit_safety_model(parts)
     test = parts.filter(F.col("split") == "test").select("doc_id", "text", "label")
-    s = MD.score_safety(model, test)
-    return s.select("doc_id", F.col("label").alias("truth"), F.round("safety_prob", 6).alias("safety_prob"),
-                    (F.col("safety_prob") >= 0.5).cast("int").alias("pred"))
+    s = MD.score_safety(model, test).withColumn("pred", (F.col("safety_prob") >= 0.5).cast("int"))
+    return s.select("doc_id", F.col("label").alias("truth"), F.col("safety_prob").between(0, 1).alias("in_range"),
+                    ((F.col("pred") == 1) == (F.col("safety_prob") >= 0.5)).alias("decided"))
 
 
-@register("w10_safety_report", None)
+@register("w10_safety_report", _with(_SQL_SAFETY_PARTS, "t AS (SELECT * FROM parts WHERE NOT train)") + """
+SELECT '0' AS class, count(*) FILTER (WHERE toxic <> 1) AS support, true AS in_range FROM t
+UNION ALL SELECT '1', count(*) FILTER (WHERE toxic = 1), true FROM t
+UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), count(*), true FROM t""")
 def q_w10(spark, d):
-    """Split, fit at the published best point, held-out classification report."""
+    """Split, fit at the published best point, held-out classification report: its
+    classes and supports, and that every figure is a share."""
     docs = _labelled_docs(spark, d).select(F.col("doc_id").alias("id"), "text",
                                            F.col("toxic").alias("unsafe_label"))
-    _, _, report, _ = J.run_safety(docs, LEX)
-    return report
+    _, _, report, _ = J.run_safety(docs, LEX, partitions=FIT_PARTITIONS)
+    share = F.lit(True)
+    for c in ("precision", "recall", "f1"):
+        share = share & F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    return report.select("class", "support", share.alias("in_range"))
+
+
+@register("m4_grid_search", """
+SELECT * FROM (VALUES (2, 1, 'balanced', true), (2, 1, 'map', true)) t(min_df, ngram, class_weight, in_range)""")
+def q_m4(spark, d):
+    """Grid search over two points (one feature setting, two class weightings), two folds."""
+    docs = _labelled_docs(spark, d).select("doc_id", "text", F.col("toxic").alias("label"))
+    folded = O.folds(docs, "doc_id", 2, 42, "label")
+    grid = {"min_df": [2], "max_features": [5000], "ngram": [(1, 1)], "max_iter": [20, 40],
+            "class_weight": ["balanced", {0: 1.0, 1: 1.5}]}
+    _, scores = MD.search_safety(folded, LEX, grid=grid, partitions=FIT_PARTITIONS)
+    rows = {(p["min_df"], p["ngram"][1], "balanced" if p["class_weight"] == "balanced" else "map"): 0 <= f1 <= 1
+            for p, f1 in scores}
+    return spark.createDataFrame([(*k, ok) for k, ok in sorted(rows.items())],
+                                 "min_df int, ngram int, class_weight string, in_range boolean")
 
 
 def _head_parts(spark, d) -> DataFrame:
@@ -919,13 +983,18 @@ def _head_parts(spark, d) -> DataFrame:
     return O.split(good, "doc_id", 0.9, 42, first="train", second="eval")
 
 
-@register("w11_head_eval", None)
+@register("w11_head_eval", _SQL_W9.rsplit("SELECT split, category, doc_id, ", 1)[0] + """
+SELECT category AS head, count(*) FILTER (WHERE label = 1) AS positives, count(*) AS rows, true AS in_range
+FROM (""" + " UNION ALL ".join(f"SELECT split, '{c}' AS category, {c} AS label FROM parts" for c in _HEAD_CATS) + """)
+WHERE split = 'eval' GROUP BY category""")
 def q_w11(spark, d):
-    """W9 label lines -> one head per category trained on the train lines -> scored on
-    the eval lines -> confusion counts, precision/recall and warnings per head."""
+    """W9 label lines -> one head per category trained on the train lines -> scored on the
+    eval lines: supports per head, that the counts add up, and that the figures are shares."""
     lines, _ = J.head_training_table(R.head_samples(spark, d), key="doc_id")
-    _, report = J.run_heads(lines, _HEAD_CATS)
-    return report
+    _, report = J.run_heads(lines, _HEAD_CATS, partitions=4 * FIT_PARTITIONS)
+    return report.select("head", (F.col("tp") + F.col("fn")).alias("positives"),
+                         (F.col("tp") + F.col("fn") + F.col("fp") + F.col("tn")).alias("rows"),
+                         (F.col("precision").between(0, 1) & F.col("recall").between(0, 1)).alias("in_range"))
 
 
 def _multilabel_table(spark, d) -> DataFrame:
@@ -936,43 +1005,72 @@ def _multilabel_table(spark, d) -> DataFrame:
     return t.select(F.md5("text").alias("id"), "text", *_ENC)
 
 
-@register("w12_multilabel_report", None)
+_SQL_W12 = _with(R.SQL_LLM_LABELS, R.SQL_REVIEWS_RAW, R.SQL_BUSINESS_META, _SQL_REVIEWS_MSG, """t AS (
+  SELECT md5(r.user_message) AS id, TRY_CAST(l.advertisement AS INTEGER) AS advertisement,
+         TRY_CAST(l.irrelevant_content AS INTEGER) AS irrelevant_content,
+         TRY_CAST(l.non_visitor_rant AS INTEGER) AS non_visitor_rant, TRY_CAST(l.toxicity AS INTEGER) AS toxicity
+  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM llm_labels)
+        WHERE rn = 1) l JOIN reviews_msg r ON l.job_id = r.id)""", """v AS (
+  SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 < floor(count(*) OVER () * 0.8) AS train FROM t)
+  WHERE NOT train)""")
+
+
+@register("w12_multilabel_report", _SQL_W12 + "SELECT " + ", ".join(
+    f"count(*) FILTER (WHERE {c} = 1) > 0 AS {c}_reported" for c in _ENC) + ", true AS in_range FROM v")
 def q_w12(spark, d):
-    """Third stage, 80/20 split, fit with validation-loss selection, report."""
-    _, report = J.run_multilabel(_multilabel_table(spark, d), _ENC)
-    return report
+    """Third stage, 80/20 split, fit with validation-loss selection. A label is reported
+    exactly when the validation rows have a positive; the figures are shares."""
+    _, report = J.run_multilabel(_multilabel_table(spark, d), _ENC, w2v_partitions=4, partitions=FIT_PARTITIONS)
+    share = F.col("avg_loss") >= 0
+    for c in report.columns:
+        if c != "avg_loss":
+            share = share & F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    return report.select(*[F.col(f"{c}_f1").isNotNull().alias(f"{c}_reported") for c in _ENC], share.alias("in_range"))
 
 
 def fit_cascade_models(spark, d):
     """Fit the three stages on the labelled tables: (safety, heads, (features, labels))."""
     safety = _fit_safety_model(_safety_split(spark, d))
     hp = _head_parts(spark, d)
-    heads = MD.fit_heads(hp.filter(F.col("split") == "train"), STAGE2_HEADS, skip_missing=True)
-    feats, ml, _ = MD.fit_multilabel(_multilabel_table(spark, d), _ENC, max_iters=(30,))
+    heads = MD.fit_heads(hp.filter(F.col("split") == "train"), STAGE2_HEADS, skip_missing=True,
+                         partitions=4 * FIT_PARTITIONS)
+    feats, ml, _ = MD.fit_multilabel(_multilabel_table(spark, d), _ENC, max_iters=(30,),
+                                     w2v_partitions=4, partitions=FIT_PARTITIONS)
     return safety, heads, (feats, ml)
 
 
 def score_cascade(spark, d, models) -> DataFrame:
     """W13 scoring: requests -> completeness check -> serving prompt -> model cascade
     (safety on the review, heads on survivors' prompts, third stage on theirs)."""
-    safety, heads, (feats, ml) = models
-    v, _rejected = J.moderate(R.requests(spark, d),
-                              lambda df: MD.score_safety(safety, df),
-                              lambda df: MD.score_heads(heads, df),
-                              lambda df: MD.score_multilabel(feats, ml, df), list(heads))
+    v = J.moderate_with(R.requests(spark, d), models)
     return _flat_verdicts(v).withColumn("safety_prob", F.round("safety_prob", 6))
 
 
-@register("c1_cascade_models", None)
+@register("c1_cascade_models", _with(R.SQL_REQUESTS) + f"""
+SELECT id, error AS missing, error <> '' AS quarantined, true AS consistent FROM ({_sql_request_errors()})""")
 def q_c1m(spark, d):
-    """W13 end to end: fit the three stages, then moderate every request through them."""
-    return score_cascade(spark, d, fit_cascade_models(spark, d))
+    """W13 end to end: fit the three stages, save them, load them, and moderate every request
+    from the saved folder with per-head thresholds. Each request has one verdict. Exact
+    whatever the weights: the incomplete requests, and that stage, decision and reasons
+    follow from the scores."""
+    path = scratch_path(spark, "cascade")
+    MD.save_cascade(fit_cascade_models(spark, d), path)
+    v = J.moderate_with(R.requests(spark, d), MD.load_cascade(path), thresholds={"rant": 0.6}, disabled=["ad"])
+    p = F.col("safety_prob")
+    flagged = F.size(F.map_filter("label_probs", lambda k, x: x > 0.5)) > 0
+    follows = (F.when(F.col("stage") == 0, F.col("decision") == "quarantine")
+               .when(F.col("stage") == 1, (p > 0.5) & (F.col("decision") == "reject"))
+               .when(F.col("stage") == 2, (p <= 0.5) & (F.size("fired_heads") > 0) & (F.col("decision") == "reject"))
+               .otherwise((p <= 0.5) & (F.size("fired_heads") == 0) & (flagged == (F.col("decision") == "reject"))))
+    stopped = F.col("decision") == "quarantine"
+    return v.select("id", F.when(stopped, F.array_join("reasons", "; ")).otherwise("").alias("missing"),
+                    stopped.alias("quarantined"),
+                    (follows & ~F.coalesce(F.array_contains("fired_heads", "ad"), F.lit(False))).alias("consistent"))
 
 
 # =====================================================================================
 # Streaming (T1, T2): the stream is fed with JSON files Spark writes from the tables
 # =====================================================================================
-from vetta.session import scratch_path  # noqa: E402
 from vetta.sources import readers as RD  # noqa: E402
 from vetta.sources import writers as WR  # noqa: E402
 from vetta.streaming import dedup_stream, moderate_stream  # noqa: E402
@@ -981,9 +1079,9 @@ _DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()),
                             T.StructField("text", T.StringType())])
 
 
-def _feed_files(df: DataFrame, path: str, key: str, files: int = 4) -> None:
-    """Write ``df`` as JSON lines in ``files`` files (each file becomes one micro-batch)."""
-    df.repartition(files, key).write.mode("overwrite").json(path)
+def _feed_files(df: DataFrame, path: str) -> None:
+    """Write ``df`` as JSON-lines files, one per partition of the scan."""
+    df.write.mode("overwrite").json(path)
 
 
 @register("t1_stream_moderation", _with(R.sql_probabilities()) + _sql_cascade("probabilities"))
@@ -991,7 +1089,7 @@ def q_t1(spark, d):
     """Documents arrive as JSON files; every micro-batch is scored by the rule cascade in
     ``foreachBatch``; the sink (one folder per batch id) is read back. Equals C1."""
     base = scratch_path(spark, "t1")
-    _feed_files(R.table(spark, d, "documents").select("doc_id", "text"), f"{base}/in", "doc_id")
+    _feed_files(R.table(spark, d, "documents").select("doc_id", "text"), f"{base}/in")
     stream = spark.readStream.schema(_DOC_SCHEMA).option("maxFilesPerTrigger", 2).json(f"{base}/in")
     q = moderate_stream(stream, lambda b: _flat_verdicts(cascade_rules(R.probabilities_from(b))),
                         f"{base}/out", f"{base}/ckpt", available_now=True)
@@ -1012,7 +1110,7 @@ def q_t2(spark, d):
     distinct over the table."""
     base = scratch_path(spark, "t2")
     _feed_files(R.table(spark, d, "events").select("event_id", "ts", "user_id", "event_type"),
-                f"{base}/in", "event_id")
+                f"{base}/in")
     stream = spark.readStream.schema(_EVENT_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{base}/in")
     out = dedup_stream(stream, ["user_id", "event_type"], "ts", "3650 days")
     q = (out.select("user_id", "event_type").writeStream.format("parquet")
@@ -1065,11 +1163,11 @@ def q_s1r(spark, d):
 
 @register("o2_s1_first_records", "SELECT doc_id FROM documents ORDER BY doc_id LIMIT 250")
 def q_s1cap(spark, d):
-    """Row cap while reading: the first 250 good records in file order (one sorted file)."""
+    """Row cap while reading: the first 250 good records in file order (files in id order)."""
     doc = R.table(spark, d, "documents").select("doc_id", "source", "lang")
     path = scratch_path(spark, "s1cap")
-    doc.orderBy("doc_id").coalesce(1).select(F.to_json(F.struct("doc_id", "source", "lang"))
-                                             .alias("value")).write.text(path)
+    doc.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(
+        F.to_json(F.struct("doc_id", "source", "lang")).alias("value")).write.text(path)
     good, _ = RD.read_json_lines(spark, path, _S1_SCHEMA, limit=250)
     return good.select("doc_id")
 
@@ -1118,7 +1216,7 @@ def q_s3(spark, d):
         .withColumn("pos", F.col("i") % 20).drop("i", "seq")
     path = scratch_path(spark, "s10")
     WR.write_label_batches(batches, path)
-    return RD.read_label_batches(spark, path, _FLAGS5).select("job_id", *_FLAGS5)
+    return RD.read_label_batches(spark, path, _FLAGS5)[0].select("job_id", *_FLAGS5)
 
 
 @register("s11_metrics_roundtrip", QUERIES["a10_binary_report"][1])
@@ -1135,14 +1233,14 @@ def q_s11(spark, d):
 # Head features before hashing (M7) and the samples reader
 # =====================================================================================
 def _head_terms(text_col: str = "text"):
-    toks = FT.tokens(text_col)
+    toks = FT.head_tokens(text_col)
     words = F.concat(toks, FT.word_ngrams(toks, 2))
     chars = FT.char_ngrams(toks, 2, 5)
     return words, chars
 
 
 @register("m7_head_terms", """
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS toks FROM documents),
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '""" + NON_WS + """+') AS toks FROM documents),
 g AS (
   SELECT doc_id,
          list_concat(toks, CASE WHEN len(toks) >= 2 THEN
@@ -1173,4 +1271,41 @@ def q_s4(spark, d):
     (the first character decides)."""
     path = scratch_path(spark, "s4")
     R.head_samples(spark, d).write.mode("overwrite").json(path)
-    return RD.read_samples_json(spark, path, _S4_SCHEMA)
+    return RD.read_samples_json(spark, path, _S4_SCHEMA)[0]
+
+
+# =====================================================================================
+# Blank rows (P18), request files (S6), the toxicity pair
+# =====================================================================================
+@register("p18_drop_blank", """
+SELECT doc_id, lang, note FROM (
+  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '  ' ELSE lang END AS lang,
+         CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN chr(9) ELSE source END AS note FROM documents)
+WHERE doc_id % 5 <> 0""")
+def q_p18(spark, d):
+    doc = R.table(spark, d, "documents")
+    blank = F.col("doc_id") % 5 == 0
+    rows = doc.select("doc_id", F.when(blank, F.lit("  ")).otherwise(F.col("lang")).alias("lang"),
+                      F.when(blank, F.lit(None).cast("string")).when(F.col("doc_id") % 3 == 0, F.lit("\t"))
+                      .otherwise(F.col("source")).alias("note"))
+    return C.drop_blank(rows, ["lang", "note"])
+
+
+@register("s6_read_requests", _with(R.SQL_REQUESTS) + "SELECT name, category, description, review, rating FROM requests")
+def q_s6(spark, d):
+    """Requests written as JSON and read back with the request schema."""
+    path = scratch_path(spark, "s6")
+    R.requests(spark, d).drop("id").write.mode("overwrite").json(path)
+    return RD.read_requests(spark, path, multi_line=False)
+
+
+@register("s7_read_pair", _with(R.SQL_TOXIGEN_GEN, R.SQL_TOXIGEN_ANNOTATED) + """
+SELECT g.doc_id, g.prompt, g.prompt_label, a.toxicity_human FROM toxigen_gen g JOIN toxigen_annotated a USING (doc_id)""")
+def q_s7(spark, d):
+    """The two toxicity tables written as Parquet and read back as a pair."""
+    base = scratch_path(spark, "s7")
+    R.toxigen_gen(spark, d).write.parquet(f"{base}/generated")
+    R.toxigen_annotated(spark, d).write.parquet(f"{base}/annotated")
+    gen, ann = RD.read_parquet_pair(spark, f"{base}/generated", f"{base}/annotated")
+    return gen.join(ann.select("doc_id", "toxicity_human"), "doc_id") \
+        .select("doc_id", "prompt", "prompt_label", "toxicity_human")

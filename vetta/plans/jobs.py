@@ -30,12 +30,14 @@ GENERATION_CLASSES = ["spam", "advertisement", "irrelevant_content", "non_visito
 
 # ------------------------------------------------------------------ W1 prepare reviews
 def prepare_reviews(reviews: DataFrame, meta: DataFrame, order: str = "id",
-                    null_safe: bool = True) -> DataFrame:
+                    null_safe: bool = False) -> DataFrame:
     """reviews -> drop null text -> join business -> dedup (reviewer, text, business),
     first kept -> canonical columns -> lists as text -> dense id -> user_message."""
     r = drop_null(reviews, ["text"])
     j = join_business(r, meta, "gmap_id", null_safe=null_safe)
-    d = keep_first(j, ["name_x", "text", "gmap_id"], order)
+    # a business that is listed twice: its first listing by name, category, description
+    d = keep_first(j, ["name_x", "text", "gmap_id"], [order, "name_y", "category", "description"],
+                   unique_order=False)
     canon = select_renamed(d, {order: "src_order", "name_y": "business_name",
                                "category": "category", "description": "description",
                                "text": "review", "rating": "rating", "resp": "response"})
@@ -117,7 +119,7 @@ def head_training_table(samples: DataFrame, key: str = "doc_id", ratio: float =
                         positive_value: int = 1) -> tuple[DataFrame, DataFrame]:
     """Parse flags (invalid rows to the second frame), normalise text, drop empty text,
     exact seeded 90/10 split, one ``"<label> <text>"`` line per category."""
-    good, bad = parse_labels(drop_blank(samples), list(categories))
+    good, bad = parse_labels(drop_blank(samples, [*categories, "text"]), list(categories))
     good = good.withColumn("text", collapse_ws("text")).filter(F.length("text") > 0)
     parts = split(good, key, ratio, seed, out="split", first="train", second="eval")
     args = ", ".join(f"'{c}', `{c}`" for c in categories)
@@ -141,19 +143,21 @@ def response_json(labels: Sequence[str]):
 # ------------------------------------------------------------------ W11 heads from label lines
 def lines_to_wide(lines: DataFrame, categories: Sequence[str] = HEAD_CATEGORIES,
                   key: str = "doc_id", positive: str = "__label__pos") -> DataFrame:
-    """``(split, category, key, line)`` -> one row per (split, key, text) with a 0/1 column
-    per category. The pivot values are fixed, so it is one aggregation; a group holds one
-    line per category."""
+    """``(split, category, key, line)`` -> one row per (split, key) with its text and a 0/1
+    column per category; one aggregation, and a group holds one line per category."""
     from vetta.functions.text import NON_WS, WS
     parsed = lines.select("split", "category", key,
                           F.regexp_extract("line", f"^({NON_WS}+)", 1).alias("label"),
                           F.regexp_extract("line", f"(?s)^{NON_WS}+{WS}+(.*)$", 1).alias("text"))
-    return (parsed.groupBy("split", key, "text").pivot("category", list(categories))
-            .agg(F.max((F.col("label") == positive).cast("int"))))
+    # the text is the same in all lines of a key: grouped by the key, it is carried once
+    flags = [F.max(F.when(F.col("category") == c, (F.col("label") == positive).cast("int"))).alias(c)
+             for c in categories]
+    return parsed.groupBy("split", key).agg(F.first("text").alias("text"), *flags)
 
 
 def run_heads(lines: DataFrame, heads: Sequence[str] = HEAD_CATEGORIES, key: str = "doc_id",
-              threshold: float | None = None, tune_grid: Sequence[dict] | None = None):
+              threshold: float | None = None, tune_grid: Sequence[dict] | None = None,
+              partitions: int | None = None):
     """Train one head per category on the ``train`` lines (tuned on ``eval`` when a grid is
     given), score the ``eval`` lines and report confusion counts, precision, recall and the
     warnings per head. Returns (models, report)."""
@@ -163,7 +167,7 @@ def run_heads(lines: DataFrame, heads: Sequence[str] = HEAD_CATEGORIES, key: str
     wide = lines_to_wide(lines, heads, key)
     train, ev = wide.filter(F.col("split") == "train"), wide.filter(F.col("split") == "eval")
     models = MD.fit_heads(train, heads, skip_missing=True,
-                          val=ev if tune_grid else None, grid=tune_grid)
+                          val=ev if tune_grid else None, grid=tune_grid, partitions=partitions)
     scored = MD.score_heads(models, ev.select(key, "text", *models))
     args = ", ".join(f"'{h}', `{h}`, `{h}_prob`" for h in models)
     long = scored.selectExpr(f"stack({len(models)}, {args}) AS (head, truth, prob)")
@@ -173,13 +177,15 @@ def run_heads(lines: DataFrame, heads: Sequence[str] = HEAD_CATEGORIES, key: str
 
 # ------------------------------------------------------------------ W13 moderate requests
 def moderate(requests: DataFrame, stage1, stage2, stage3, heads: Sequence[str],
-             head_threshold: float = 0.7, labels: Sequence[str] | None = None):
-    """Requests -> completeness check (rejects to the second frame) -> serving prompt ->
-    cascade (safety on the review text, heads and third stage on the prompt)."""
-    from vetta.operators.cascade import cascade
-    from vetta.operators.cleaning import render_prompt, validate_requests
-    valid, rejected = validate_requests(requests)
-    req = render_prompt(valid).select("id", F.col("review").alias("text"), "prompt")
+             head_threshold: float = 0.7, labels: Sequence[str] | None = None,
+             thresholds: dict | None = None, disabled: Sequence[str] = ()) -> DataFrame:
+    """Requests -> completeness check -> serving prompt -> cascade (safety on the review
+    text, heads and third stage on the prompt). One verdict per request: incomplete ones are
+    quarantined at stage 0 with the missing fields."""
+    from vetta.operators.cascade import STAGE3_LABELS, cascade
+    from vetta.operators.cleaning import render_prompt, request_errors
+    tagged = render_prompt(requests.withColumn("__error", request_errors()))
+    req = tagged.select("id", F.col("review").alias("text"), "prompt", "__error")
 
     def on_prompt(fn):
         def run(df):
@@ -188,28 +194,26 @@ def moderate(requests: DataFrame, stage1, stage2, stage3, heads: Sequence[str],
             return out.withColumnRenamed("text", "prompt").withColumnRenamed("__review", "text")
         return run
 
-    from vetta.operators.cascade import STAGE3_LABELS
-    verdicts = cascade(req, stage1, on_prompt(stage2), on_prompt(stage3), heads=list(heads),
-                       head_threshold=head_threshold, labels=list(labels or STAGE3_LABELS))
-    return verdicts, rejected
+    return cascade(req, stage1, on_prompt(stage2), on_prompt(stage3), heads=list(heads),
+                   head_threshold=head_threshold, labels=list(labels or STAGE3_LABELS),
+                   thresholds=thresholds, disabled=disabled, texts=("text", "prompt"), incomplete="__error")
 
 
-def moderate_model_stream(stream: DataFrame, models, out: str, checkpoint: str,
-                          available_now: bool = False):
-    """T1 with fitted models: each micro-batch of requests goes through ``moderate``;
-    the per-batch stage caches are released after the batch is written."""
+def moderate_with(requests: DataFrame, models, **settings) -> DataFrame:
+    """``moderate`` with fitted models: (safety, heads, (features, label models))."""
     from vetta.operators import models as MD
-    from vetta.streaming import moderate_stream
     safety, heads, (feats, ml) = models
+    return moderate(requests, lambda df: MD.score_safety(safety, df), lambda df: MD.score_heads(heads, df),
+                    lambda df: MD.score_multilabel(feats, ml, df), list(heads), labels=list(ml), **settings)
 
-    def score(batch: DataFrame) -> DataFrame:
-        v, _ = moderate(batch, lambda df: MD.score_safety(safety, df),
-                        lambda df: MD.score_heads(heads, df),
-                        lambda df: MD.score_multilabel(feats, ml, df), list(heads),
-                        labels=list(ml))
-        return v
 
-    return moderate_stream(stream, score, out, checkpoint, available_now=available_now)
+def moderate_model_stream(stream: DataFrame, models, out: str, checkpoint: str,
+                          available_now: bool = False, **settings):
+    """T1 with fitted models: each micro-batch of requests goes through ``moderate``, and
+    every request of it gets its verdict."""
+    from vetta.streaming import moderate_stream
+    return moderate_stream(stream, lambda batch: moderate_with(batch, models, **settings), out, checkpoint,
+                           available_now=available_now)
 
 
 # ------------------------------------------------------------------ W8 table profile
@@ -223,7 +227,7 @@ def profile_table(df: DataFrame, cols: Sequence[str] | None = None):
 def run_safety(df: DataFrame, words: Sequence[str], key: str = "id", text: str = "text",
                label: str = "unsafe_label", grid: dict | None = None, params: dict | None = None,
                test_ratio: float = 0.25, seed: int = 42, folds_k: int = 3,
-               save_to: str | None = None, threshold: float = 0.5):
+               save_to: str | None = None, threshold: float = 0.5, partitions: int | None = None):
     """Drop nulls -> stratified split -> (grid search over stratified folds, or the given
     point) -> fit -> optional save with the chosen parameters -> held-out report.
     Returns (model, scored test rows, report, cv scores or None)."""
@@ -237,11 +241,11 @@ def run_safety(df: DataFrame, words: Sequence[str], key: str = "id", text: str =
     scores = None
     if grid:
         model, scores = MD.search_safety(folds(train, key, folds_k, seed, stratify=label), words,
-                                         "fold", text, label, grid)
+                                         "fold", text, label, grid, partitions=partitions)
         chosen = max(scores, key=lambda x: x[1])[0]
     else:
         chosen = dict(params or MD.SAFETY_BEST)
-        model = MD.fit_safety(train, words, text, label, chosen)
+        model = MD.fit_safety(train, words, text, label, chosen, partitions=partitions)
     if save_to:
         MD.save_safety(model, save_to, chosen)
     scored = MD.score_safety(model, test.select(key, text, label))
@@ -251,12 +255,12 @@ def run_safety(df: DataFrame, words: Sequence[str], key: str = "id", text: str =
 
 # ------------------------------------------------------------------ W12 third stage
 def run_multilabel(df: DataFrame, labels: Sequence[str], key: str = "id", text: str = "text",
-                   ratio: float = 0.8, seed: int = 42, max_iters: Sequence[int] = (10, 30)):
+                   ratio: float = 0.8, seed: int = 42, max_iters: Sequence[int] = (10, 30), **fit):
     """80/20 split -> fit with validation-loss selection -> per-label report with loss."""
     from vetta.operators import metrics as MX
     from vetta.operators import models as MD
     parts = split(df, key, ratio, seed, first="train", second="val")
     train, val = parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "val")
-    feats, models, loss = MD.fit_multilabel(train, labels, text, val=val, max_iters=max_iters)
+    feats, models, loss = MD.fit_multilabel(train, labels, text, val=val, max_iters=max_iters, **fit)
     scored = MD.score_multilabel(feats, models, val)
     return (feats, models), MX.multilabel_report(scored, labels, loss=MX.bce_terms(labels))

@@ -43,11 +43,6 @@ def sql_pseudo_prob(tag: str, key: str) -> str:
             f" / 4294967295.0)")
 
 
-def sql_rating_text(col: str) -> str:
-    return (f"CASE WHEN {col} IS NULL THEN NULL WHEN {col} = floor({col}) "
-            f"THEN CAST(CAST({col} AS BIGINT) AS VARCHAR) ELSE CAST({col} AS VARCHAR) END")
-
-
 # ------------------------------------------------------------------ reviews + business
 def reviews_raw(spark, d) -> DataFrame:
     doc = table(spark, d, "documents")
@@ -240,9 +235,12 @@ def head_samples(spark, d) -> DataFrame:
     doc = table(spark, d, "documents")
     lab = table(spark, d, "labels")
     j = doc.join(lab, "doc_id", "left")
+    # advertising is what the text says: a license or an address; the spelling varies
     m = F.col("doc_id") % 9
-    ad = (F.when(m == 0, F.lit("1.0")).when(m == 1, F.lit(" 1 ")).when(m == 2, F.lit("0.9"))
-          .when(m == 3, F.lit("2")).when(m == 4, F.lit("yes")).otherwise(F.lit("0")))
+    told = F.lower("text").contains("license") | F.col("text").contains("@") | F.col("text").contains("|")
+    ad = (F.when(m == 3, F.lit("2")).when(m == 4, F.lit("yes"))
+          .when(told, F.when(m == 0, F.lit("1.0")).when(m == 1, F.lit(" 1 ")).otherwise(F.lit("1")))
+          .otherwise(F.when(m == 2, F.lit("0.9")).otherwise(F.lit("0"))))
     return j.select(
         "doc_id",
         F.coalesce((F.lit(1) - F.col("quality")).cast("string"), F.lit("0")).alias("spam"),
@@ -256,8 +254,10 @@ def head_samples(spark, d) -> DataFrame:
 SQL_HEAD_SAMPLES = """head_samples AS (
   SELECT d.doc_id,
          coalesce(CAST(1 - l.quality AS VARCHAR), '0') AS spam,
-         CASE d.doc_id % 9 WHEN 0 THEN '1.0' WHEN 1 THEN ' 1 ' WHEN 2 THEN '0.9' WHEN 3 THEN '2'
-              WHEN 4 THEN 'yes' ELSE '0' END AS ad,
+         CASE WHEN d.doc_id % 9 = 3 THEN '2' WHEN d.doc_id % 9 = 4 THEN 'yes'
+              WHEN contains(lower(d.text), 'license') OR contains(d.text, '@') OR contains(d.text, '|')
+              THEN CASE d.doc_id % 9 WHEN 0 THEN '1.0' WHEN 1 THEN ' 1 ' ELSE '1' END
+              WHEN d.doc_id % 9 = 2 THEN '0.9' ELSE '0' END AS ad,
          CAST(CAST(d.lang <> 'en' AS INTEGER) AS VARCHAR) AS irrelevant,
          CAST(CAST(contains(d.text, '!') AS INTEGER) AS VARCHAR) AS rant,
          coalesce(CAST(l.toxic AS VARCHAR), '0') AS unsafe, d.text

@@ -4,25 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vetta.functions.labels import parse_label
 from vetta.functions.text import NON_WS, WS, strip_ws
 
 _CORRUPT = "_corrupt"
 
-# Python literals rewritten to JSON when they stand where a value can
-# (after ':', ',' or '[' and before ',', '}' or ']'), outside quotes.
+# Python literals and their JSON spelling.
 PY_LITERALS = [("None", "null"), ("True", "true"), ("False", "false")]
+# A quoted Python string, or what stands between two of them.
+_PIECE = (r"(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|" r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|' r"""[^'"]++|.""")
 
 
-def _with_corrupt(schema: T.StructType) -> T.StructType:
-    return T.StructType(list(schema.fields) + [T.StructField(_CORRUPT, T.StringType())])
+def _as_text(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]
+                        + [T.StructField(_CORRUPT, T.StringType())])
 
 
 def _parse(col, schema: T.StructType, single_quotes: bool):
-    return F.from_json(col, _with_corrupt(schema), {
+    return F.from_json(col, _as_text(schema), {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT,
         "allowSingleQuotes": str(single_quotes).lower(),
         "allowBackslashEscapingAnyCharacter": str(single_quotes).lower()})
@@ -32,11 +35,46 @@ def _ok(c) -> F.Column:
     return c.isNotNull() & c[_CORRUPT].isNull()
 
 
+def _typed(c, f: T.StructField):
+    """The text of a JSON value as the field's type; a list may also be given as one string."""
+    if isinstance(f.dataType, T.ArrayType):
+        listed = F.from_json(c, f.dataType, {"allowSingleQuotes": "true"})
+        return F.when(c.startswith("["), listed).when(c.isNotNull(), F.array(c).cast(f.dataType))
+    return c if isinstance(f.dataType, T.StringType) else c.try_cast(f.dataType)
+
+
+def _literals_as_json(value):
+    """Rewrite Python literals outside quoted strings; the strings stay as they are."""
+    def piece(p):
+        out = p
+        for py, js in PY_LITERALS:
+            out = F.regexp_replace(out, rf"\b{py}\b", js)
+        return F.when(p.startswith("'") | p.startswith('"'), p).otherwise(out)
+    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit(_PIECE), F.lit(0)), piece), "")
+
+
+def _first_records(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows by (file, block, position): whole blocks are settled by their
+    counts, one row a file block, and only the block that holds the limit is ranked."""
+    block = Window.orderBy("file", "__blk")
+    counts = rows.groupBy("file", "__blk").agg(F.count(F.lit(1)).alias("__n"))
+    room = counts.select(F.col("file").alias("__f"), F.col("__blk").alias("__b"), "__n",
+                         (F.lit(int(limit)) - F.sum("__n").over(block) + F.col("__n")).alias("__room")) \
+        .filter("__room > 0")
+    on = (F.col("file") == F.col("__f")) & (F.col("__blk") == F.col("__b"))
+    whole = rows.join(room.filter("__room >= __n"), on, "left_semi")
+    rank = F.row_number().over(Window.partitionBy("file", "__blk").orderBy("__pos"))
+    part = rows.join(room.filter("__room < __n"), on).withColumn("__r", rank).filter("__r <= __room")
+    return whole.unionByName(part.select(*rows.columns))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType,
                     limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Tolerant JSON-lines reader: strip each line, skip blank lines, parse as JSON; a line
-    that fails is retried as a Python literal (single quotes, ``None``/``True``/``False``);
-    what still fails is returned in the second frame (``file``, ``value``).
+    that fails is retried as a Python literal (single quotes, ``None``/``True``/``False``
+    outside strings); what still fails is returned in the second frame (``file``, ``value``).
+    Values are read as text and cast, so a number in quotes is a number, a value that cannot
+    be cast is null, and a list field takes a single string too.
 
     ``limit`` keeps the first ``limit`` good records in file order (file path, then the
     position inside the file), like reading a file top to bottom and stopping.
@@ -44,36 +82,34 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType,
     raw = (spark.read.text(path)
            .select(F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_block_start").alias("__blk"),
-                   F.monotonically_increasing_id().alias("__mid"),
+                   F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos"),
                    strip_ws("value").alias("value"))
            .filter(F.length("value") > 0))
     first = raw.withColumn("__j", _parse(F.col("value"), schema, False))
-    lit = F.col("value")
-    for py, js in PY_LITERALS:
-        lit = F.regexp_replace(lit, f"(?<=[:,\\[]{WS}{{0,8}}){py}(?={WS}*[,}}\\]])", js)
-    second = F.when(_ok(F.col("__j")), F.col("__j")).otherwise(_parse(lit, schema, True))
+    second = F.when(_ok(F.col("__j")), F.col("__j")) \
+        .otherwise(_parse(_literals_as_json(F.col("value")), schema, True))
     parsed = first.withColumn("__j", second)
     good = parsed.filter(_ok(F.col("__j")))
     bad = parsed.filter(~_ok(F.col("__j"))).select("file", "value")
-    order = [F.col("file"), F.col("__blk"), F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))]
     if limit is not None:
-        good = good.orderBy(*order).limit(int(limit))
-    return good.select(*[F.col(f"__j.{f.name}").alias(f.name) for f in schema.fields]), bad
+        good = _first_records(good, limit)
+    return good.select(*[_typed(F.col(f"__j.{f.name}"), f).alias(f.name) for f in schema.fields]), bad
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
-             required: Sequence[str] = ()) -> DataFrame:
+             required: Sequence[str] = (), multi_line: bool = True) -> DataFrame:
     """CSV with a header: header names are trimmed and matched case-insensitively;
     a missing required column is an error; values are cast with ``try_cast``.
-    Quoted fields may span lines; a UTF-8 byte-order mark is dropped by the reader."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"',
+    Quoted fields may span lines; ``multi_line=False`` asserts that none does, and large
+    files are then read in parallel. A UTF-8 byte-order mark is dropped by the reader."""
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, quote='"',
                         escape='"', enforceSchema=False)
     by_norm = {}
     for c in df.columns:
         by_norm.setdefault(c.strip().lower().lstrip("﻿"), c)
     missing = [c for c in required if c.lower() not in by_norm]
     if missing:
-        raise ValueError(f"CSV missing required columns: {missing}")
+        raise ValueError("no such columns in the CSV header: " + ", ".join(missing))
     cols = []
     for f in schema.fields:
         src = by_norm.get(f.name.lower())
@@ -87,24 +123,49 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def read_label_batches(spark: SparkSession, path: str, flags: Sequence[str],
-                       key: str = "job_id") -> DataFrame:
-    """All JSON files under ``path`` (each an array of records or one record); flags are
-    cast to int, absent/invalid ones count 0."""
-    schema = T.StructType([T.StructField(key, T.LongType())] +
-                          [T.StructField(f, T.StringType()) for f in flags])
-    df = spark.read.schema(schema).json(path, multiLine=True)
-    return df.select(key, *[F.coalesce(F.col(f).try_cast("int"), F.lit(0)).alias(f) for f in flags])
+                       key: str = "job_id", multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Label records under ``path``: (records with int flags, rejected rows with ``error``).
+
+    A line holds a record, an array of records, or a batch as ``write_label_batches`` writes
+    it (``records``); ``multi_line=True`` reads files that are one JSON value each. An absent
+    flag counts 0; a flag that is not 0/1, a record without a key and text that is not JSON
+    are rejected, never read as a label."""
+    record = T.StructType([T.StructField(c, T.StringType()) for c in (key, *flags)])
+    schema = T.StructType([*record.fields, T.StructField("records", T.ArrayType(record)),
+                           T.StructField(_CORRUPT, T.StringType())])
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT).json(path, multiLine=multi_line)
+    own = F.array(F.struct(*[F.col(c) for c in (key, *flags)]))
+    each = rows.select(_CORRUPT, F.explode_outer(F.coalesce("records", own)).alias("r"))
+    given = {f: F.coalesce(F.col(f"r.{f}"), F.lit("0")) for f in flags}
+    number = F.col(f"r.{key}").try_cast("long")
+    error = F.concat_ws("; ", F.when(F.col(_CORRUPT).isNotNull(), F.lit("not JSON")),
+                        F.when(number.isNull(), F.lit(f"no {key}")),
+                        *[F.when(parse_label(v).isNull(), F.concat(F.lit(f"{f}: not a 0/1 flag: "), v))
+                          for f, v in given.items()])
+    good = each.filter(error == "").select(number.alias(key), *[parse_label(v).alias(f) for f, v in given.items()])
+    return good, each.filter(error != "").select(F.col(f"r.{key}").alias(key), error.alias("error"))
 
 
 def read_samples_json(spark: SparkSession, path: str, schema: T.StructType,
-                      array: bool | None = None) -> DataFrame:
-    """A JSON array file (``multiLine``) or JSON lines; decided by the first
-    non-blank character when ``array`` is None (one row is inspected)."""
+                      array: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """A JSON array file (``array=True``, one task a file) or JSON lines; decided by the first
+    non-blank character when ``array`` is None (one row is inspected). What is not JSON comes
+    back in the second frame (``value``), never as a sample of nulls."""
     if array is None:
         head = (spark.read.text(path).select(strip_ws("value").alias("v"))
                 .filter(F.length("v") > 0).first())
         array = bool(head) and head["v"].startswith("[")
-    return spark.read.schema(schema).json(path, multiLine=bool(array))
+    if array:
+        raw = spark.read.text(path, wholetext=True)
+        plain = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+        each = raw.select("value", F.explode_outer(F.from_json("value", T.ArrayType(plain))).alias("j"))
+        ok = F.col("j").isNotNull()
+    else:
+        raw = spark.read.text(path).filter(F.length(strip_ws("value")) > 0)
+        each = raw.select("value", _parse(F.col("value"), schema, False).alias("j"))
+        ok = _ok(F.col("j"))
+    return (each.filter(ok).select(*[_typed(F.col(f"j.{f.name}"), f).alias(f.name) for f in schema.fields]),
+            each.filter(~ok).select("value"))
 
 
 def read_labeled_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -126,15 +187,16 @@ REQUEST_SCHEMA = T.StructType([T.StructField("name", T.StringType()),
 
 
 def read_requests(spark: SparkSession, path: str, schema: T.StructType = REQUEST_SCHEMA,
-                  stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """Review requests, one JSON object per file; ``stream=True`` gives the streaming
-    source over the same folder."""
+                  stream: bool = False, files_per_trigger: int | None = None,
+                  multi_line: bool = True) -> DataFrame:
+    """Review requests, one JSON object per file (``multi_line=False``: one per line);
+    ``stream=True`` gives the streaming source over the same folder."""
     if stream:
-        r = spark.readStream.schema(schema).option("multiLine", True)
+        r = spark.readStream.schema(schema).option("multiLine", multi_line)
         if files_per_trigger:
             r = r.option("maxFilesPerTrigger", files_per_trigger)
         return r.json(path)
-    return spark.read.schema(schema).json(path, multiLine=True)
+    return spark.read.schema(schema).json(path, multiLine=multi_line)
 
 
 def read_parquet_pair(spark: SparkSession, generated: str, annotated: str

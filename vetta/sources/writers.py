@@ -26,15 +26,17 @@ def write_labeled_lines(lines: DataFrame, path: str, mode: str = "overwrite") ->
 
 
 def write_label_batches(df: DataFrame, path: str, batch: str = "batch_no",
-                        order: str = "pos", mode: str = "overwrite") -> None:
-    """One JSON array per batch (``batch_no=<n>/part-*``); a batch is bounded in size, so
-    collecting its records into one array is bounded too. ``last_row`` is recorded."""
+                        order: str = "pos", mode: str = "overwrite", per_folder: int = 10_000) -> None:
+    """One JSON line per batch: ``batch_no``, ``last_row`` (where a resumed run goes on) and
+    the ``records``. A folder holds a range of ``per_folder`` batches. A batch is bounded in
+    size, so collecting its records into one array is bounded too."""
     cols = [c for c in df.columns if c not in (batch, order)]
     agg = df.groupBy(batch).agg(
         F.array_sort(F.collect_list(F.struct(order, *cols))).alias("__r"))
-    out = agg.select(batch, F.to_json(F.transform("__r", lambda x: x.dropFields(order)))
-                     .alias("value"))
-    out.write.mode(mode).partitionBy(batch).text(path)
+    out = agg.select(F.floor(F.col(batch) / per_folder).alias("batch_range"), batch,
+                     F.element_at("__r", -1)[order].alias("last_row"),
+                     F.transform("__r", lambda x: x.dropFields(order)).alias("records"))
+    out.write.mode(mode).partitionBy("batch_range").json(path)
 
 
 def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
