@@ -176,7 +176,8 @@ def brute_cut(rows, length=suffix_dedup.LENGTH):
 def test_byte_strings_against_brute_force(spark):
     shared = "This passage stands in a number of documents, é and all, and it is longer than one hundred bytes by far. " * 2
     rows = corpus(seed=6) + [(600 + k, f"{k} lead {shared[k:]} tail {k}") for k in range(5)]
-    rows += [(700, "ab" * 400), (701, "é" * 300), (702, shared + "x" + shared)]
+    rows += [(700, "ab" * 400), (701, "é" * 300), (702, shared + "x" + shared), (703, "x" + "ab" * 500 + shared)]
+    rows += [(710 + k, "Is onhe. " * (20 + k) + shared[k:]) for k in range(12)]
     got = suffix_dedup.cut_repeats(frame(spark, rows)).collect()
     assert {tuple(r) for r in got} == set(brute_cut(rows))
     assert len(got) == len(rows)

@@ -13,7 +13,9 @@ offsets, and suffixes at anchors (about 3 % of all positions) are enough for an
    range-partitioned by their leading tokens with sampled splitters (equal tokens never
    part, so no comparison crosses a boundary but between unequal tokens). Each bucket sorts
    by multikey quicksort, eight bytes at a time, on the suffix and on the reversed prefix;
-   common-prefix lengths then name every string exactly, and all but the first go.
+   common-prefix lengths then name every string exactly, and all but the first go. Tokens
+   that a task meets ``OFTEN`` (periodic texts, common passages) are compared there the same
+   way before the shuffle, and only suffixes with a string that is new to the task move on.
 3. Tokens more frequent than ``HOT`` would fill a bucket; their strings are instead
    compared one by one by a 128-bit digest in a pre-aggregated grouping.
 4. Every document unites its spans. A later copy of a whole text is covered in full.
@@ -39,6 +41,8 @@ from .shingles import mix
 LENGTH, SEED = 100, 32
 SPAN = LENGTH - SEED + 1                # places of a token in a string
 HOT = 20_000
+#: A token met so often among the texts that a task holds at once is compared there first.
+OFTEN = 8
 BUCKET_ROWS = 100_000
 FIRST_ID = -(2**63)
 #: Bytes of text worked through at once.
@@ -117,19 +121,28 @@ def repeated_tokens(base: DataFrame) -> DataFrame:
 
 def _suffixes(wanted: DataFrame, hot: bool) -> DataFrame:
     """Suffix rows at the wanted anchors of each document. Plain: leading tokens ``w0, w1``
-    (order-preserving longs), ``after`` and ``before`` (reversed) bytes. Hot: one row for
-    each string with its digest."""
+    (order-preserving longs), ``after`` and ``before`` (reversed) bytes; spans that are found
+    on the way have ``low`` -1 and their length in ``high``. Hot: one row for each string with
+    its digest."""
 
     def plain(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        rows, names = [], []
         for i, key, text, tokens in zip(frame["id"], frame["key"], frame["text"], frame["tokens"]):
             raw = text.encode()
             at, hashes, first, last = anchors(np.frombuffer(raw, np.uint8))
             take = np.isin(hashes.view(np.int64), np.asarray(tokens, np.int64))
+            names.append(hashes[take])
             for p, a, b in zip(at[take].tolist(), first[take].tolist(), last[take].tolist()):
                 rows.append((i, key, p, p - b, p - a, raw[p:b + LENGTH], raw[a:p][::-1]))
         made = pd.DataFrame(rows, columns=["id", "key", "at", "low", "high", "after", "before"])
-        lead = np.frombuffer(b"".join(x[:16] for x in made["after"]), ">i8").reshape(-1, 2) ^ np.int64(FIRST_ID)
+        if len(made):
+            _, number, count = np.unique(np.concatenate(names), return_inverse=True, return_counts=True)
+            often = count[number] >= OFTEN
+            if often.any():
+                spans_, new = repeated_spans(made[often])
+                made = pd.concat([made[~often], new, merged_spans(spans_)], ignore_index=True)
+        lead = np.frombuffer(b"".join(x[:16].ljust(16, b"\0") for x in made["after"]), ">i8").reshape(-1, 2) \
+            ^ np.int64(FIRST_ID)
         return made.assign(w0=lead[:, 0].astype(np.int64), w1=lead[:, 1].astype(np.int64))
 
     def single(frame: pd.DataFrame) -> pd.DataFrame:
@@ -195,15 +208,16 @@ def _classes(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return rank, np.concatenate([[0], common]).astype(np.int64)
 
 
-def repeated_spans(bucket: pd.DataFrame) -> pd.DataFrame:
-    """``id, key, begin, stop``: byte spans of strings in one bucket that start earlier too."""
+def repeated_spans(bucket: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(``id, key, begin, stop``: byte spans of strings in the bucket that start earlier too;
+    the rows with a string that is the first of its kind here)."""
     bucket = bucket.sort_values(["id", "key", "at"], kind="stable").reset_index(drop=True)
     bucket = bucket.drop_duplicates(["id", "key", "at", "low", "high"], ignore_index=True)   # repeated rows
     n = len(bucket)
     rank_a, common_a = _classes(bucket["after"].tolist(), LENGTH)
     rank_b, common_b = _classes(bucket["before"].tolist(), SPAN)
     low, high = bucket["low"].to_numpy(), bucket["high"].to_numpy()
-    again = np.zeros((n, SPAN + 2), np.int8)          # a frame of zeros around the offsets
+    again = np.zeros((n, SPAN + 2), np.int16)         # a frame of zeros around the offsets
     for offset in range(SPAN):
         own = np.flatnonzero((low <= offset) & (offset <= high))
         if len(own) < 2:
@@ -217,15 +231,36 @@ def repeated_spans(bucket: pd.DataFrame) -> pd.DataFrame:
     row, a = np.nonzero(edge == 1)                    # offsets a .. b - 1 repeat, row by row
     _, b = np.nonzero(edge == -1)
     at = bucket["at"].to_numpy()[row]
-    return pd.DataFrame({"id": bucket["id"].to_numpy()[row], "key": bucket["key"].to_numpy()[row],
-                         "begin": at - (b - 1), "stop": at - a + LENGTH})
+    found = pd.DataFrame({"id": bucket["id"].to_numpy()[row], "key": bucket["key"].to_numpy()[row],
+                          "begin": at - (b - 1), "stop": at - a + LENGTH})
+    return found, bucket[again.sum(axis=1) < high - low + 1]
+
+
+def merged_spans(found: pd.DataFrame) -> pd.DataFrame:
+    """Spans of a task, united within each document, in the shape of suffix rows."""
+    found = found.sort_values(["id", "key", "begin"], ignore_index=True)
+    ids, keys, begin, stop = (found[c].to_numpy() for c in ("id", "key", "begin", "stop"))
+    rows: list[list] = []
+    for i, k, a, b in zip(ids.tolist(), keys.tolist(), begin.tolist(), stop.tolist()):
+        if rows and rows[-1][0] == i and rows[-1][1] == k and a <= rows[-1][3]:
+            rows[-1][3] = max(rows[-1][3], b)
+        else:
+            rows.append([i, k, a, b])
+    # spread over the buckets by their place; a bucket passes them on
+    return pd.DataFrame([(i, k, a, -1, b - a, ((i * 1_000_003 + a) % 2**64).to_bytes(8, "big"), b"")
+                         for i, k, a, b in rows], columns=["id", "key", "at", "low", "high", "after", "before"])
 
 
 def _bucket_spans(suffixes: DataFrame, buckets: int) -> DataFrame:
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [f for f in frames if len(f)]
-        if parts:
-            yield repeated_spans(pd.concat(parts, ignore_index=True))
+        if not parts:
+            return
+        bucket = pd.concat(parts, ignore_index=True)
+        done = bucket[bucket["low"] < 0]
+        yield pd.DataFrame({"id": done["id"], "key": done["key"], "begin": done["at"], "stop": done["at"] + done["high"]})
+        if len(done) < len(bucket):
+            yield repeated_spans(bucket[bucket["low"] >= 0])[0]
 
     return suffixes.repartitionByRange(buckets, "w0", "w1") \
         .mapInPandas(work, "id long, key long, begin long, stop long")
