@@ -304,8 +304,8 @@ SELECT DISTINCT text, unsafe_label FROM (
 WHERE text IS NOT NULL AND unsafe_label IS NOT NULL""")
 def q_w7(spark, d):
     return J.combine_safety(J.clean_jigsaw(R.jigsaw_raw(spark, d)),
-                            J.clean_toxigen(R.toxigen_gen(spark, d), R.toxigen_annotated(spark, d)),
-                            J.clean_tweets(R.tweets(spark, d)))
+                            J.clean_toxigen(R.toxigen_gen(spark, d), R.toxigen_annotated(spark, d), unique=False),
+                            J.clean_tweets(R.tweets(spark, d), unique=False))
 
 
 @register("p13_band_label", _with(R.SQL_TOXIGEN_ANNOTATED) + """

@@ -93,23 +93,26 @@ def clean_jigsaw(df: DataFrame, order: str = "doc_id") -> DataFrame:
 
 
 def clean_toxigen(generated: DataFrame, annotated: DataFrame | None = None,
-                  parity: bool = False) -> DataFrame:
+                  parity: bool = False, unique: bool = True) -> DataFrame:
     """Sentences of every prompt plus its generation (labelled with the prompt's label),
-    cleaned; plus the banded annotated rows (unless ``parity``, where they never arrive)."""
+    cleaned; plus the banded annotated rows (unless ``parity``, where they never arrive).
+    ``unique=False`` leaves the removal of repeats to a later step (``combine_safety``)."""
     gen = clean_sentences(explode_prompts(generated))
     parts = [gen]
     if annotated is not None and not parity:
         ann = band_label(annotated.select("text", "toxicity_human"), "toxicity_human")
         parts.append(ann.select("text", "unsafe_label"))
-    return union_all(*parts).distinct()
+    out = union_all(*parts)
+    return out.distinct() if unique else out
 
 
-def clean_tweets(df: DataFrame, col: str = "tweet") -> DataFrame:
-    return (df.select(clean_tweet(col).alias("text"), F.lit(1).alias("unsafe_label"))
-            .distinct())
+def clean_tweets(df: DataFrame, col: str = "tweet", unique: bool = True) -> DataFrame:
+    out = df.select(clean_tweet(col).alias("text"), F.lit(1).alias("unsafe_label"))
+    return out.distinct() if unique else out
 
 
 def combine_safety(*dfs: DataFrame) -> DataFrame:
+    """One table of (text, label) without repeats; the inputs may still hold some."""
     return drop_null(union_all(*[d.select("text", "unsafe_label") for d in dfs])).distinct()
 
 
