@@ -3,8 +3,10 @@
 A text and a test item are compared as lower-cased letters and digits with single blanks
 between. An item with an error budget of ``k`` edits (``RATE`` of its length) is split into
 ``k + 1`` pieces: an occurrence within the budget leaves at least one piece intact, so
-exact piece hits, found by one automaton for all pieces, are all the places to look. Each
-place is verified by Myers' bit-parallel distance against the text around it.
+exact piece hits, found by one automaton for all pieces, are all the places to look. A hit is
+verified outwards with Myers' bit-parallel distance: of any m neighbouring pieces in the
+tree above the intact one, at most m - 1 edits may fall on them, so most chance hits end after
+a few dozen characters and only the rest are compared with the whole item.
 
 Items go out in blocks of at most ``BLOCK_CHARS`` characters and ``BLOCK_ITEMS`` items, so
 what is broadcast is bounded; all rows of the corpus meet every block.
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import ship
 
-RATE = 0.06
+RATE = 0.1
 SHORTEST = 40
 BLOCK_CHARS, BLOCK_ITEMS = 4_000_000, 20_000
 #: Characters of text worked through at once; neighbours overlap by the longest window.
@@ -47,14 +49,20 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def best_distance(item: str, text: str) -> int:
-    """The least edit distance of ``item`` to any substring of ``text`` (Myers)."""
-    m = len(item)
-    if m == 0:
-        return 0
+def character_masks(item: str) -> dict[str, int]:
     at: dict[str, int] = {}
     for i, c in enumerate(item):
         at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def best_distance(item: str, text: str, at: dict[str, int] | None = None) -> int:
+    """The least edit distance of ``item`` to any substring of ``text`` (Myers); ``at`` is
+    ``character_masks(item)``."""
+    m = len(item)
+    if m == 0:
+        return 0
+    at = character_masks(item) if at is None else at
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
     best = score
@@ -77,21 +85,54 @@ def best_distance(item: str, text: str) -> int:
 
 
 class Matcher:
-    """One block of items: an automaton of their pieces, and the items."""
+    """One block of items: an automaton of their pieces, and for every piece the groups of
+    pieces above it."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         self.items = [(i, t, budget(t, rate)) for i, t in items]
+        self.cuts = []
+        self.masks: dict[tuple[int, int, int], tuple[str, dict[str, int]]] = {}
         self.reach = max((len(t) + 2 * e + 2 for _, t, e in self.items), default=0)
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, e) in enumerate(self.items):
-            for offset, piece in pieces(t, e):
-                found.setdefault(piece, []).append((k, offset))
+            own = pieces(t, e)
+            self.cuts.append([a for a, _ in own] + [len(t)])
+            for j, (_, piece) in enumerate(own):
+                found.setdefault(piece, []).append((k, j))
         self.automaton = ahocorasick.Automaton()
         for piece, owners in found.items():
             self.automaton.add_word(piece, (len(piece), owners))
         if found:
             self.automaton.make_automaton()
 
+    def _group(self, k: int, low: int, high: int) -> tuple[str, dict[str, int]]:
+        got = self.masks.get((k, low, high))
+        if got is None:
+            cuts = self.cuts[k]
+            own = self.items[k][1][cuts[low]:cuts[high]]
+            got = self.masks[k, low, high] = (own, character_masks(own))
+        return got
+
+    def verify(self, k: int, j: int, text: str, at: int) -> int | None:
+        """The least distance of item ``k`` around a hit of its piece ``j`` at ``at``, or None
+        where a group of pieces around the hit, or the item, needs too many edits."""
+        cuts = self.cuts[k]
+        count, size, low, high, d = len(cuts) - 1, 1, j, j + 1, 0
+        while high - low < count:
+            size *= 2
+            new_low = j // size * size
+            new = (new_low, min(new_low + size, count))
+            if new == (low, high):
+                continue
+            low, high = new
+            own, masks = self._group(k, low, high)
+            errors = high - low - 1
+            begin = at - (cuts[j] - cuts[low]) - errors
+            d = best_distance(own, text[max(0, begin):begin + len(own) + 2 * errors], masks)
+            if d > errors:
+                return None
+        return d
+
     def matches(self, text: str) -> dict[int, int]:
         """Item to its least distance in ``text``, where that is within its budget."""
         out: dict[int, int] = {}
@@ -99,25 +140,18 @@ class Matcher:
             return out
         for begin in range(0, max(1, len(text)), STRETCH):
             part = text[max(0, begin - self.reach):begin + STRETCH + self.reach]
-            windows: dict[int, list[tuple[int, int]]] = {}
+            done: set[tuple[int, int]] = set()
             for end, (size, owners) in self.automaton.iter(part):
-                for k, offset in owners:
-                    length, errors = len(self.items[k][1]), self.items[k][2]
-                    a = end + 1 - size - offset - errors
-                    b = a + length + 2 * errors
-                    spans = windows.setdefault(k, [])
-                    if spans and a <= spans[-1][1] and b - spans[-1][0] <= 2 * (length + 2 * errors):
-                        spans[-1] = (min(a, spans[-1][0]), max(b, spans[-1][1]))
-                    else:
-                        spans.append((a, b))
-            for k, spans in windows.items():
-                i, item, errors = self.items[k]
-                for a, b in spans:
-                    if out.get(i, errors + 1) == 0:
-                        break
-                    d = best_distance(item, part[max(0, a):b])
-                    if d <= errors and d < out.get(i, errors + 1):
-                        out[i] = d
+                at = end + 1 - size
+                for k, j in owners:
+                    i = self.items[k][0]
+                    start = at - self.cuts[k][j]
+                    if out.get(i) == 0 or (k, start) in done:
+                        continue
+                    d = self.verify(k, j, part, at)
+                    if d is not None:
+                        out[i] = min(d, out.get(i, d))
+                        done.add((k, start))
         return out
 
 
