@@ -129,7 +129,7 @@ def test_lines_against_brute_force(spark):
              (501, "\n\nA line that many documents share, word for word.\n\nunique tail 501"),
              (502, "A line that many documents share, word for word!\nA line that many documents share, word for word.")]
     rows = [r for r in rows if r[0] is not None]
-    got = {r.doc_id: (r.n_lines, list(r.dropped)) for r in line_dedup.line_report(frame(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_lines, list(r.dropped), list(r.keep_ids)) for r in line_dedup.line_report(frame(spark, rows)).collect()}
     places = sorted((i, at, line) for i, t in rows for at, line in enumerate((t or "").split("\n")) if line.strip(" "))
     texts = sorted({p[2] for p in places})
     sets = {t: line_set(t) for t in texts}
@@ -143,13 +143,14 @@ def test_lines_against_brute_force(spark):
         common = len(sets[a] & sets[b])
         if common * 100 >= 80 * (len(sets[a]) + len(sets[b]) - common):
             parent[find(a)] = find(b)
-    seen, dropped = set(), defaultdict(list)
+    seen, dropped, keeps = {}, defaultdict(list), defaultdict(list)
     for i, at, line in places:
         root = find(line)
         if root in seen:
             dropped[i].append(at)
-        seen.add(root)
-    assert got == {i: (len((t or "").split("\n")), dropped[i]) for i, t in rows}
+            keeps[i].append(seen[root])
+        seen.setdefault(root, i)
+    assert got == {i: (len((t or "").split("\n")), dropped[i], keeps[i]) for i, t in rows}
     out = {r.doc_id: r.text for r in line_dedup.drop_duplicate_lines(frame(spark, rows)).collect()}
     for i, t in rows:
         want = t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in dropped[i])
