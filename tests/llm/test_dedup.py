@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from vetta.llm import exact_dedup, line_dedup, near_dedup, suffix_dedup
-from vetta.llm.common import components
+from vetta.llm.common import components, linked
 
 from .cases import corpus, folded, frame
 
@@ -106,6 +106,14 @@ def test_drop_near_keeps_clean_documents(spark):
     assert got.columns == frame(spark, rows).columns
 
 
+def test_links_that_no_hub_is_part_of(spark):
+    # band 1 is a drifting chain of 300 copies, each like the next one alone; its busiest is like none
+    rows = [(1, n, 1000 - n) for n in range(1, 301)] + [(2, n, 7) for n in (500, 501, 502)] + [(3, n, 7) for n in (600, 601)]
+    member = spark.createDataFrame(rows, "band long, node long, busy long")
+    got = {r.node: r.root for r in linked(member, lambda met: met.filter("v - u = 1 and u <> 1 and v <> 502")).collect()}
+    assert got == {**{n: 2 for n in range(2, 301)}, 500: 500, 501: 500, 600: 600, 601: 600}
+
+
 def test_minhash_agreement_estimates_similarity():
     import numpy as np
     rng = np.random.default_rng(1)

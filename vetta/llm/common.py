@@ -118,14 +118,17 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             return roots
 
 
-def linked(member: DataFrame, confirm: Callable[[DataFrame], DataFrame], star_rounds: int = 2) -> DataFrame:
+def linked(member: DataFrame, confirm: Callable[[DataFrame], DataFrame], star_rounds: int = 2,
+           hubs: int = 8) -> DataFrame:
     """``node, root`` of the components that candidate buckets and ``confirm`` give.
 
     ``member``: ``band, node, busy`` rows of buckets with two nodes at least; ``confirm``
-    keeps the true links of ``u, v`` pairs. In a star round every node of a bucket meets only
-    the bucket's busiest node; then buckets whose nodes share a component are done. The last
-    round compares what is left across components, so no link between components is missed,
-    and a bucket of like nodes is never expanded into all its pairs."""
+    keeps the true links of ``u, v`` pairs. In the first star round every node of a bucket
+    meets only the bucket's busiest node, in later ones the busiest nodes of up to ``hubs``
+    other components, dealt anew each round; buckets whose nodes share a component are done.
+    The last round, which always comes, compares what is left across components, so no link
+    between components is missed, and a bucket of like nodes is never expanded into all its
+    pairs."""
     spark = member.sparkSession
     seen, links = empty(spark, "u long, v long"), empty(spark, "u long, v long")
     roots = empty(spark, "node long, root long")
@@ -136,7 +139,8 @@ def linked(member: DataFrame, confirm: Callable[[DataFrame], DataFrame], star_ro
             .filter("low <> high").select("band")
         own = own.join(unlike, "band")
         if step < star_rounds:
-            hub = own.groupBy("band").agg(F.max(F.struct("busy", "node", "root")).alias("hub"))
+            slot = F.pmod(F.xxhash64("root", F.lit(step)), F.lit(hubs if step else 1))
+            hub = own.groupBy("band", slot.alias("slot")).agg(F.max(F.struct("busy", "node", "root")).alias("hub"))
             met = own.join(hub, "band").filter("root <> hub.root") \
                 .select(F.col("hub.node").alias("u"), F.col("node").alias("v"))
         else:
@@ -145,7 +149,7 @@ def linked(member: DataFrame, confirm: Callable[[DataFrame], DataFrame], star_ro
         met = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         met = table(met.join(seen, ["u", "v"], "left_anti"), "met")
         if met.isEmpty():
-            break
+            continue                        # the buckets left may still hold pairs no hub was part of
         seen = seen.union(met)
         links = links.union(table(confirm(met), "links"))
         roots = components(links)
