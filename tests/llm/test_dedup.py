@@ -165,6 +165,28 @@ def test_lines_against_brute_force(spark):
         assert out[i] == want
 
 
+def test_small_sets_of_every_size_are_candidates(spark):
+    import random
+    rng = random.Random(21)
+    rows, pairs = [], []
+    for n in [*range(1, 20)] * 12:                        # n shingles common, up to a fifth of the larger set not
+        words = [f"w{rng.randrange(10**6):06d}xx" for _ in range(n + n // 4)]
+        more = words[:n], words[:n + rng.randrange(n // 4 + 1)]
+        pairs.append(len(rows))
+        rows += [(len(rows) + k, w) for k, w in enumerate(more)]
+    # one shingle a word, whatever stands beside it
+    lines = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "node long, line string")
+    plain = lines.select("node", "line")
+    old = line_dedup.SHINGLE
+    try:
+        line_dedup.SHINGLE = r"(\S+)"
+        keys = {r.node: list(r.bands) for r in line_dedup.band_keys(plain).collect()}
+    finally:
+        line_dedup.SHINGLE = old
+    assert [i for i in pairs if not set(keys[i]) & set(keys[i + 1])] == []
+    assert all(len(k) == len(set(k)) for k in keys.values())
+
+
 def brute_cut(rows, length=suffix_dedup.LENGTH):
     first, out = {}, []
     for i, t in sorted(set(rows), key=lambda r: (-2**63 if r[0] is None else r[0])):
