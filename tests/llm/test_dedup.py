@@ -187,6 +187,21 @@ def test_small_sets_of_every_size_are_candidates(spark):
     assert all(len(k) == len(set(k)) for k in keys.values())
 
 
+def test_inserted_characters_change_only_near_shingles(spark):
+    import random
+    rng = random.Random(22)
+    long = ["".join(rng.choice(letters) for _ in range(160)) for letters in
+            ("กขคงจฉชซญฎฏฐดตถทธนบปผฝพฟภมยรลวศษสห", "abcdefghijklmnopqrstuvwxyz/.-=&0123456789", "0123456789abcdef", "абвгдежзийклмноп", "aeiou")]
+    rows = [(2 * k + e, t[:9] + "x" * e + t[9:]) for k, t in enumerate(long) for e in (0, 1)]
+    rows += [(10, "the plain words"), (11, "a" * 40)]
+    got = {r.node: set(r.s) for r in spark.createDataFrame(rows, "node long, line string")
+           .select("node", line_dedup.shingles(line_dedup.F.col("line")).alias("s")).collect()}
+    for k in range(len(long)):
+        a, b = got[2 * k], got[2 * k + 1]
+        assert len(a & b) >= 0.7 * len(a | b), (k, len(a & b), len(a | b))
+    assert got[10] == {"the plain ", "plain word", "words"} and "a" * 10 in got[11]
+
+
 def brute_cut(rows, length=suffix_dedup.LENGTH):
     first, out = {}, []
     for i, t in sorted(set(rows), key=lambda r: (-2**63 if r[0] is None else r[0])):
