@@ -226,6 +226,15 @@ def test_licenses_against_every_window(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_second_place_of_a_license_is_found():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    text = "This work is licensed under the GNU General Public License, version 3. " + "x " * 40 \
+        + "This code is licensed under the GNU General Public License, version 2."
+    got = scanner.scan(text)
+    assert [g[0] for g in got] == ["GPL-3.0", "GPL-2.0"] and got[1][2] >= 52
+    assert all(a[3] <= b[2] or b[3] <= a[2] for a in got for b in got if a is not b)
+
+
 def test_patience_matches_are_increasing_and_equal():
     rng = random.Random(3)
     for _ in range(200):

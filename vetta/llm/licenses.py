@@ -168,8 +168,8 @@ class Scanner:
         return r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(sorted(self.keys)) + r")(?![\p{L}\p{N}])"
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, end word) of each covered template's best place; one
-        row a license, the best first, none that overlaps a better one."""
+        """(license, coverage, first word, end word) of the covered templates: of all places
+        the better ones first, none that overlaps a better one; one row a license, its best."""
         words = words_of(text)
         windows: dict[int, list[list[int]]] = {}
         for p, w in enumerate(words):
@@ -181,7 +181,7 @@ class Scanner:
                 if spans and spans[-1][0] == a and spans[-1][1] >= b:
                     continue
                 spans.append([a, b])
-        best: dict[str, tuple[float, int, int, int]] = {}
+        found: set[tuple[float, int, str, int, int]] = set()
         for k, spans in windows.items():
             name, own = self.templates[k]
             for a, b in spans:
@@ -192,14 +192,16 @@ class Scanner:
                 first, end = a + pairs[0][0], a + pairs[-1][0] + 1
                 if end - first > len(own) * (1 + SLACK) + 1:
                     continue
-                got = (share, len(own), first, end)
-                if name not in best or got[:2] > best[name][:2]:
-                    best[name] = got
-        out: list[tuple[str, float, int, int]] = []
-        for name, (share, _, first, end) in sorted(best.items(), key=lambda x: (-x[1][0], -x[1][1], x[0])):
-            if all(end <= o[2] or o[3] <= first for o in out):      # not a part of a better match
-                out.append((name, round(share, 6), first, end))
-        return out
+                found.add((-share, -len(own), name, first, end))
+        taken: list[tuple[int, int]] = []                           # disjoint, ascending
+        out: dict[str, tuple[str, float, int, int]] = {}
+        for share, _, name, first, end in sorted(found):
+            at = bisect_left(taken, (first, end))
+            if (at and taken[at - 1][1] > first) or (at < len(taken) and taken[at][0] < end):
+                continue                                            # a part of a better match
+            taken.insert(at, (first, end))
+            out.setdefault(name, (name, round(-share, 6), first, end))
+        return list(out.values())
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id",
