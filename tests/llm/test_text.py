@@ -295,6 +295,26 @@ def test_contamination_against_all_distances(spark, monkeypatch, block):
     assert Counter(r.doc_id for r in left.collect()) == Counter(i for (i, bad, *_), n in want.items() for _ in range(n) if not bad)
 
 
+@pytest.mark.parametrize("block", [20_000, 1])
+def test_short_items_and_items_without_id_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+    items = [(1, "What is the capital of France?"), (None, "a text without an id that is longer than forty characters"), (2, "法国的首都是哪里"), (3, "!?")]
+    docs = [(1, "So: what is the  CAPITAL of France, then?"), (2, "somewhat is the capital of france"), (3, "what is the capital of frances"),
+            (4, "x " + items[1][1]), (5, "请问法国的首都是哪里呢"), (6, None), (7, "clean"), (7, "clean"), (8, items[0][1] + items[2][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: list(r.item_ids) for r in decontaminate.contaminated(frame(spark, docs), bench).collect()}
+    assert got == {1: [1], 2: [], 3: [], 4: [None], 5: [2], 6: [], 7: [], 8: [1, 2]}
+    left = decontaminate.drop_contaminated(frame(spark, docs), bench)
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3, 6, 7, 7] and left.columns == frame(spark, docs).columns
+
+
+def test_stretches_do_not_lose_short_items(monkeypatch):
+    text = "ab cd " * 50 + "what is it" + " xcd" * 50
+    for size in (20, 33, 10**6):
+        monkeypatch.setattr(decontaminate, "STRETCH", size)
+        assert decontaminate.Matcher([(1, "what is it"), (2, "b cd"), (3, "what is i")]).matches(text) == {1: 0}
+
+
 def test_stretches_do_not_lose_matches(monkeypatch):
     rng = random.Random(1)
     item = "".join(rng.choice("abcdefg ") for _ in range(80))

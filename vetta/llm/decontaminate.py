@@ -8,16 +8,21 @@ verified outwards with Myers' bit-parallel distance: of any m neighbouring piece
 tree above the intact one, at most m - 1 edits may fall on them, so most chance hits end after
 a few dozen characters and only the rest are compared with the whole item.
 
-Items go out in blocks of at most ``BLOCK_CHARS`` characters and ``BLOCK_ITEMS`` items, so
-what is broadcast is bounded; all rows of the corpus meet every block.
+An item shorter than ``SHORTEST`` normalised characters has no error budget: it is found
+verbatim, between word boundaries (scripts without blanks between words have none to ask for).
 
-Cases: null or empty texts match nothing; items shorter than ``SHORTEST`` normalised
-characters are not searched (they would match by chance); an empty benchmark leaves all
-documents clean; items that share an id are one item with several texts; repeated rows get equal results; other columns are never read.
+Items go out in blocks of at most ``BLOCK_CHARS`` characters and ``BLOCK_ITEMS`` items, and
+the hits of a block are written before the next one is broadcast, so what is alive at once is
+bounded; all rows of the corpus meet every block.
+
+Cases: null or empty texts, and items that normalise to nothing, match nothing; an empty
+benchmark leaves all documents clean; items that share an id (null is one) are one item with
+several texts; repeated rows get equal results; other columns are never read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import packed, ship, table
 
 RATE = 0.1
 SHORTEST = 40
@@ -39,8 +44,17 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+#: Characters of scripts without blanks between words.
+UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u1950-\u1aaf\u1b00-\u1b7f\u2e80-\ua4cf\ua980-\ua9df\uaa60-\uaa7f\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def budget(item: str, rate: float) -> int:
-    return int(len(item) * rate)
+    return int(len(item) * rate) if len(item) >= SHORTEST else 0
+
+
+def joined(left: str, right: str) -> bool:
+    """Whether the two neighbouring characters stand inside one word."""
+    return " " not in (left, right) and not UNSPACED.match(left) and not UNSPACED.match(right)
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -148,6 +162,11 @@ class Matcher:
                     start = at - self.cuts[k][j]
                     if out.get(i) == 0 or (k, start) in done:
                         continue
+                    if len(self.items[k][1]) < SHORTEST and (
+                            at and joined(part[at - 1], part[at]) or end + 1 < len(part) and joined(part[end], part[end + 1])
+                            # at a cut, where the neighbour is not seen, the stretch beside it holds the item too
+                            or not at and begin > self.reach or end + 1 == len(part) and begin + STRETCH + self.reach < len(text)):
+                        continue
                     d = self.verify(k, j, part, at)
                     if d is not None:
                         out[i] = min(d, out.get(i, d))
@@ -158,7 +177,7 @@ class Matcher:
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
     """The items, streamed to the driver a partition at a time, in bounded blocks."""
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), normalised(F.col(text_col)).alias("t")) \
-        .filter(F.col("i").isNotNull() & (F.length("t") >= SHORTEST)).distinct()
+        .filter(F.length("t") > 0).distinct()
     block, chars = [], 0
     for row in items.toLocalIterator():
         if block and (chars + len(row["t"]) > BLOCK_CHARS or len(block) >= BLOCK_ITEMS):
@@ -170,18 +189,37 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
         yield block
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
-         item_text: str = "text", rate: float = RATE) -> list[Column]:
-    """For each block of items a column of the matched items: array of (item_id, distance)."""
+KIND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()),
+                                 T.StructField("distance", T.IntegerType())]))
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
+              item_text: str = "text", rate: float = RATE) -> DataFrame:
+    """``row, found``: the rows of ``docs`` and their matched items, array of (item_id, distance).
+
+    A single block is matched where the rows stand. Of several, each writes its hits, by text,
+    before the next is broadcast, and the rows fetch them."""
     spark = docs.sparkSession
     ship(spark)
-    kind = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()),
-                                     T.StructField("distance", T.IntegerType())]))
-    out = []
-    for block in _blocks(benchmark, item_id, item_text):
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    blocks = _blocks(benchmark, item_id, item_text)
+    block, after = next(blocks, None), next(blocks, None)
+    if block is None:
+        return packed(docs, found=F.array().cast(KIND))
+    if after is None:
+        return packed(docs, found=_finder(spark.sparkContext.broadcast(block), rate, KIND)(normalised(text)))
+    key = F.struct(F.xxhash64(text), F.xxhash64(F.lit(1), text), F.length(text))
+    written = None
+    while block is not None:
         shared = spark.sparkContext.broadcast(block)
-        out.append(_finder(shared, rate, kind)(normalised(F.coalesce(F.col(text_col), F.lit("")))))
-    return out
+        found = docs.select(key.alias("key"), _finder(shared, rate, KIND)(normalised(text)).alias("found"))
+        part = table(found.filter(F.size("found") > 0).dropDuplicates(["key"]), "hits")
+        shared.destroy()
+        written = part if written is None else written.union(part)
+        block, after = after, next(blocks, None)
+    by_text = written.groupBy("key").agg(F.flatten(F.collect_list("found")).alias("found"))
+    return packed(docs, key=key).join(by_text, "key", "left") \
+        .select("row", F.coalesce("found", F.array().cast(KIND)).alias("found"))
 
 
 def _finder(shared, rate: float, kind: T.DataType):
@@ -191,7 +229,7 @@ def _finder(shared, rate: float, kind: T.DataType):
     def find(texts: pd.Series) -> pd.Series:
         if not made:
             made.append(Matcher(shared.value, rate))
-        return pd.Series([[{"item_id": i, "distance": d} for i, d in sorted(made[0].matches(t).items())]
+        return pd.Series([[{"item_id": i, "distance": d} for i, d in made[0].matches(t).items()]
                           for t in texts], index=texts.index, dtype=object)
 
     return find
@@ -200,23 +238,15 @@ def _finder(shared, rate: float, kind: T.DataType):
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """One row per document: ``doc_id, contaminated, n_items, item_ids, min_distance``."""
-    found = hits(docs, benchmark, text_col, item_id, item_text, rate)
-    rows = docs.select(F.col(id_col).alias("doc_id"), _joined(found).alias("found"))
+    rows = with_hits(docs, benchmark, text_col, item_id, item_text, rate) \
+        .select(F.col("row").getField(id_col).alias("doc_id"), "found")
     ids = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["item_id"])))
     return rows.select("doc_id", (F.size("found") > 0).alias("contaminated"),
                        F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"),
                        F.array_min(F.transform("found", lambda x: x["distance"])).alias("min_distance"))
 
 
-def _joined(found: list[Column]) -> Column:
-    if not found:
-        return F.array().cast("array<struct<item_id:bigint,distance:int>>")
-    return found[0] if len(found) == 1 else F.concat(*found)
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                       rate: float = RATE) -> DataFrame:
-    """``docs`` without the rows that hold a test item; columns unchanged. Rows are judged
-    where they stand, so repeated or null ids need no join."""
-    found = hits(docs, benchmark, text_col, rate=rate)
-    return docs.filter(F.size(_joined(found)) == 0) if found else docs
+    """``docs`` without the rows that hold a test item; columns unchanged."""
+    return with_hits(docs, benchmark, text_col, rate=rate).filter(F.size("found") == 0).select("row.*")
