@@ -64,6 +64,27 @@ def test_language_without_labels_or_with_one(spark):
     assert language_id.identify(frame(spark, [])).count() == 0
 
 
+def test_a_huge_language_keeps_its_share(spark):
+    for n in (401, 10**6, 4 * 10**8 + 1, 10**12):
+        share = (language_id.limit(n, 400) + 2**63) / 2**64
+        assert abs(share * n - 400) < 1e-3
+    rows = [row(i, "the and of", "en") for i in range(3000)] + [row(5000, "der die und", "de")]
+    model = language_id.train(frame(spark, rows), per_language=30)
+    assert model.languages == ["de", "en"]
+
+
+def test_all_labels_can_be_learned(spark):
+    rows = [row(i, f"w{i} " * 5, f"l{i:03d}") for i in range(300)]
+    model = None
+    old = language_id.linear_svm
+    try:                                                    # the machines are not the point
+        language_id.linear_svm = lambda x, y: language_id.np.zeros(x.shape[1] + 1, "float32")
+        model = language_id.train(frame(spark, rows))
+    finally:
+        language_id.linear_svm = old
+    assert len(model.languages) == 300
+
+
 def test_undetermined_rows_go(spark):
     rows = language_rows(n=40) + [row(900, None), row(901, "12 34")]
     got = language_id.drop_undetermined(frame(spark, rows))

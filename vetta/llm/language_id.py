@@ -27,7 +27,6 @@ from .shingles import groups_of
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 400
-MOST_LANGUAGES = 256
 SCALE = 30.0
 UNDETERMINED = "und"
 # Families of closely related languages (ISO 639-1); others stand alone.
@@ -133,18 +132,24 @@ class Model:
         return out
 
 
+def limit(rows: int, wanted: int) -> int:
+    """The largest signed 64-bit hash of a drawn row, so that about ``wanted`` of ``rows`` are drawn."""
+    return -(2**63) + min(2**64 - 1, 2**64 * wanted // rows)
+
+
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_language: int = PER_LANGUAGE) -> Model:
     """Fit on a bounded sample; only its feature vectors reach the driver."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count()
-              .orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return Model(np.zeros((0, DIMENSIONS), np.float32), [])
-    share = F.lit(0)
-    for language, n in counts.items():
-        share = F.when(F.col(lang_col) == language, F.lit(int(min(1, per_language / n) * 1e6))).otherwise(share)
-    drawn = rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1_000_000)) < share)
+    # a language with fewer rows than wanted is taken whole; a map, as there may be many labels
+    most = {language: limit(n, per_language) for language, n in counts.items() if n > per_language}
+    at_most = F.lit(2**63 - 1) if not most else F.coalesce(
+        F.try_element_at(F.create_map(*[F.lit(v) for pair in most.items() for v in pair]), F.col(lang_col)),
+        F.lit(2**63 - 1))
+    drawn = rows.filter(F.xxhash64(F.col(id_col), F.lit(17)) <= at_most)
     ship(labelled.sparkSession)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
