@@ -199,6 +199,17 @@ def test_pseudonyms_link_and_keep_their_format(spark):
     assert got[10].text is None and got[10].n_found == 0 and got[11].text == "" and got[12].text == texts[12]
 
 
+def test_cards_beside_other_numbers_are_found(spark):
+    spaced = "4111 1111 1111 1111"
+    texts = [spaced + " 123", f"12 {CARD}", f"12 27 {spaced}", f"1234 {spaced} 1234 5678", f"7 {CARD2} 4111-1111-1111-1111 9",
+             f"12 {CARD} 212-555-0187", "1 2 3 4 5 6 7 8 9 0 1 2", None, f"x{CARD}0000"]
+    got = texts_of(spark, texts)
+    for r in got[:6]:
+        assert not any(c in re.sub(r"[ -]", "", r.text) for c in (CARD, CARD2)) and r.n_card >= 1
+    assert got[0].text.endswith(" 123") and got[1].text.startswith("12 ") and got[2].text.startswith("12 27 ")
+    assert got[4].n_card == 2 and got[5].n_phone == 1 and got[6].text == texts[6] and got[7].text is None
+
+
 def test_pseudonyms_can_be_inverted(spark):
     texts = [f"{CARD} x 10.20.30.40 x 1999-12-31 x 212-555-0187 x b.c1@d.org x 123-45-6789", "5.5.5.5", "01/31/2001"]
     back = pii.pseudonymise(pii.pseudonymise(frame(spark, list(enumerate(texts))), "k"), "k", decrypt=True)

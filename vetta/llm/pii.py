@@ -5,7 +5,8 @@ numbers, IPv4 addresses, calendar dates (1800-2199) and the local part of e-mail
 Each value is permuted within its own format by a Feistel network keyed with SHA-256, so an
 equal value gets an equal pseudonym in every document and with any separators, and the key
 holder could invert it. Separators, lengths, letter case, the Luhn digit, the octet range
-and the validity of a date survive. What fails validation is left alone.
+and the validity of a date survive. What fails validation is left alone; a card is tried from
+and to every separator, so numbers beside it do not hide it.
 
 Everything is an expression on the row: no shuffle, no Python. Work beyond one pattern scan
 grows with the values found.
@@ -27,7 +28,10 @@ DATE = r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\d+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)"
 CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
-ANY = "|".join([EMAIL, IP, DATE, SSN, PHONE, CARD])
+OTHER = "|".join([EMAIL, IP, DATE, SSN, PHONE])
+ANY = "|".join([OTHER, CARD])
+#: At every group of digits, the longest reading of a card that starts there (captured, not consumed).
+READINGS = r"(?<!\d)(?=(\d(?:[ -]?\d){12,18}(?!\d)))\d"
 KINDS = ["email", "ip", "date", "ssn", "phone", "card"]
 CYCLE = 146097                          # days of 400 years: 189 * 773
 WIDE, NARROW = 189, 773
@@ -130,6 +134,24 @@ def _written_like(value: Column, day: Column) -> Column:
         .when(value.rlike(r"^\d{4}/"), F.date_format(day, "yyyy/MM/dd")).otherwise(out)
 
 
+def is_card(digits: Column) -> Column:
+    return F.length(digits).between(13, 19) & (luhn_sum(digits, 1) % 10 == 0) & (digits.cast("decimal(20,0)") > 0)
+
+
+def cards_of(text: Column) -> Column:
+    """The valid cards that begin and end at digit groups, whatever numbers stand beside them,
+    the longest first. A reading has at most 19 digits, so at most seven ends are tried."""
+    readings = F.array_distinct(F.regexp_extract_all(text, F.lit(READINGS), F.lit(1)))
+
+    def ends(reading: Column) -> Column:
+        cut = F.filter(F.sequence(F.lit(13), F.length(reading)),
+                       lambda k: ~F.substring(reading, k + 1, F.lit(1)).rlike(r"\d") & F.substring(reading, k, F.lit(1)).rlike(r"\d"))
+        return F.filter(F.transform(cut, lambda k: F.substring(reading, F.lit(1), k)), lambda v: is_card(digits_of(v)))
+
+    found = F.array_distinct(F.flatten(F.transform(readings, ends)))
+    return F.reverse(F.array_sort(F.transform(found, lambda v: F.struct(F.length(v).alias("n"), v.alias("v"))))).getField("v")
+
+
 def kind_of(value: Column) -> Column:
     """The validated kind of a found string, or null."""
     digits = digits_of(value)
@@ -142,8 +164,7 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike(f"^{DATE}$"), F.when(year.between(1800, 2199), F.lit("date"))) \
         .when(value.rlike(f"^{SSN}$"), F.when(ssn, F.lit("ssn"))) \
         .when(value.rlike(f"^{PHONE}$"), F.lit("phone")) \
-        .when(F.length(digits).between(13, 19) & (luhn_sum(digits, 1) % 10 == 0) & (digits.cast("decimal(20,0)") > 0),
-              F.lit("card"))
+        .when(is_card(digits), F.lit("card"))
 
 
 def pseudonym(value: Column, kind: Column, key: str, decrypt: bool = False) -> Column:
@@ -176,10 +197,15 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     some = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
     none = F.array().cast("array<string>")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"),
-                       F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none).alias("found"))
+                       F.when(text.rlike(CARD), cards_of(text)).otherwise(none).alias("cards"), some.alias("some"))
+    # valid cards are looked for by name, so a reading that fails validation consumes nothing
+    pattern = F.when(F.size("cards") > 0, F.concat(F.lit(OTHER + r"|(?<!\d)(?:"), F.array_join("cards", "|"), F.lit(r")(?!\d)"))) \
+        .otherwise(F.lit(OTHER))
+    rows = rows.withColumn("pattern", pattern) \
+        .withColumn("found", F.when(F.col("some"), F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(none))
     rows = rows.withColumn("kinds", F.transform("found", kind_of))
     new = F.zip_with("found", "kinds", lambda v, k: pseudonym(v, k, key, decrypt))
-    pieces = F.split("text", ANY, -1)
+    pieces = F.split("text", F.col("pattern"), -1)
     built = F.array_join(F.zip_with(pieces, new, lambda p, r: F.concat(p, F.coalesce(r, F.lit("")))), "")
     def count(kind: str) -> Column:
         return F.size(F.filter("kinds", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
