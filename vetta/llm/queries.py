@@ -7,7 +7,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, decontaminate, exact_dedup, interpolated_lm, language_id, licenses, line_dedup,
+from . import (byte_bpe, decontaminate, exact_dedup, importance, interpolated_lm, language_id, licenses, line_dedup,
                near_dedup, pii, suffix_dedup)
 from .common import LOWER, UPPER
 
@@ -61,6 +61,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance_ranks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")) \
+        .select("doc_id", "n_features", "weight", "score", "rank")
+
+
 _FOLDED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
 OP4_SQL = f"""
@@ -90,6 +95,32 @@ select n.doc_id, n.n_shingles, c.component_id, n.doc_id = c.component_id as kept
 from n join c on c.node = n.doc_id
 """
 
+OP13_SQL = f"""
+with
+w as (select 'd' as side, doc_id as id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents
+      union all
+      select 'b', item_id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') from benchmark),
+f as (select side, id, unnest(list_concat(words, list_transform(range(1, len(words)),
+             lambda i: words[i] || ' ' || words[i + 1]))) as gram from w),
+tab as (select list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, range(8)),
+             lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) as crc),
+x as (select distinct gram, hex(encode(gram)) as bytes from f),
+h as (select gram, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(bytes) // 2),
+             lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::bigint)),
+             lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) % 10000 as bucket from x, tab),
+b as (select bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 'b') as t from f join h using (gram) group by 1),
+g as (select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double
+             / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain from b),
+m as (select id, count(*) as n_features, floor(sum(gain)::double / count(*))::bigint as weight
+      from f join h using (gram) join g using (bucket) where side = 'd' group by 1),
+d as (select id as doc_id, len(words) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || id), 8))::bigint + 0.5::double)
+             / 4294967296::double)))::bigint as score from w left join m using (id) where side = 'd'),
+r as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from d where n_words >= 20)
+select doc_id, n_features, weight, score, case when place <= 25 * n // 100 then place end as rank
+from d left join r using (doc_id)
+"""
+
 QUERIES = {
     "op1_line_dedup": (op1_line_dedup, None),
     "op2_language_id": (op2_language_id, None),
@@ -101,4 +132,5 @@ QUERIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_near_dedup": (op9_near_dedup, OP9_SQL),
     "op10_decontaminate": (op10_decontaminate, None),
+    "op13_importance_resampling": (op13_importance_resampling, OP13_SQL),
 }
