@@ -6,10 +6,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (byte_bpe, decontaminate, exact_dedup, importance, interpolated_lm, language_id, licenses, line_dedup,
-               near_dedup, pii, suffix_dedup)
-from .common import LOWER, UPPER
+               near_dedup, periodic_runs, pii, suffix_dedup)
+from .common import LOWER, UPPER, text_of
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,32 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in documents whose crc32(doc_id as text) is a multiple of ten the words
+    from a place on repeat with a period; both follow from the crc (a null id is empty text)."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    none = F.array().cast("array<string>")
+    listed = docs.select("doc_id", "text", F.floor(h / 10).alias("g"),
+                         F.when(h % 10 == 0, F.regexp_extract_all(text_of("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+                         .otherwise(none).alias("words")).withColumn("n", F.size("words"))
+    placed = listed.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int")) \
+        .withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    block = F.expr("array_repeat(slice(words, a + 1, p), cast((n - a) div p + 1 as int))")
+    words = F.concat(F.expr("slice(words, 1, a)"), F.slice(F.flatten(block), F.lit(1), F.expr("n - a")))
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_periods(_read(spark, sf_dir, "documents")))
+    ranked = F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start.cast("string"), r.length.cast("string"),
+                                                               r.period.cast("string")), F.lit("\n")))
+    return found.withColumn("best", F.array_max(ranked)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), "best.length",
+        (-F.col("best.period")).alias("period"), F.expr("-(1000 * best.length div best.period)").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_ranks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")) \
         .select("doc_id", "n_features", "weight", "score", "rank")
@@ -132,5 +159,6 @@ QUERIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_near_dedup": (op9_near_dedup, OP9_SQL),
     "op10_decontaminate": (op10_decontaminate, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_importance_resampling": (op13_importance_resampling, OP13_SQL),
 }
