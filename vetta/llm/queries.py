@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (byte_bpe, decontaminate, exact_dedup, importance, interpolated_lm, language_id, licenses, line_dedup,
-               near_dedup, periodic_runs, pii, suffix_dedup)
+               near_dedup, periodic_runs, pii, suffix_dedup, warc)
+from vetta.session import scratch_path
+
 from .common import LOWER, UPPER, text_of
 
 
@@ -62,6 +64,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_warc(_read(spark, sf_dir, "pages"), path)
+    found = warc.with_page_ids(warc.captures(spark, path))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes",
+                        F.coalesce("found_digest", "payload_digest").alias("payload_digest"), F.col("type").alias("record_type"),
+                        F.col("refers_to_page").cast("long").alias("refers_to"))
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """``doc_id, text``: in documents whose crc32(doc_id as text) is a multiple of ten the words
     from a place on repeat with a period; both follow from the crc (a null id is empty text)."""
@@ -122,6 +133,17 @@ select n.doc_id, n.n_shingles, c.component_id, n.doc_id = c.component_id as kept
 from n join c on c.node = n.doc_id
 """
 
+OP11_SQL = """
+with p as (select page_id, coalesce(html, '') as x from pages),
+d as (select page_id, strlen(x) as payload_bytes, sha1(x) as digest, max(page_id) over (partition by x) as best from p)
+select page_id, payload_bytes, translate(to_base(('0x' || digest[1:10])::bigint, 32, 8) || to_base(('0x' || digest[11:20])::bigint, 32, 8)
+           || to_base(('0x' || digest[21:30])::bigint, 32, 8) || to_base(('0x' || digest[31:40])::bigint, 32, 8),
+           '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest,
+       case when page_id = best then 'response' else 'revisit' end as record_type,
+       case when page_id <> best then best end as refers_to
+from d
+"""
+
 OP13_SQL = f"""
 with
 w as (select 'd' as side, doc_id as id, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents
@@ -159,6 +181,7 @@ QUERIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_near_dedup": (op9_near_dedup, OP9_SQL),
     "op10_decontaminate": (op10_decontaminate, None),
+    "op11_warc": (op11_warc, OP11_SQL),
     "op12_periodic_runs": (op12_periodic_runs, None),
     "op13_importance_resampling": (op13_importance_resampling, OP13_SQL),
 }
