@@ -1,12 +1,15 @@
 """Dense numbering, seeded shuffles, exact splits, folds and batches.
 
 ``dense_index`` is the one primitive: a 0-based position in a total order, optionally
-restarting per group. Only the order and group columns are range partitioned, sorted and
-frozen with a reliable checkpoint (so a lost executor recomputes nothing
-non-deterministic) and numbered with ``monotonically_increasing_id``; the payload joins
-the positions on the order columns. Per-(partition, group) counts turn local positions
-into global ones. A null group is a group like any other. ``split`` needs no numbering at
-all: hash-prefix counts give the one row per stratum at which the parts meet.
+restarting per group. Rows that agree in the order columns follow one another by a hash of
+the whole row; rows equal in everything are counted before any exchange and written out
+again as so many copies, so each row gets one position whatever the keys. Only order and
+group columns and the hash are range partitioned, sorted and frozen with a reliable
+checkpoint (so a lost executor recomputes nothing non-deterministic) and numbered with
+``monotonically_increasing_id``; the payload joins the positions on them. Per-(partition,
+group) counts turn local positions into global ones. A null group is a group like any
+other. ``split`` needs no numbering at all: hash-prefix counts give the one row per stratum
+at which the parts meet.
 """
 
 from __future__ import annotations
@@ -26,24 +29,51 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; maps, which have no order, count as their JSON text."""
+    def part(f):
+        name = F.col(f"`{f.name}`")
+        return F.to_json(F.struct(name)) if "map<" in f.dataType.simpleString() else name
+    return F.xxhash64(*[part(f) for f in df.schema.fields])
+
+
+#: Copies of one row that a task writes out.
+COPIES = 100_000
+
+
+def _copies(df: DataFrame, out: str) -> DataFrame:
+    """Each row ``__c`` times, ``out`` counting on from ``__start``. The copies of a frequent row
+    are dealt over the tasks in blocks."""
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__c") - 1) / COPIES)))
+    dealt = df.withColumn("__block", block).repartition(F.xxhash64(F.col("__start"), F.col("__block")))
+    low = F.col("__start") + F.col("__block") * COPIES
+    high = F.least(low + COPIES, F.col("__start") + F.col("__c")) - 1
+    return dealt.withColumn(out, F.explode(F.sequence(low, high)))
+
+
 def dense_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
                 out: str = "idx", group_size: str | None = None,
                 partitions: int | None = None) -> DataFrame:
-    """Add a 0-based position ``out`` following the columns ``order`` (``"-c"``: descending;
-    together a total order), restarting inside each ``by`` group (nulls are one group).
+    """Add a 0-based position ``out`` following the columns ``order`` (``"-c"``: descending),
+    restarting inside each ``by`` group (nulls are one group). Rows that agree in all of
+    them keep their number of rows and stand in an order that their content gives.
     ``group_size`` optionally adds the group's row count from the same count table."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     keys = list(dict.fromkeys([*by, *(c.removeprefix("-") for c in order)]))
-    sort = [*_cols(by), *[F.col(c[1:]).desc() if c.startswith("-") else F.col(c) for c in order]]
+    whole = set(df.columns) <= set(keys)
+    marked = df if whole else df.withColumn("__h", _row_hash(df))
+    ident = keys if whole else [*keys, "__h"]
+    sort = [*_cols(by), *[F.col(c[1:]).desc() if c.startswith("-") else F.col(c) for c in order],
+            *([] if whole else [F.col("__h")])]
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    narrow = (df.select(*keys).repartitionByRange(n, *sort).sortWithinPartitions(*sort)
-              .checkpoint(eager=True))
+    narrow = (marked.groupBy(*ident).agg(F.count(F.lit(1)).alias("__c"))
+              .repartitionByRange(n, *sort).sortWithinPartitions(*sort).checkpoint(eager=True))
+    ties = not narrow.filter("__c > 1").isEmpty()
     tagged = narrow.withColumn("__mid", F.monotonically_increasing_id()).withColumns({
         "__pid": F.shiftrightunsigned(F.col("__mid"), 33),
         "__pos": F.col("__mid").bitwiseAND(F.lit(_LOW33))})
-    counts = tagged.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("__n"),
-                                              F.min("__pos").alias("__first"))
+    counts = tagged.groupBy("__pid", *by).agg(F.sum("__c").alias("__n"), F.min("__pos").alias("__first"))
     w = Window.partitionBy(*by).orderBy("__pid")
     counts = counts.withColumn(
         "__off", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -58,15 +88,24 @@ def dense_index(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     on = F.col("__pid") == F.col("__cpid")
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"__c_{c}"))
-    placed = tagged.join(small, on).select(
-        *keys, (F.col("__off") + F.col("__pos") - F.col("__first")).alias(out), *extra)
-    if set(df.columns) <= set(keys):
-        return placed.select(*df.columns, out, *extra)
-    right = placed.select(*[F.col(k).alias(f"__k_{k}") for k in keys], out, *extra)
+    if ties:                                            # positions count rows, not distinct rows
+        before = Window.partitionBy("__pid", *by).orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
+        tagged = tagged.withColumn("__at", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    inside = F.col("__at") if ties else F.col("__pos") - F.col("__first")
+    placed = tagged.join(small, on).select(*ident, (F.col("__off") + inside).alias("__start"), "__c", *extra)
+    if whole:
+        numbered = _copies(placed, out) if ties else placed.withColumnRenamed("__start", out)
+        return numbered.select(*df.columns, out, *extra)
+    right = placed.select(*[F.col(k).alias(f"__k_{k}") for k in ident], "__start", "__c", *extra)
     same = F.lit(True)
-    for k in keys:
+    for k in ident:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return df.join(right, same).select(*df.columns, out, *extra)
+    joined = marked.join(right, same)
+    if not ties:
+        return joined.select(*df.columns, F.col("__start").alias(out), *extra)
+    once = joined.filter("__c = 1").withColumn(out, F.col("__start"))
+    again = _copies(joined.filter("__c > 1").dropDuplicates(ident), out)
+    return once.select(*df.columns, out, *extra).unionByName(again.select(*df.columns, out, *extra))
 
 
 def shuffle_order(df: DataFrame, key: str, seed: int = 42, out: str = "idx") -> DataFrame:

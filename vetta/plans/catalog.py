@@ -532,6 +532,14 @@ def q_o2(spark, d):
     return O.head_rows(R.table(spark, d, "documents").select("doc_id", "source"), ["doc_id"], 100001)
 
 
+@register("o2_row_cap_third", """
+SELECT doc_id, source FROM (SELECT *, row_number() OVER (ORDER BY source, doc_id) AS r, count(*) OVER () AS n FROM documents)
+WHERE r <= n // 3""")
+def q_o2b(spark, d):
+    doc = R.table(spark, d, "documents").select("doc_id", "source")
+    return O.head_rows(doc, ["source", "doc_id"], doc.count() // 3)
+
+
 @register("o3_dense_index", """
 SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS idx FROM documents""")
 def q_o3(spark, d):
@@ -549,6 +557,20 @@ def q_o3b(spark, d):
                          group_size="lang_rows").select("doc_id", "lang", "idx", "lang_rows")
 
 
+@register("o3_repeated_keys", """
+SELECT lang, count(*) AS rows, min(i) AS first, max(i) AS last, count(DISTINCT i) AS positions,
+       count(*) FILTER (WHERE i % 3 = 0) AS fold0, count(*) FILTER (WHERE i % 3 = 1) AS fold1
+FROM (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM documents) GROUP BY lang""")
+def q_o3c(spark, d):
+    """Documents numbered by language alone: rows of a language stand in some order of their
+    own, and take every position of their range once."""
+    doc = O.dense_index(R.table(spark, d, "documents"), ["lang"], out="i")
+    return doc.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("i").alias("first"), F.max("i").alias("last"),
+        F.countDistinct("i").alias("positions"), F.count_if(F.col("i") % 3 == 0).alias("fold0"),
+        F.count_if(F.col("i") % 3 == 1).alias("fold1"))
+
+
 @register("o4_stratified_split", """
 SELECT doc_id, toxic, CASE WHEN row_number() OVER (PARTITION BY toxic ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1
                            < floor(count(*) OVER (PARTITION BY toxic) * 0.75) THEN 'train' ELSE 'test' END AS split
