@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -106,12 +107,73 @@ def test_drop_near_keeps_clean_documents(spark):
     assert got.columns == frame(spark, rows).columns
 
 
-def test_links_that_no_hub_is_part_of(spark):
-    # band 1 is a drifting chain of 300 copies, each like the next one alone; its busiest is like none
-    rows = [(1, n, 1000 - n) for n in range(1, 301)] + [(2, n, 7) for n in (500, 501, 502)] + [(3, n, 7) for n in (600, 601)]
-    member = spark.createDataFrame(rows, "band long, node long, busy long")
-    got = {r.node: r.root for r in linked(member, lambda met: met.filter("v - u = 1 and u <> 1 and v <> 502")).collect()}
-    assert got == {**{n: 2 for n in range(2, 301)}, 500: 500, 501: 500, 600: 600, 601: 600}
+def link_sets(spark, sets, buckets, numerator, denominator):
+    """Components by ``linked`` over explicit sets (node -> set), the pairs confirmed, and brute force."""
+    from pyspark.sql import functions as F
+    table = spark.createDataFrame([(n, sorted(s)) for n, s in sets.items()], "node long, s array<long>").cache()
+    member = spark.createDataFrame([(b, n, busy) for b, nodes in buckets.items() for n, busy in nodes], "band long, node long, busy long")
+    pairs = []
+
+    def joined(met, u, v):
+        a = table.select(F.col("node").alias(u), F.col("s").alias("a"))
+        return met.join(a, u).join(table.select(F.col("node").alias(v), F.col("s").alias("b")), v)
+
+    def confirm(met):
+        pairs.append(met.count())
+        common = F.size(F.array_intersect("a", "b"))
+        return joined(met, "u", "v").filter(common * denominator >= (F.size("a") + F.size("b") - common) * numerator).select("u", "v")
+
+    def differences(met):
+        return joined(met, "hub", "node").select("hub", "node", F.size("a").alias("nh"), F.size("b").alias("nx"),
+                                                 F.concat(F.array_except("a", "b"), F.array_except("b", "a")).alias("d"))
+
+    got = {r.node: r.root for r in linked(member, confirm, differences, numerator, denominator).collect()}
+    def brute(groups):
+        parent = {n: n for n in sets}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+        for nodes in groups:
+            for a, b in itertools.combinations(nodes, 2):
+                common = len(sets[a] & sets[b])
+                if common * denominator >= (len(sets[a]) + len(sets[b]) - common) * numerator:
+                    a, b = sorted((find(a), find(b)))
+                    parent[b] = a
+        return {n: find(n) for n in sets}
+
+    want, most = brute([n for n, _ in nodes] for nodes in buckets.values()), brute([list(sets)])
+    for n in sets:                                        # no link of a bucket missed, none but true ones found
+        assert got.get(n, n) == got.get(want[n], want[n]) and most[got.get(n, n)] == most[n]
+    return sum(pairs), len(set(want.values()))
+
+
+@pytest.mark.parametrize("numerator", [85, 80])
+def test_links_that_no_hub_is_part_of(spark, numerator):
+    rng = random.Random(numerator)
+    base = set(range(100))
+    chain = {n: set(range(4 * n, 4 * n + 60)) for n in range(1, 121)}       # each like the next ones alone
+    busy = {n: 1000 - n for n in chain}
+    pairs, _ = link_sets(spark, chain, {1: list(busy.items())}, numerator, 100)
+    assert pairs < 40 * len(chain) / 2
+    # copies with windows of their own replaced, a few or many, a cluster among them, and a hub unlike all
+    star = {}
+    for n in range(1, 401):
+        copy = set(range(150))
+        for k in range(rng.randrange(2, 9)):
+            at = rng.randrange(146)
+            copy = copy - set(range(at, at + 5)) | {1000 * n + 10 * k + w for w in range(5)}
+        star[n] = copy
+    star |= {n: set(range(1, 130)) | {7, 10**6 + n % 3} | set(range(2000, 2060)) for n in range(401, 431)}
+    star[500] = set(range(30, 100)) | set(range(5000, 5040))
+    pairs, groups = link_sets(spark, star, {1: [(n, 900 if n == 500 else n) for n in star]}, numerator, 100)
+    assert groups > 50 and pairs < 20 * len(star)
+    # several buckets with random sets of random sizes
+    mixed = {n: set(rng.sample(range(40), rng.randrange(1, 40))) for n in range(1, 200)}
+    buckets = {b: [(n, rng.randrange(9)) for n in rng.sample(sorted(mixed), 40)] for b in range(6)}
+    busy = {n: rng.randrange(9) for n in mixed}
+    link_sets(spark, mixed, {b: [(n, busy[n]) for n, _ in nodes] for b, nodes in buckets.items()}, numerator, 100)
 
 
 def test_minhash_agreement_estimates_similarity():

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import os
 import string
 import tempfile
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vetta.session import scratch_path
@@ -118,39 +119,96 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             return roots
 
 
-def linked(member: DataFrame, confirm: Callable[[DataFrame], DataFrame], star_rounds: int = 2,
-           hubs: int = 8) -> DataFrame:
+#: Buckets of at most so many nodes may be compared pair by pair.
+FEW = 8
+#: How often buckets are dealt into finer ones before what is left is compared pair by pair.
+DEALS = 2
+
+
+def _rooted(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band, node, busy, root, n, hub`` of the buckets that hold more than one component."""
+    own = member.join(roots, "node", "left") \
+        .select("band", "node", "busy", F.coalesce("root", "node").alias("root"))
+    whole = own.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"),
+                                    F.max(F.struct("busy", "node", "root")).alias("hub"))
+    return own.join(whole.filter("low <> high").select("band", "n", "hub"), "band")
+
+
+#: Sizes of differences in one class are within this ratio.
+RATIO = 1.15
+
+
+def refined(hubs: DataFrame, differences: Callable[[DataFrame], DataFrame], numerator: int, denominator: int) -> DataFrame:
+    """Finer buckets ``band, node, busy`` for the pairs that the hub of a bucket was no part of.
+
+    ``hubs``: ``hub, node, busy``; ``differences`` adds ``nh, nx`` (set sizes) and ``d`` (hashes of
+    the elements in one of the two sets only) to ``hub, node`` pairs. Write t for the threshold,
+    r = (1-t)/(1+t), and D(x) for the difference of x to the hub. The difference of linked sets
+    a, b has at most k = |a|(1-t)/t elements (and r(|a|+|b|)), and it is that of D(a) and D(b).
+    So |D(a)| and |D(b)| are at most k apart and share (|D(a)| + |D(b)| - k) / 2 elements at
+    least. One of the two does not link with the hub, that is, has |D| > r(|x|+|hub|); as
+    |D(a)| >= ||a|-|hub||, they share at least one element in any case. Linked nodes therefore
+    meet at one of the rarest elements of their differences, up to the prefix which that
+    overlap leaves, taken for each class of sizes of the other's difference. Copies that
+    differ by edits of their own do not meet."""
+    more, less = numerator + denominator, denominator - numerator
+    nd, nh, nx = F.col("nd"), F.col("nh"), F.col("nx")
+    close = nd * more <= (nx + nh) * less
+    twice = F.when(close, nd * more + (nh - nx) * less).otherwise(nd * more - (nx + nh) * less)
+    least = F.greatest(F.lit(1), F.ceil(twice / (2 * more) - F.lit(1e-9)))
+    found = differences(hubs.select("hub", "node")).withColumn("nd", F.size("d"))
+    each = table(found.select("hub", "node", "nd", least.alias("least"), F.floor(nx * less / F.lit(numerator)).alias("k"),
+                              F.explode_outer("d").alias("element")), "differences")
+    shared = each.groupBy("hub", "element").agg(F.count("*").alias("often")).filter("often > 1 and element is not null")
+    own = Window.partitionBy("hub", "node")
+    place = F.row_number().over(own.orderBy("often", "element")) + F.col("nd") - F.count("*").over(own)
+    near = each.join(shared, ["hub", "element"]).withColumn("place", place).filter("place <= nd - least + 1")
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(math.log(RATIO))).cast("int")
+
+    other = F.explode(F.sequence(size_class(nd - F.col("k")), size_class(nd + F.col("k"))))
+    dealt = near.withColumn("other", other).withColumn("mine", size_class(nd))
+    fewest = F.ceil(F.pow(F.lit(RATIO), F.col("other")) - F.lit(1e-6))
+    dealt = dealt.filter(F.col("place") <= nd - F.ceil((nd + fewest - F.col("k")) / 2) + 1)
+    band = F.xxhash64("hub", "element", F.least("mine", "other"), F.greatest("mine", "other"))
+    return dealt.join(hubs, ["hub", "node"]).select(band.alias("band"), "node", "busy")
+
+
+def linked(member: DataFrame, confirm: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame],
+           numerator: int, denominator: int) -> DataFrame:
     """``node, root`` of the components that candidate buckets and ``confirm`` give.
 
-    ``member``: ``band, node, busy`` rows of buckets with two nodes at least; ``confirm``
-    keeps the true links of ``u, v`` pairs. In the first star round every node of a bucket
-    meets only the bucket's busiest node, in later ones the busiest nodes of up to ``hubs``
-    other components, dealt anew each round; buckets whose nodes share a component are done.
-    The last round, which always comes, compares what is left across components, so no link
-    between components is missed, and a bucket of like nodes is never expanded into all its
-    pairs."""
+    ``member``: ``band, node, busy`` rows of buckets; ``confirm`` keeps the true links of ``u, v``
+    pairs. Every node of a bucket meets the bucket's busiest node, its hub. A bucket whose
+    nodes then share a component is done; one of at most ``FEW`` nodes compares its pairs
+    across components; a larger one is dealt into finer buckets by what its nodes have and
+    the hub has not, or the other way (:func:`refined`), which begin anew without that hub.
+    The pairs across components that share a bucket after ``DEALS`` deals, which differ from
+    the hubs in the same rare elements, are compared one by one. So no link between
+    components is missed, and a bucket of like nodes is never expanded into its pairs."""
     spark = member.sparkSession
     seen, links = empty(spark, "u long, v long"), empty(spark, "u long, v long")
-    roots = empty(spark, "node long, root long")
-    for step in range(star_rounds + 1):
-        own = member.join(roots, "node", "left") \
-            .select("band", "node", "busy", F.coalesce("root", "node").alias("root"))
-        unlike = own.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")) \
-            .filter("low <> high").select("band")
-        own = own.join(unlike, "band")
-        if step < star_rounds:
-            slot = F.pmod(F.xxhash64("root", F.lit(step)), F.lit(hubs if step else 1))
-            hub = own.groupBy("band", slot.alias("slot")).agg(F.max(F.struct("busy", "node", "root")).alias("hub"))
-            met = own.join(hub, "band").filter("root <> hub.root") \
-                .select(F.col("hub.node").alias("u"), F.col("node").alias("v"))
-        else:
-            met = own.alias("a").join(own.alias("b"), F.expr("a.band = b.band and a.root < b.root")) \
-                .select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    roots, few = empty(spark, "node long, root long"), None
+    for deal in range(DEALS + 2):
+        own = table(_rooted(member, roots), "rooted")
+        met = own.filter("root <> hub.root").select(F.col("hub.node").alias("u"), F.col("node").alias("v"))
+        if few is not None:
+            met = met.union(few.alias("a").join(few.alias("b"), F.expr("a.band = b.band and a.root < b.root"))
+                            .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
         met = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         met = table(met.join(seen, ["u", "v"], "left_anti"), "met")
-        if met.isEmpty():
-            continue                        # the buckets left may still hold pairs no hub was part of
-        seen = seen.union(met)
-        links = links.union(table(confirm(met), "links"))
-        roots = components(links)
+        if not met.isEmpty():
+            seen = seen.union(met)
+            links = links.union(table(confirm(met), "links"))
+            roots = components(links)
+        left = table(_rooted(own.select("band", "node", "busy"), roots).filter("n > 2"), "left")
+        few = left.filter(F.col("n") <= (FEW if deal < DEALS else 2**62)).select("band", "node", "root")
+        hubs = left.filter((F.col("n") > FEW) & (F.col("node") != F.col("hub.node"))) \
+            .select(F.col("hub.node").alias("hub"), "node", "busy").distinct()
+        if left.isEmpty():
+            break
+        none = empty(spark, "band long, node long, busy long")
+        member = none if deal >= DEALS or hubs.isEmpty() else \
+            table(refined(table(hubs, "hubs"), differences, numerator, denominator), "refined")
     return roots

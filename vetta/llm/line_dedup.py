@@ -114,6 +114,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, numerator: int, denominator: i
         .select("u", "v")
 
 
+def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``hub, node, nh, nx, d``: the sizes of both sets and hashes of the shingles in one only."""
+    a = texts.select(F.col("node").alias("hub"), F.col("line").alias("lh"))
+    sets = pairs.join(texts.select("node", "line"), "node").join(a, "hub") \
+        .select("hub", "node", shingles(F.col("lh")).alias("sh"), shingles(F.col("line")).alias("sx"))
+    either = F.concat(F.array_except("sh", "sx"), F.array_except("sx", "sh"))
+    return sets.select("hub", "node", F.size("sh").alias("nh"), F.size("sx").alias("nx"),
+                       F.transform(either, lambda x: F.xxhash64(x)).alias("d"))
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """``node, first``: for every line text that occurs more than once or has a near
@@ -131,7 +141,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     busy = member.groupBy("node").agg(F.sum("size").alias("busy"))
     texts = table(lines.join(busy, "node").select("node", "line"), "candidates", "zstd")
     roots = linked(member.join(busy, "node").select("band", "node", "busy"),
-                   lambda pairs: confirmed(pairs, texts, numerator, denominator))
+                   lambda pairs: confirmed(pairs, texts, numerator, denominator),
+                   lambda pairs: differences(pairs, texts), numerator, denominator)
     rooted = lines.select("node", "first", "n").join(roots, "node", "left") \
         .filter("n > 1 or root is not null").select("node", "first", F.coalesce("root", "node").alias("root"))
     stay = rooted.groupBy("root").agg(F.min("first").alias("first"))

@@ -7,11 +7,11 @@ coordinate. ``BANDS`` bands of ``ROWS`` coordinates give candidates (a pair at t
 of 0.85 is missed with probability 4e-7); confirmation is exact, on the full sets.
 
 Scale: documents with equal sets are one node from the start, so thousands of copies cost
-one node. Within a bucket every node meets only the bucket's busiest node, confirmed pairs
-join components, and later rounds look only at buckets that still hold more than one
-component; the last round compares what is left across components, so no link is lost
-and no bucket is expanded into all its pairs. Buckets and hubs pre-aggregate; set joins are
-equi-joins that adaptive execution can split.
+one node. Within a bucket every node meets only the bucket's busiest node, and confirmed pairs
+join components. A bucket that still holds more than one is dealt anew by the shingles in
+which its nodes differ from that hub, rarest first, so no link is lost and no bucket is
+expanded into all its pairs (see ``common.linked``). Buckets and hubs pre-aggregate; set joins
+are equi-joins that adaptive execution can split.
 
 Cases: null or word-less texts have an empty set, link with nothing, and stay; rows that
 repeat an id with the same text share one row's result; a null id takes part, but is
@@ -131,6 +131,19 @@ def _common(a: pd.Series, b: pd.Series) -> pd.Series:
                       for x, y in zip(a, b)], dtype="int64")
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _either(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), True) for x, y in zip(a, b)], dtype=object)
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``hub, node, nh, nx, d``: the sizes of both sets and the shingles in one of them only."""
+    a = sets.select(F.col("node").alias("hub"), F.col("shingles").alias("sh"))
+    both = pairs.join(sets.select("node", F.col("shingles").alias("sx")), "node").join(a, "hub")
+    return both.select("hub", "node", (F.octet_length("sh") / 8).cast("long").alias("nh"),
+                       (F.octet_length("sx") / 8).cast("long").alias("nx"), _either("sh", "sx").alias("d"))
+
+
 def similar_enough(pairs: DataFrame, nodes: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Pairs whose sizes allow the threshold and whose signatures agree on at least the
     threshold less 0.25 (more than six standard deviations below it)."""
@@ -163,7 +176,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str,
     sets = table(full_sets(docs, wanted, id_col, text_col, width), "sets")
     member = table(member.join(wanted.select("node", "busy"), "node").select("band", "node", "busy"), "members")
     return linked(member, lambda pairs: confirmed(
-        similar_enough(pairs, nodes, numerator, denominator), sets, numerator, denominator))
+        similar_enough(pairs, nodes, numerator, denominator), sets, numerator, denominator),
+        lambda pairs: differences(pairs, sets), numerator, denominator)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
