@@ -1095,7 +1095,7 @@ def q_c1m(spark, d):
 # =====================================================================================
 from vetta.sources import readers as RD  # noqa: E402
 from vetta.sources import writers as WR  # noqa: E402
-from vetta.streaming import dedup_stream, moderate_stream  # noqa: E402
+from vetta.streaming import dedup_stream, keep_first_stream, moderate_stream  # noqa: E402
 
 _DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()),
                             T.StructField("text", T.StringType())])
@@ -1142,6 +1142,31 @@ def q_t2(spark, d):
     return spark.read.schema("user_id long, event_type string").parquet(f"{base}/out")
 
 
+@register("t2_stream_keep_first", """
+WITH e AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events),
+r AS (SELECT *, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 6 HOUR THEN 1 ELSE 0 END)
+                  OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS run FROM e)
+SELECT user_id, event_type, min(event_id) AS event_id FROM r GROUP BY user_id, event_type, run""")
+def q_t2k(spark, d):
+    """Events arrive as JSON files in no order of time; of each run of repeats of (user, event
+    type) at most six hours apart the row with the smallest id stays. A last event far ahead
+    moves the watermark past every run."""
+    base = scratch_path(spark, "t2k")
+    cols = ["event_id", "ts", "user_id", "event_type"]
+    events = R.table(spark, d, "events").select(*cols)
+    _feed_files(events.repartition(4, "event_id"), f"{base}/in")
+    end = events.agg((F.max("ts") + F.expr("INTERVAL 5000 DAYS")).alias("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(None).cast("long").alias("user_id"), F.lit("end").alias("event_type"))
+    end.write.mode("append").json(f"{base}/in")
+    stream = spark.readStream.schema(_EVENT_SCHEMA).option("maxFilesPerTrigger", 2).json(f"{base}/in")
+    out = keep_first_stream(stream, ["user_id", "event_type"], ["event_id"], "ts", "6 hours", "4000 days")
+    q = (out.select("user_id", "event_type", "event_id").writeStream.format("parquet")
+         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema("user_id long, event_type string, event_id long").parquet(f"{base}/out")
+
+
 # =====================================================================================
 # Sources and sinks (S1-S5, S8-S10): round trips through files Spark writes from the tables
 # =====================================================================================
