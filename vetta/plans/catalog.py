@@ -137,6 +137,24 @@ def q_p21j(spark, d):
     return lexicon_join(R.table(spark, d, "documents"), "doc_id", "text", words)
 
 
+_SQL_ITEM_WORDS = ("lex AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{10,}')) AS word FROM benchmark)")
+
+
+@register("p21_lexicon_index", f"WITH {_SQL_ITEM_WORDS}" + """
+SELECT doc_id, CAST(EXISTS (SELECT 1 FROM lex WHERE contains(lower(text), word)) AS INTEGER) AS part,
+       CAST(EXISTS (SELECT 1 FROM lex WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || word || '([^\\p{L}\\p{N}_]|$)'))
+            AS INTEGER) AS whole FROM documents""")
+def q_p21i(spark, d):
+    """The list is every word of ten letters or more of the benchmark: found inside words of the
+    documents, and as whole words, by the q-gram index."""
+    from vetta.operators.features import lexicon_join
+    long_words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{10,}"), F.lit(0))
+    words = R.table(spark, d, "benchmark").select(F.explode(long_words).alias("word"))
+    doc = R.table(spark, d, "documents")
+    part = lexicon_join(doc, "doc_id", "text", words, out="part", whole_word=False)
+    return part.join(lexicon_join(doc, "doc_id", "text", words, out="whole"), "doc_id")
+
+
 @register("p6_render_prompt", _with(R.SQL_REQUESTS) + f"""
 SELECT id, {S.strip_ws("replace(" + " || '            ' || ".join([
     "'Business Name: ' || coalesce(name, 'None')", "'Category: ' || coalesce(category, 'None')",
