@@ -1192,18 +1192,27 @@ _S1_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()),
                            T.StructField("source", T.StringType()),
                            T.StructField("lang", T.StringType()),
                            T.StructField("flag", T.StringType()),
-                           T.StructField("ok", T.BooleanType())])
+                           T.StructField("ok", T.BooleanType()),
+                           T.StructField("text", T.StringType())])
+
+
+def _py_string(c) -> "F.Column":
+    """A text as a Python string literal: é and double quotes as escapes, the rest as repr does."""
+    out = F.col(c)
+    for ch, esc in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("é", "\\xe9"), ('"', "\\042"), ("ü", "\\u00fc")):
+        out = F.replace(out, F.lit(ch), F.lit(esc))
+    return F.concat(F.lit("'"), out, F.lit("'"))
 
 
 def _s1_files(spark, d) -> str:
-    """JSON lines: strict JSON for most documents, a Python-literal line (single quotes,
-    None, True) for every fifth, plus a blank line and a garbage line after every seventh."""
+    """JSON lines with whole texts: strict JSON for most documents, a Python-literal line (escapes,
+    joined strings, None, True) for every fifth, plus a blank and a garbage line after every seventh."""
     doc = R.table(spark, d, "documents")
     js = F.to_json(F.struct("doc_id", "source", "lang", F.lit(None).cast("string").alias("flag"),
-                            F.lit(True).alias("ok")))
+                            F.lit(True).alias("ok"), "text"))
     py = F.concat(F.lit("{'doc_id': "), F.col("doc_id").cast("string"), F.lit(", 'source': '"),
-                  F.col("source"), F.lit("', 'lang': '"), F.col("lang"),
-                  F.lit("', 'flag': None, 'ok': True}"))
+                  F.col("source"), F.lit("', 'lang': '' u'"), F.col("lang"),
+                  F.lit("', 'flag': None, 'ok': True, 'text': "), F.coalesce(_py_string("text"), F.lit("None")), F.lit(",}"))
     line = F.when(F.col("doc_id") % 5 == 1, py).otherwise(js)
     extra = F.when(F.col("doc_id") % 7 == 0,
                    F.array(F.lit("   "), F.concat(F.lit("garbage "), F.col("doc_id").cast("string"))))
@@ -1214,7 +1223,7 @@ def _s1_files(spark, d) -> str:
     return path
 
 
-@register("s1_read_json_lines", "SELECT doc_id, source, lang, NULL::VARCHAR AS flag, true AS ok FROM documents")
+@register("s1_read_json_lines", "SELECT doc_id, source, lang, NULL::VARCHAR AS flag, true AS ok, text FROM documents")
 def q_s1(spark, d):
     good, _ = RD.read_json_lines(spark, _s1_files(spark, d), _S1_SCHEMA)
     return good

@@ -13,10 +13,17 @@ from vetta.functions.text import NON_WS, WS, strip_ws
 
 _CORRUPT = "_corrupt"
 
-# Python literals and their JSON spelling.
-PY_LITERALS = [("None", "null"), ("True", "true"), ("False", "false")]
-# A quoted Python string, or what stands between two of them.
-_PIECE = (r"(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|" r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|' r"""[^'"]++|.""")
+# Python constants and their JSON spelling.
+PY_CONSTANTS = [("None", "null"), ("True", "true"), ("False", "false")]
+# A token of a Python literal: a string (prefixes r and u), a name, a number, or one character.
+_STRING = r"""[rRuU]?(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+")"""
+_TOKEN = rf"(?s){_STRING}|[A-Za-z_]\w*+|[0-9.][0-9A-Za-z_.]*+(?:(?<=[eE])[+-][0-9_]++)?|."
+# A part of a string's content: an escape or what stands between two.
+_PART = r"(?s)\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{1,3}|.)|[^\\]++"
+# Where a string starts and ends while the structure is rewritten; no JSON text holds these.
+_OPEN, _SHUT = "\x01", "\x02"
+# Structure characters are escaped inside strings, so that the rewriting does not meet them there.
+_STRUCTURE = ['"', "(", ")", "[", "]", "{", "}", ",", ":", "+", _OPEN, _SHUT]
 
 
 def _as_text(schema: T.StructType) -> T.StructType:
@@ -24,11 +31,10 @@ def _as_text(schema: T.StructType) -> T.StructType:
                         + [T.StructField(_CORRUPT, T.StringType())])
 
 
-def _parse(col, schema: T.StructType, single_quotes: bool):
+def _parse(col, schema: T.StructType, literal: bool):
     return F.from_json(col, _as_text(schema), {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT,
-        "allowSingleQuotes": str(single_quotes).lower(),
-        "allowBackslashEscapingAnyCharacter": str(single_quotes).lower()})
+        "allowSingleQuotes": "false", "allowUnquotedControlChars": str(literal).lower()})
 
 
 def _ok(c) -> F.Column:
@@ -43,14 +49,75 @@ def _typed(c, f: T.StructField):
     return c if isinstance(f.dataType, T.StringType) else c.try_cast(f.dataType)
 
 
+def _unit(code):
+    """``\\uXXXX`` of a number below 65,536."""
+    return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+
+def _quiet(text):
+    for ch in _STRUCTURE:
+        text = F.replace(text, F.lit(ch), F.lit(f"\\u{ord(ch):04x}"))
+    return text
+
+
+def _string_as_json(token):
+    """The content of a Python string token as that of a JSON string. What Python does not
+    read (``\\x`` without two digits) and names of characters (``\\N{...}``) stay an escape that
+    JSON rejects; an escape that Python does not know keeps its backslash."""
+    raw = F.lower(F.substring(token, 1, 1)) == "r"
+    body = F.regexp_replace(F.regexp_replace(token, "^[rRuU]", ""), r"(?s)^.(.*).$", "$1")
+
+    def part(p):
+        kind, rest = F.substring(p, 2, 1), F.substring(p, 3, 8)
+        wide = F.conv(rest, 16, 10).cast("long") - 65536
+        pair = F.concat(_unit(F.shiftright(wide, 10) + 0xD800), _unit(wide.bitwiseAND(F.lit(1023)) + 0xDC00))
+        return (F.when(~p.startswith("\\"), _quiet(p))
+                .when(kind.isin("n", "t", "r", "b", "f", "\\", "u", "N"), p)
+                .when(kind == "x", F.when(F.length(p) == 4, F.concat(F.lit("\\u00"), rest)).otherwise(p))
+                .when(kind == "U", F.when(F.length(p) < 10, p).when(wide < 0, F.concat(F.lit("\\u"), F.substring(p, 7, 4)))
+                      .when(wide < 1048576, pair).otherwise(p))
+                .when(kind.rlike("[0-7]"), _unit(F.conv(F.substring(p, 2, 3), 8, 10).cast("long")))
+                .when(kind == "\n", "").when(kind == "'", "'").when(kind == '"', '\\u0022')
+                .when(kind == "a", "\\u0007").when(kind == "v", "\\u000b")
+                .otherwise(F.concat(F.lit("\\\\"), _quiet(kind))))
+
+    plain = F.array_join(F.transform(F.regexp_extract_all(body, F.lit(_PART), F.lit(0)), part), "")
+    told = F.when(raw, _quiet(F.replace(body, F.lit("\\"), F.lit("\\\\")))).otherwise(plain)
+    return F.concat(F.lit(_OPEN), told, F.lit(_SHUT))
+
+
+def _number_as_json(t):
+    """Underscores, bases and missing digits of Python's numbers; anything else stays."""
+    bare = F.replace(t, F.lit("_"), F.lit(""))
+    out = t
+    for base, name, digit in ((16, "x", "0-9a-fA-F"), (8, "o", "0-7"), (2, "b", "01")):
+        fits = F.length(bare) <= 2 + {16: 15, 8: 20, 2: 62}[base]
+        out = F.when(t.rlike(f"(?i)^0{name}(?:_?[{digit}])+$") & fits, F.conv(F.substring(bare, 3, 64), base, 10)).otherwise(out)
+    whole, point = r"[0-9](?:_?[0-9])*+", F.regexp_replace(F.regexp_replace(bare, r"^\.", "0."), r"\.(?=$|[eE])", ".0")
+    real = rf"^(?:{whole}\.?(?:{whole})?|\.{whole})(?:[eE][+-]?{whole})?$"
+    return F.when(t.rlike(real), point).otherwise(out)
+
+
 def _literals_as_json(value):
-    """Rewrite Python literals outside quoted strings; the strings stay as they are."""
-    def piece(p):
-        out = p
-        for py, js in PY_LITERALS:
-            out = F.regexp_replace(out, rf"\b{py}\b", js)
-        return F.when(p.startswith("'") | p.startswith('"'), p).otherwise(out)
-    return F.array_join(F.transform(F.regexp_extract_all(value, F.lit(_PIECE), F.lit(0)), piece), "")
+    """A Python literal as JSON text. Tokens are read one by one: strings with their prefixes
+    and escapes, constants, numbers; neighbouring strings are joined, tuples become lists,
+    trailing commas and parentheses around one value go. What has no JSON form (bytes,
+    sets, complex numbers, numbers as keys) stays and fails to parse."""
+    def token(t):
+        out = t
+        for py, js in PY_CONSTANTS:
+            out = F.when(t == py, js).otherwise(out)
+        return F.when(t.rlike(r"""(?s)^[rRuU]?['"].*['"]$""") & (F.length(t) > 1), _string_as_json(t)) \
+            .when(t.rlike("^[0-9.]"), _number_as_json(t)).otherwise(out)
+
+    text = F.array_join(F.transform(F.regexp_extract_all(value, F.lit(_TOKEN), F.lit(0)), token), "")
+    text = F.regexp_replace(text, rf"{_SHUT}\s*{_OPEN}", "")
+    text = F.regexp_replace(F.regexp_replace(text, r"\+(?=[0-9])", ""), r"\(\s*\)", "[]")
+    for inner in (r"[^()\[\]{},:]*+", r"[^()\[\]{},:]*+", r"\s*\[[^()\[\]{}]*+\]\s*", r"\s*\{[^()\[\]{}]*+\}\s*"):
+        text = F.regexp_replace(text, rf"\(({inner})\)", "$1")
+    text = F.translate(text, "()", "[]")
+    text = F.regexp_replace(text, r"(?<=[^\[{,\s])\s*+,\s*+(?=[\]}])", "")
+    return F.translate(text, _OPEN + _SHUT, '""')
 
 
 def _first_records(rows: DataFrame, limit: int) -> DataFrame:
@@ -71,8 +138,8 @@ def _first_records(rows: DataFrame, limit: int) -> DataFrame:
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType,
                     limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Tolerant JSON-lines reader: strip each line, skip blank lines, parse as JSON; a line
-    that fails is retried as a Python literal (single quotes, ``None``/``True``/``False``
-    outside strings); what still fails is returned in the second frame (``file``, ``value``).
+    that fails is retried as a Python literal (strings with their prefixes and escapes, joined
+    strings, tuples, constants, number spellings); what still fails is returned in the second frame (``file``, ``value``).
     Values are read as text and cast, so a number in quotes is a number, a value that cannot
     be cast is null, and a list field takes a single string too.
 
