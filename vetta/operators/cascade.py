@@ -19,24 +19,29 @@ DEFAULT_HEAD_THRESHOLD = 0.7
 STAGE3_LABELS = ["advertisement", "irrelevant_content", "non_visitor_rant", "toxicity"]
 
 
+def _none(c: str) -> Column:
+    """No score: null, or not a number (which compares above every threshold)."""
+    return F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+
+
 def _missing(cols: Sequence[str]) -> Column:
-    """Reasons for the score columns that are null."""
-    return F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in cols]))
+    """Reasons for the score columns that are null or not a number."""
+    return F.array_compact(F.array(*[F.when(_none(c), F.lit(f"no {c}")) for c in cols]))
 
 
 def _verdicts(g: DataFrame, id_col: str, safety_prob: str, heads: Sequence[str], labels: Sequence[str],
               label_threshold: float, incomplete: Column | None) -> DataFrame:
     """The verdict of each row from its scores and fired heads: one projection."""
     p = F.col(safety_prob)
-    flagged = F.array_compact(F.array(*[F.when(F.col(f"{lab}_prob") > label_threshold, F.lit(lab))
+    flagged = F.array_compact(F.array(*[F.when(~_none(f"{lab}_prob") & (F.col(f"{lab}_prob") > label_threshold), F.lit(lab))
                                         for lab in labels]))
     bad = F.lit("") if incomplete is None else F.coalesce(incomplete, F.lit(""))
     g = g.withColumns({"__flag": flagged, "__bad": bad,
                        "__no2": _missing([f"{h}_prob" for h in heads]),
                        "__no3": _missing([f"{lab}_prob" for lab in labels])})
-    s0, s1 = F.col("__bad") != "", p > 0.5
+    s0, s1 = F.col("__bad") != "", ~_none(safety_prob) & (p > 0.5)
     s2, s3 = F.size("__fired") > 0, F.size("__flag") > 0
-    q1, q2, q3 = p.isNull(), F.size("__no2") > 0, F.size("__no3") > 0
+    q1, q2, q3 = _none(safety_prob), F.size("__no2") > 0, F.size("__no3") > 0
     stage = F.when(s0, 0).when(q1 | s1, 1).when(s2 | q2, 2).otherwise(3)
     decision = (F.when(s0 | q1, "quarantine").when(s1 | s2, "reject").when(q2, "quarantine")
                 .when(s3, "reject").when(q3, "quarantine").otherwise("accept"))
@@ -88,7 +93,7 @@ def cascade(df: DataFrame, stage1: Callable, stage2: Callable, stage3: Callable,
 
     complete = F.lit(True) if incomplete is None else F.coalesce(F.col(incomplete), F.lit("")) == ""
     s1 = stage1(only(df, complete))
-    alive = complete & (F.col("safety_prob") <= 0.5)
+    alive = complete & ~_none("safety_prob") & (F.col("safety_prob") <= 0.5)
     s2 = or_gate_wide(stage2(only(s1, alive)), heads, default_threshold=head_threshold,
                       thresholds=thresholds, disabled=disabled, out="__fired")
     s3 = stage3(only(s2, alive & (F.size("__fired") == 0)))

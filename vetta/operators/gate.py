@@ -12,12 +12,13 @@ POSITIVE = "__label__pos"
 
 def fire(prob_pos, threshold=None) -> Column:
     """A binary head fires iff its top-1 label is positive (p > 0.5) and, when a
-    threshold is set, ``p >= threshold``."""
+    threshold is set, ``p >= threshold``; what is not a number fires nothing."""
     p = F.col(prob_pos) if isinstance(prob_pos, str) else prob_pos
+    on = (p > 0.5) & ~F.isnan(p.cast("double"))
     if threshold is None:
-        return p > 0.5
+        return on
     t = F.lit(threshold) if isinstance(threshold, (int, float)) else threshold
-    return (p > 0.5) & (t.isNull() | (p >= t))
+    return on & (t.isNull() | (p >= t))
 
 
 def fire_top1(label, prob, threshold=None, positive: str = POSITIVE) -> Column:

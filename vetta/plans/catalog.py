@@ -503,6 +503,20 @@ def q_a4(spark, d):
     return PF.label_distribution(J.synthetic_table(R.llm_responses(spark, d)), _FINAL5)
 
 
+_ROLL = ["severe_toxic", "obscene", "threat", "insult"]
+_SQL_ROLL = " UNION ALL ".join(f"""
+SELECT CASE WHEN g1 = 0 AND g2 = 0 THEN 'id,toxic' WHEN g1 = 0 THEN 'id' WHEN g2 = 0 THEN 'toxic' ELSE '' END AS level, id, toxic,
+       '{c}' AS label, coalesce({c}, 0) AS positives, rows, round({c} * 100.0 / rows, 6) AS pct FROM g""" for c in _ROLL)
+
+
+@register("a4_label_rollup", _with(R.SQL_JIGSAW_RAW, "g AS (SELECT id, toxic, grouping(id) AS g1, grouping(toxic) AS g2, count(*) AS rows, " +
+          ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _ROLL) +
+          " FROM jigsaw_raw GROUP BY GROUPING SETS ((id, toxic), (id), (toxic), ()))") + _SQL_ROLL)
+def q_a4r(spark, d):
+    """Label shares by source and class, by each alone, and in total, by grouping sets."""
+    return PF.label_rollup(R.jigsaw_raw(spark, d), _ROLL, ["id", "toxic"])
+
+
 @register("a5_single_label", _SQL_W3 + """
 SELECT count(*) FILTER (WHERE spam + advertisement + relevance + rant + toxicity = 1) AS single_label,
        count(*) AS rows,
@@ -719,6 +733,29 @@ def q_a1(spark, d):
     return PF.value_counts(R.table(spark, d, "documents"), None)
 
 
+@register("a1_top_values", f"""
+SELECT "column", rank, value, count FROM (
+  SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) AS rank
+  FROM ({_sql_value_counts(_DOC_COLS, "documents")})) WHERE rank <= 20""")
+def q_a1t(spark, d):
+    """The twenty most frequent values of every column, in order."""
+    return PF.top_values(R.table(spark, d, "documents"), 20)
+
+
+@register("a1_distinct_estimates", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", 2 * count(*) AS rows, 2 * count(*) FILTER (WHERE {c} IS NULL) AS nulls, true AS close FROM documents"
+    for c in _DOC_COLS))
+def q_a1d(spark, d):
+    """Sketches of the table merged with themselves: rows and nulls add up, and the estimate of
+    the distinct values is within 5 % of their exact number."""
+    doc = R.table(spark, d, "documents")
+    made = PF.value_sketches(doc)
+    est = PF.distinct_estimates(PF.merge_sketches(made.unionByName(made)))
+    exact = PF.value_counts(doc).groupBy(F.col("column").alias("__c")).agg(F.count(F.lit(1)).alias("exact"))
+    return est.join(exact, F.col("column") == F.col("__c"), "left").select(
+        "column", "rows", "nulls", (F.abs(F.col("distinct") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
 @register("a2_null_summary", _with(R.SQL_JIGSAW_RAW) + _sql_null_summary(_JIGSAW_COLS, "jigsaw_raw"))
 def q_a2(spark, d):
     """Every column of the table."""
