@@ -135,11 +135,13 @@ def _rooted(member: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 #: Sizes of differences in one class are within this ratio.
-RATIO = 1.15
+RATIO = 1.3
 
 
-def refined(hubs: DataFrame, differences: Callable[[DataFrame], DataFrame], numerator: int, denominator: int) -> DataFrame:
-    """Finer buckets ``band, node, busy`` for the pairs that the hub of a bucket was no part of.
+def refined(hubs: DataFrame, differences: Callable[[DataFrame], DataFrame], numerator: int,
+            denominator: int) -> tuple[DataFrame, DataFrame]:
+    """Finer buckets ``band, node, busy`` for the pairs that the hub of a bucket was no part of, and
+    the pairs ``u, v`` of hub and node that the differences show to link.
 
     ``hubs``: ``hub, node, busy``; ``differences`` adds ``nh, nx`` (set sizes) and ``d`` (hashes of
     the elements in one of the two sets only) to ``hub, node`` pairs. Write t for the threshold,
@@ -152,27 +154,31 @@ def refined(hubs: DataFrame, differences: Callable[[DataFrame], DataFrame], nume
     overlap leaves, taken for each class of sizes of the other's difference. Copies that
     differ by edits of their own do not meet."""
     more, less = numerator + denominator, denominator - numerator
-    nd, nh, nx = F.col("nd"), F.col("nh"), F.col("nx")
+    nd, nh, nx, k, place = (F.col(c) for c in ("nd", "nh", "nx", "k", "place"))
     close = nd * more <= (nx + nh) * less
     twice = F.when(close, nd * more + (nh - nx) * less).otherwise(nd * more - (nx + nh) * less)
     least = F.greatest(F.lit(1), F.ceil(twice / (2 * more) - F.lit(1e-9)))
-    found = differences(hubs.select("hub", "node")).withColumn("nd", F.size("d"))
-    each = table(found.select("hub", "node", "nd", least.alias("least"), F.floor(nx * less / F.lit(numerator)).alias("k"),
-                              F.explode_outer("d").alias("element")), "differences")
+    found = differences(hubs.select("hub", "node")).withColumn("nd", F.size("d")).join(hubs, ["hub", "node"])
+    each = table(found.select("hub", "node", "busy", "nd", least.alias("least"), close.alias("close"),
+                              F.floor(nx * less / F.lit(numerator)).alias("k"), F.explode_outer("d").alias("element")),
+                 "differences")
     shared = each.groupBy("hub", "element").agg(F.count("*").alias("often")).filter("often > 1 and element is not null")
     own = Window.partitionBy("hub", "node")
-    place = F.row_number().over(own.orderBy("often", "element")) + F.col("nd") - F.count("*").over(own)
-    near = each.join(shared, ["hub", "element"]).withColumn("place", place).filter("place <= nd - least + 1")
+    rarity = F.row_number().over(own.orderBy("often", "element")) + F.col("nd") - F.count("*").over(own)
+    near = each.join(shared, ["hub", "element"]).withColumn("place", rarity).filter("place <= nd - least + 1")
 
     def size_class(n: Column) -> Column:
-        return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double")) / F.lit(math.log(RATIO))).cast("int")
-
-    other = F.explode(F.sequence(size_class(nd - F.col("k")), size_class(nd + F.col("k"))))
-    dealt = near.withColumn("other", other).withColumn("mine", size_class(nd))
-    fewest = F.ceil(F.pow(F.lit(RATIO), F.col("other")) - F.lit(1e-6))
-    dealt = dealt.filter(F.col("place") <= nd - F.ceil((nd + fewest - F.col("k")) / 2) + 1)
+        return F.floor(F.log(F.greatest(n, F.lit(1)).cast("double") + F.lit(1e-6)) / F.lit(math.log(RATIO))).cast("int")
+
+    # the other difference has nd - k elements at least; this place is in the prefix of up to
+    # nd + k - 2 (place - 1)
+    low, high = F.greatest(nd - k, F.lit(1)), nd + k - 2 * (place - 1)
+    near = near.filter(high >= low)
+    dealt = near.select("hub", "element", "node", "busy", size_class(nd).alias("mine"),
+                        F.explode(F.sequence(size_class(low), size_class(high))).alias("other"))
     band = F.xxhash64("hub", "element", F.least("mine", "other"), F.greatest("mine", "other"))
-    return dealt.join(hubs, ["hub", "node"]).select(band.alias("band"), "node", "busy")
+    return dealt.select(band.alias("band"), "node", "busy"), each.filter("close").select(
+        F.least("hub", "node").alias("u"), F.greatest("hub", "node").alias("v")).distinct()
 
 
 def linked(member: DataFrame, confirm: Callable[[DataFrame], DataFrame], differences: Callable[[DataFrame], DataFrame],
@@ -182,14 +188,14 @@ def linked(member: DataFrame, confirm: Callable[[DataFrame], DataFrame], differe
     ``member``: ``band, node, busy`` rows of buckets; ``confirm`` keeps the true links of ``u, v``
     pairs. Every node of a bucket meets the bucket's busiest node, its hub. A bucket whose
     nodes then share a component is done; one of at most ``FEW`` nodes compares its pairs
-    across components; a larger one is dealt into finer buckets by what its nodes have and
+    across components; a larger one (with those whose hubs are in the same component, under one hub) is dealt into finer buckets by what its nodes have and
     the hub has not, or the other way (:func:`refined`), which begin anew without that hub.
     The pairs across components that share a bucket after ``DEALS`` deals, which differ from
     the hubs in the same rare elements, are compared one by one. So no link between
     components is missed, and a bucket of like nodes is never expanded into its pairs."""
     spark = member.sparkSession
     seen, links = empty(spark, "u long, v long"), empty(spark, "u long, v long")
-    roots, few = empty(spark, "node long, root long"), None
+    roots, few, closer = empty(spark, "node long, root long"), None, None
     for deal in range(DEALS + 2):
         own = table(_rooted(member, roots), "rooted")
         met = own.filter("root <> hub.root").select(F.col("hub.node").alias("u"), F.col("node").alias("v"))
@@ -198,17 +204,25 @@ def linked(member: DataFrame, confirm: Callable[[DataFrame], DataFrame], differe
                             .select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
         met = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         met = table(met.join(seen, ["u", "v"], "left_anti"), "met")
-        if not met.isEmpty():
+        found = not met.isEmpty()
+        if found:
             seen = seen.union(met)
             links = links.union(table(confirm(met), "links"))
-            roots = components(links)
+        if found or closer is not None:
+            links = links if closer is None else links.union(closer)
+            roots, closer = components(links), None
         left = table(_rooted(own.select("band", "node", "busy"), roots).filter("n > 2"), "left")
-        few = left.filter(F.col("n") <= (FEW if deal < DEALS else 2**62)).select("band", "node", "root")
-        hubs = left.filter((F.col("n") > FEW) & (F.col("node") != F.col("hub.node"))) \
-            .select(F.col("hub.node").alias("hub"), "node", "busy").distinct()
         if left.isEmpty():
             break
-        none = empty(spark, "band long, node long, busy long")
-        member = none if deal >= DEALS or hubs.isEmpty() else \
-            table(refined(table(hubs, "hubs"), differences, numerator, denominator), "refined")
+        few = left.filter(F.col("n") <= (FEW if deal < DEALS else 2**62)).select("band", "node", "root")
+        # buckets whose hubs share a component share the busiest of those hubs
+        open_ = left.filter(F.col("n") > FEW)
+        chief = open_.groupBy("hub.root").agg(F.max(F.struct("hub.busy", "hub.node")).alias("chief"))
+        hubs = open_.select(F.col("hub.root").alias("of"), "node", "busy").join(chief, F.col("of") == F.col("root")) \
+            .filter(F.col("node") != F.col("chief.node")).select(F.col("chief.node").alias("hub"), "node", "busy").distinct()
+        hubs = table(hubs, "hubs") if deal < DEALS else None
+        member = empty(spark, "band long, node long, busy long")
+        if hubs is not None and not hubs.isEmpty():
+            made, closer = refined(hubs, differences, numerator, denominator)
+            member = table(made, "refined")
     return roots
