@@ -2,9 +2,10 @@
 
 A text is a frequency vector of hashed byte 2- and 3-grams. One-versus-one machines first
 choose the language family; within it, one-versus-one machines separate the related
-languages. Training uses at most about ``PER_LANGUAGE`` rows of each language (drawn by a
-hash of the id, whole texts, features computed on the executors); prediction reads every
-whole text and nothing but the text.
+languages. Training uses about ``PER_LANGUAGE`` different texts of each language, one at least
+(drawn by a hash of id and text, whole texts, features computed on the executors: 16 KB a row
+reach the driver, which fits the machines, 16 KB each, one for two families or two related
+languages); prediction reads every whole text and nothing but the text.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; rows without a label
 are not learned from; with no labelled row everything is ``und``; with one language that
@@ -141,15 +142,19 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
           per_language: int = PER_LANGUAGE) -> Model:
     """Fit on a bounded sample; only its feature vectors reach the driver."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    # ids may be null or repeat, so the text takes part in the draw
+    draw = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(17))
+    counts = rows.groupBy(lang_col).agg(F.count("*").alias("n"), F.min(draw).alias("least")).collect()
     if not counts:
         return Model(np.zeros((0, DIMENSIONS), np.float32), [])
-    # a language with fewer rows than wanted is taken whole; a map, as there may be many labels
-    most = {language: limit(n, per_language) for language, n in counts.items() if n > per_language}
+    # a language with fewer rows than wanted is taken whole, any other has one row at least;
+    # a map, as there may be many labels
+    most = {r[0]: max(limit(r["n"], per_language), r["least"]) for r in counts if r["n"] > per_language}
     at_most = F.lit(2**63 - 1) if not most else F.coalesce(
         F.try_element_at(F.create_map(*[F.lit(v) for pair in most.items() for v in pair]), F.col(lang_col)),
         F.lit(2**63 - 1))
-    drawn = rows.filter(F.xxhash64(F.col(id_col), F.lit(17)) <= at_most)
+    # equal texts of a language are drawn once, so that a frequent one does not fill the sample
+    drawn = rows.filter(draw <= at_most).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).distinct()
     ship(labelled.sparkSession)
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,8 +164,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 yield pd.DataFrame({"lang": frame["lang"].iloc[a:b],
                                     "x": [v.tobytes() for v in features(texts[a:b])]})
 
-    got = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")) \
-        .mapInPandas(work, "lang string, x binary").limit(2 * per_language * len(counts)).collect()
+    got = drawn.mapInPandas(work, "lang string, x binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), np.float32).reshape(-1, DIMENSIONS)
     return Model(x, [r["lang"] for r in got])
@@ -197,8 +201,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def drop_undetermined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language cannot be determined; columns unchanged.
-    Rows are judged where they stand, so repeated or null ids need no join."""
+    Rows are judged where they stand, so repeated or null ids need no join. Where no row is
+    labelled there is nothing to tell languages by, and every text with a letter stays."""
     model = train(docs, id_col, text_col, lang_col)
+    if not model.languages:
+        return docs.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
