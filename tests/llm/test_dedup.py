@@ -188,7 +188,59 @@ STEP = re.compile(f"(?s)[\x21-\u2E7F]{{1,{line_dedup.STEP}}}[{BLANK}]*|[^{BLANK}
 
 
 def line_set(line):
-    return {line[m.start():m.start() + line_dedup.WIDTH] for m in STEP.finditer(line)}
+    """The shingles by the rule in plain Python: 10 characters from every step's start."""
+    blanks = " \t\n\x0b\f\r"
+
+    def run(k):
+        c = ord(line[k]) if k < len(line) else 0
+        unspaced = 0xE00 <= c <= 0x109F or 0x1780 <= c <= 0x17FF or 0x1950 <= c <= 0x1AAF or 0x1B00 <= c <= 0x1B7F
+        return 0x21 <= c <= 0x2E7F and not unspaced
+
+    def after_blanks(k):
+        while k < len(line) and line[k] in blanks:
+            k += 1
+        return k
+    at, out = 0, set()
+    while at < len(line):
+        out.add(line[at:at + 10])
+        n = 0
+        while n < 8 and run(at + n):
+            n += 1
+        if n and not run(at + n):                         # the end of a run
+            at = after_blanks(at + n)
+            continue
+        m = 0
+        while m < 7 and at + m < len(line) and 0x21 <= ord(line[at + m]) <= 0x24F and line[at + m] not in "dltDLT149":
+            m += 1
+        if at + m < len(line) and line[at + m] in "dltDLT149":
+            at += m + 1
+        elif run(at):
+            at += 1
+        elif line[at] not in blanks:
+            at = after_blanks(at + 1)
+        else:
+            at = after_blanks(at)
+    return out
+
+
+def test_line_sets_follow_the_rule(spark):
+    rng = random.Random(6)
+    lines = ["A line that many documents share, word for word.", "x" * 50, "การทดสอบ ภาษาไทย", "漢字かな交じり文 and more", "  lead", "\x00\x01 odd\t\tends  "]
+    lines += ["".join(rng.choice("ab dlt19 .é漢ก\t") for _ in range(rng.randrange(1, 80))) for _ in range(150)]
+    rows = spark.createDataFrame([(t,) for t in lines], "line string").select("line", line_dedup.shingles(line_dedup.F.col("line")).alias("s"))
+    for r in rows.collect():
+        assert set(r.s) == line_set(r.line), r.line
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    shared = "A line that several documents hold in full length."
+    rows = [(None, f"{shared}\nTail one of it alone."), (None, f"A first remark of its own.\n{shared}"), (None, f"Another opening, unlike all.\nmiddle\n{shared}"),
+            (5, f"{shared}\nfirst five"), (5, f"second five\nends differently"), (5, f"{shared}\nfirst five")]
+    out = sorted(r.text for r in line_dedup.drop_duplicate_lines(frame(spark, rows)).collect())
+    assert out == sorted([f"{shared}\nTail one of it alone.", "A first remark of its own.", "Another opening, unlike all.\nmiddle",
+                          "first five", "second five\nends differently", "first five"])
+    report = line_dedup.line_report(frame(spark, rows)).collect()
+    assert len(report) == 6 and sorted(r.n_dropped for r in report) == [0, 0, 1, 1, 1, 1]
 
 
 def test_lines_against_brute_force(spark):

@@ -73,6 +73,24 @@ def test_a_huge_language_keeps_its_share(spark):
     assert model.languages == ["de", "en"]
 
 
+def test_language_with_null_or_repeated_ids(spark):
+    rng = random.Random(4)
+    for ids in ([None], [7, 8, 9]):
+        rows = [row(rng.choice(ids), " ".join(rng.choice(WORDS[lang].split()) for _ in range(20)), lang)
+                for lang in ("en", "de") for _ in range(900)]
+        model = language_id.train(frame(spark, rows), per_language=100)
+        assert model.languages == ["de", "en"]
+        assert [g[0] for g in model.predict(["der und die nicht", "the and of with"])] == ["de", "en"]
+    same = [row(k, "the and of", "en") for k in range(2000)] + [row(k, "der die und", "de") for k in range(9)]
+    assert language_id.train(frame(spark, same), per_language=5).languages == ["de", "en"]
+
+
+def test_an_unlabelled_table_stays(spark):
+    rows = [row(1, "the and", None), row(2, "77", None), row(3, None, None), row(None, "über", None), row(1, "", None)]
+    assert sorted(r.text for r in language_id.drop_undetermined(frame(spark, rows)).collect()) == ["the and", "über"]
+    assert language_id.drop_undetermined(frame(spark, [])).count() == 0
+
+
 def test_all_labels_can_be_learned(spark):
     rows = [row(i, f"w{i} " * 5, f"l{i:03d}") for i in range(300)]
     model = None
@@ -361,3 +379,23 @@ def test_empty_benchmark_or_corpus(spark):
     assert decontaminate.contaminated(frame(spark, [(1, "a b c")]), none).first().contaminated is False
     bench = spark.createDataFrame([(1, "x" * 60)], "item_id long, text string")
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
+
+
+def test_pseudonyms_of_very_long_texts(spark):
+    import time
+    size = 1 << 18
+    texts = ["x" * size, "a." * (size // 2), "1 " + "a." * 10000, "1 " * (size // 2), "@" * size, "a@b." * (size // 4), "12-" * (size // 3),
+             "a" * 20000 + "@example.com", "a." * 40 + "b@example.com", "x@" + "y." * 100 + "org", "1.2.3." * 100000]
+    times = []
+    for t in texts:
+        began = time.time()
+        got = pii.pseudonymise(frame(spark, [(1, t + " 1")]), "k").first()
+        times.append(time.time() - began)
+        assert len(got.text) == len(t) + 2
+        if "example" in t or t.endswith("org"):
+            assert got.n_email == 1 and got.text != t + " 1"
+    assert max(times) < 10, times                          # quadratic scans took minutes, or the JVM
+    rng = random.Random(1)
+    table = " ".join(str(rng.randrange(10**4)).zfill(4) for _ in range(5000))
+    got = pii.pseudonymise(frame(spark, [(1, table)]), "k").first()
+    assert got.n_card > 200 and len(got.text) == len(table)

@@ -20,8 +20,11 @@ Scale: equal lines are one node from the start (a line with a third of all occur
 pre-aggregated), so one text of each line crosses the network; occurrences travel as 64-bit
 hashes.
 
-Cases: blank lines and null texts are structure and stay; a null id comes before every other; rows that repeat an id count
-as one document whose positions are judged alike; other columns are never read.
+Cases: blank lines and null texts are structure and stay; a null id comes before every other.
+Rows that repeat id and text are judged alike; of rows that share an id (or have none) and
+differ in text each loses its own lines only, and a line that stands at the same position
+in several of them counts as one occurrence and stays in each. A very long line is one set
+of shingles, at about 30 bytes of memory a character. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -52,8 +55,10 @@ SMALL = 19
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, at, line`` of all lines that are not blank."""
+    """``id, own, at, line`` of all lines that are not blank (``own``: a hash of the text, as ids may
+    repeat)."""
     lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("id"),
+                        F.xxhash64(text_of(text_col)).alias("own"),
                         F.posexplode_outer(F.split(text_of(text_col), "\n")).alias("at", "line"))
     return lines.filter(F.trim("line") != "")
 
@@ -151,13 +156,13 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """``id, dropped``: ``(at, keep_id)`` of the lines that go, for documents that lose any:
+    """``id, own, dropped``: ``(at, keep_id)`` of the lines that go, for texts that lose any:
     their positions and the documents in which the lines that stand for them stay."""
     stay = duplicate_lines(docs, id_col, text_col, numerator, denominator)
-    own = occurrences(docs, id_col, text_col).select("id", "at", F.xxhash64("line").alias("node"))
+    own = occurrences(docs, id_col, text_col).select("id", "own", "at", F.xxhash64("line").alias("node"))
     gone = own.join(stay, "node").filter(place(F.col("id"), F.col("at")) != F.col("first"))
     keep = F.floor(F.col("first") / F.lit(Decimal(2**32))).cast("long")
-    return gone.groupBy("id").agg(F.sort_array(F.collect_set(F.struct(
+    return gone.groupBy("id", "own").agg(F.sort_array(F.collect_set(F.struct(
         "at", F.nullif(keep, F.lit(FIRST_ID)).alias("keep_id")))).alias("dropped"))
 
 
@@ -166,8 +171,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     0 of the lines that go, and for each the document in which its component's line stays)."""
     none = F.array().cast("array<struct<at:int,keep_id:bigint>>")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)).alias("id"),
+                       F.xxhash64(text_of(text_col)).alias("own"),
                        F.size(F.split(text_of(text_col), "\n")).cast("long").alias("n_lines"))
-    found = rows.join(dropped_lines(docs, id_col, text_col), "id", "left") \
+    found = rows.join(dropped_lines(docs, id_col, text_col), ["id", "own"], "left") \
         .withColumn("dropped", F.coalesce("dropped", none))
     return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"),
                         F.col("dropped.at").alias("dropped"), F.col("dropped.keep_id").alias("keep_ids"))
@@ -175,8 +181,9 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that go cut from the text; columns unchanged, null texts kept."""
-    rows = packed(docs, id=F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)), text=F.col(text_col))
-    joined = rows.join(dropped_lines(docs, id_col, text_col), "id", "left")
+    rows = packed(docs, id=F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_ID)), own=F.xxhash64(text_of(text_col)),
+                  text=F.col(text_col))
+    joined = rows.join(dropped_lines(docs, id_col, text_col), ["id", "own"], "left")
     left = F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains("dropped.at", at))
     text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return joined.withColumn("row", F.col("row").withField(text_col, text)).select("row.*")
