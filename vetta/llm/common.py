@@ -122,7 +122,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 #: Buckets of at most so many nodes may be compared pair by pair.
 FEW = 8
 #: How often buckets are dealt into finer ones before what is left is compared pair by pair.
-DEALS = 2
+DEALS = 1
 
 
 def _rooted(member: DataFrame, roots: DataFrame) -> DataFrame:
@@ -217,9 +217,11 @@ def linked(member: DataFrame, confirm: Callable[[DataFrame], DataFrame], differe
         few = left.filter(F.col("n") <= (FEW if deal < DEALS else 2**62)).select("band", "node", "root")
         # buckets whose hubs share a component share the busiest of those hubs
         open_ = left.filter(F.col("n") > FEW)
-        chief = open_.groupBy("hub.root").agg(F.max(F.struct("hub.busy", "hub.node")).alias("chief"))
-        hubs = open_.select(F.col("hub.root").alias("of"), "node", "busy").join(chief, F.col("of") == F.col("root")) \
-            .filter(F.col("node") != F.col("chief.node")).select(F.col("chief.node").alias("hub"), "node", "busy").distinct()
+        bands = open_.select("band", "hub").distinct()
+        chief = bands.groupBy(F.col("hub.root").alias("root")).agg(F.max(F.struct("hub.busy", "hub.node")).alias("chief"))
+        led = bands.select("band", F.col("hub.root").alias("root")).join(chief, "root").select("band", "chief")
+        hubs = open_.select("band", "node", "busy").join(led, "band").filter(F.col("node") != F.col("chief.node")) \
+            .select(F.col("chief.node").alias("hub"), "node", "busy").distinct()
         hubs = table(hubs, "hubs") if deal < DEALS else None
         member = empty(spark, "band long, node long, busy long")
         if hubs is not None and not hubs.isEmpty():
