@@ -135,7 +135,7 @@ def _rooted(member: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 #: Sizes of differences in one class are within this ratio.
-RATIO = 1.3
+RATIO = 1.15
 
 
 def refined(hubs: DataFrame, differences: Callable[[DataFrame], DataFrame], numerator: int,
