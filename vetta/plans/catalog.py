@@ -1074,6 +1074,44 @@ def q_w11(spark, d):
                          (F.col("precision").between(0, 1) & F.col("recall").between(0, 1)).alias("in_range"))
 
 
+_EMB_HEADS = ["rant", "irrelevant"]
+
+
+@register("m7_embedding_heads", _SQL_W9.rsplit("SELECT split, category, doc_id, ", 1)[0] + """
+SELECT category AS head, count(*) FILTER (WHERE label = 1) AS positives, count(*) AS rows, true AS above, true AS falls
+FROM (""" + " UNION ALL ".join(f"SELECT split, '{c}' AS category, {c} AS label FROM parts" for c in _EMB_HEADS) + """)
+WHERE split = 'eval' GROUP BY category""")
+def q_m7e(spark, d):
+    """Embedding-bag heads fitted on the train part in one pass an epoch and scored on the eval
+    part: supports, that the F1 of the positive class is above 0.7, and that the loss falls."""
+    from vetta.operators import embedding as EM
+    parts = _head_parts(spark, d)
+    model, losses = EM.fit_embedding_heads(parts.filter(F.col("split") == "train"), _EMB_HEADS, epoch=4, lr=2.0,
+                                           buckets=1 << 15, blocks=4)
+    scored = model.score(parts.filter(F.col("split") == "eval"))
+    each = scored.select(F.explode(F.array(*[F.struct(F.lit(h).alias("head"), F.col(h).alias("t"),
+                                                      (F.col(f"{h}_prob") > 0.5).alias("p")) for h in _EMB_HEADS])).alias("s"))
+    hit, true = F.col("s.p"), F.col("s.t") == 1
+    f1 = 2 * F.count_if(hit & true) / (F.count_if(hit) + F.count_if(true))
+    return each.groupBy("s.head").agg(F.count_if(true).alias("positives"), F.count(F.lit(1)).alias("rows"),
+                                      (f1 > 0.7).alias("above"), F.lit(losses[-1] < losses[0]).alias("falls"))
+
+
+@register("m9_autotune", _SQL_W9.rsplit("SELECT split, category, doc_id, ", 1)[0] + """
+SELECT 0 AS rung, CAST(3 AS BIGINT) AS fits, CAST(1 AS BIGINT) AS kept, count(*) AS rows FROM parts
+WHERE split = 'train' AND CAST(('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) < 4294967296 // 3
+UNION ALL SELECT 1, 1, 1, count(*) FROM parts WHERE split = 'train'""")
+def q_m9(spark, d):
+    """Successive halving over three points: how many points and rows each rung fits."""
+    from vetta.operators import embedding as EM
+    parts = _head_parts(spark, d)
+    points = [{"dim": 8, "epoch": 2}, {"dim": 8, "epoch": 2, "lr": 0.05}, {"dim": 4, "epoch": 1}]
+    _, _, record = EM.tune(parts.filter(F.col("split") == "train"), parts.filter(F.col("split") == "eval"), "rant", points,
+                           "doc_id", lr=2.0, buckets=1 << 14, blocks=4)
+    made = spark.createDataFrame([(r["rung"], r["rows"], r["kept"]) for r in record], "rung int, rows long, kept boolean")
+    return made.groupBy("rung").agg(F.count(F.lit(1)).alias("fits"), F.count_if("kept").alias("kept"), F.max("rows").alias("rows"))
+
+
 def _multilabel_table(spark, d) -> DataFrame:
     labels = TB.keep_last(R.llm_labels(spark, d), ["job_id"], "seq").drop("seq")
     t = J.build_label_table(labels, _reviews_msg(spark, d))
