@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
@@ -301,13 +301,14 @@ def fit_multilabel(train: DataFrame, labels: Sequence[str], text: str = "text",
     ``max_features`` bounds the TF-IDF vocabulary (the most frequent terms); Word2Vec averages
     over ``w2v_partitions`` parts, so that number is part of the model: raise it for speed on
     a large corpus, and keep it for equal models."""
-    feat_est = Pipeline(stages=[
+    # the text is read and tokenised once, into a cached frame of terms that all counts share
+    fitted_stages, frame = _fit_features(train.select(text, *labels), [
         *tfidf_stages(text, "tfidf", (1, 1), 1.0, max_features),
         Word2Vec(inputCol="__tok", outputCol="w2v", vectorSize=vector_size, minCount=min_count,
                  seed=seed, maxIter=1, numPartitions=w2v_partitions),
         VectorAssembler(inputCols=["tfidf", "w2v"], outputCol="features")])
-    feat_model = feat_est.fit(train)
-    tr = _fit_frame(feat_model.transform(train).select("features", *labels), partitions)
+    feat_model = PipelineModel(stages=fitted_stages)
+    tr = _fit_frame(frame.select("features", *labels), partitions)
     va = feat_model.transform(val).persist(StorageLevel.MEMORY_AND_DISK) if val is not None else None
     best, best_loss = None, None
     def fit_one(args):
