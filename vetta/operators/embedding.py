@@ -2,7 +2,8 @@
 softmax, one model a head, all heads in one pass over the rows.
 
 Fitting is stochastic gradient descent with parameter averaging. The rows are dealt once into
-blocks by a hash of the text; in each epoch every block starts from the shared parameters,
+blocks by a hash of the text, more than asked for where a block would hold more than
+``BLOCK_CHARS`` characters, so that a task's memory is bounded; in each epoch every block starts from the shared parameters,
 goes through its rows in numpy, and returns the embeddings it touched; their averages over
 the blocks that touched them are the next parameters. What reaches the driver or is broadcast
 is ``heads * buckets * dim`` numbers at most, whatever the rows; texts stay in their tasks.
@@ -19,6 +20,7 @@ given blocks.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -34,6 +36,10 @@ from vetta.functions.hashing import md5_order
 from vetta.operators.features import checkpointed, head_feature_stages
 
 
+#: Characters of text that a block holds.
+BLOCK_CHARS = 16 << 20
+
+
 def bags(df: DataFrame, text: str, buckets: int, word_ngrams: int = 2, chars: tuple[int, int] = (2, 5)) -> DataFrame:
     """``df`` with ``__bag``: the buckets of all word and character n-grams of the text."""
     terms = PipelineModel(stages=head_feature_stages("__t", word_ngrams_hi=word_ngrams, char_range=chars)[:1]) \
@@ -97,10 +103,27 @@ class EmbeddingHeads:
 
 def _counted(bag) -> tuple[np.ndarray, np.ndarray]:
     """The different buckets of a text and their shares of its n-grams."""
-    ids, n = np.unique(np.asarray(bag, np.int64), return_counts=True)
+    ids, n = np.unique(np.asarray(bag, np.int32), return_counts=True)
     return ids, (n / max(n.sum(), 1)).astype(np.float32)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a list of buckets, as the compressed steps between its sorted distinct
+    buckets and their counts."""
+    for batch in batches:
+        packed = []
+        for bag in batch.column(batch.num_columns - 1):
+            ids, n = np.unique(bag.values.to_numpy(zero_copy_only=False), return_counts=True)
+            packed.append(zlib.compress(np.concatenate([np.diff(ids, prepend=0), n]).astype("<u4").tobytes(), 1))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], names=batch.schema.names)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_counted`` gives for a packed list."""
+    steps, n = np.frombuffer(zlib.decompress(packed), "<u4").reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int32), (n / max(n.sum(), 1)).astype(np.float32)
+
+
 def _descend(table: np.ndarray, out: np.ndarray, rows: list, labels: np.ndarray, rate: float, last: float,
              rng: np.random.Generator) -> float:
     """One pass over a block for one head, row by row, in place; the rate falls from ``rate`` to
@@ -125,14 +148,17 @@ def fit_embedding_heads(df: DataFrame, heads: Sequence[str], text: str = "text",
                         seed: int = 42, skip_missing: bool = False) -> tuple[EmbeddingHeads, list[float]]:
     """The heads, and the mean loss of each epoch. ``df`` has the text and a 0/1 column a head."""
     wanted = [h for h in heads if h in df.columns]
-    seen = df.agg(*[F.min(h).alias(f"lo{k}") for k, h in enumerate(wanted)], *[F.max(h).alias(f"hi{k}") for k, h in enumerate(wanted)]).first()
+    seen = df.agg(*[F.min(h).alias(f"lo{k}") for k, h in enumerate(wanted)], *[F.max(h).alias(f"hi{k}") for k, h in enumerate(wanted)],
+                  F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("chars")).first()
+    blocks = max(blocks, -(-seen["chars"] // BLOCK_CHARS))
     have = [h for k, h in enumerate(wanted) if seen[f"lo{k}"] is not None and seen[f"lo{k}"] != seen[f"hi{k}"]]
     if len(have) < len(heads) and not skip_missing:
         raise ValueError("no training data with both classes for: " + ", ".join(h for h in heads if h not in have))
     made = bags(df.select(text, *have), text, buckets, word_ngrams, chars)
     block = F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(blocks)).cast("int")
-    data = checkpointed(made.select(block.alias("block"), "__bag", F.array(*[F.col(h).cast("float") for h in have]).alias("y"))
-                        .repartition(blocks, "block"))
+    packed = made.select(block.alias("block"), F.array(*[F.col(h).cast("float") for h in have]).alias("y"), "__bag") \
+        .mapInArrow(_pack, "block int, y array<float>, __bag binary")
+    data = checkpointed(packed.repartition(blocks, "block"))
     rng = np.random.default_rng(seed)
     table = ((rng.random((len(have), buckets, dim)) - 0.5) * 2 / dim).astype(np.float32)
     out = np.zeros((len(have), dim + 1), np.float32)
@@ -144,7 +170,7 @@ def fit_embedding_heads(df: DataFrame, heads: Sequence[str], text: str = "text",
         def work(frames: Iterator[pd.DataFrame], shared=shared, rate=rate, last=last, e=e) -> Iterator[pd.DataFrame]:
             rows, labels, own = [], [], 0
             for frame in frames:
-                rows += [_counted(b) for b in frame["__bag"]]
+                rows += [_unpack(b) for b in frame["__bag"]]
                 labels += [np.asarray(y, np.float32) for y in frame["y"]]
                 own = int(frame["block"].iloc[0]) if len(frame) else own
             if not rows:
@@ -156,7 +182,7 @@ def fit_embedding_heads(df: DataFrame, heads: Sequence[str], text: str = "text",
                 mine, w = start[h].copy(), first[h].copy()
                 some = [rows[i] for i in known]
                 loss = _descend(mine, w, some, y[known, h], rate, last, np.random.default_rng([seed, e, own, h]))
-                touched = np.unique(np.concatenate([ids for ids, _ in some])) if some else np.empty(0, np.int64)
+                touched = np.unique(np.concatenate([ids for ids, _ in some])) if some else np.empty(0, np.int32)
                 yield pd.DataFrame({"head": h, "bucket": np.concatenate([touched, [-1]]), "loss": [0.0] * len(touched) + [loss],
                                     "n": float(len(known)), "vec": [*mine[touched], w]})
 
