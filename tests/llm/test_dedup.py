@@ -174,6 +174,17 @@ def test_links_that_no_hub_is_part_of(spark):
     link_sets(spark, mixed, {b: [(n, busy[n]) for n, _ in nodes] for b, nodes in buckets.items()}, numerator, 100)
 
 
+def test_nodes_on_one_side_of_a_bucket_are_not_compared(spark):
+    # far from the hub by 20 shared elements; the large ones, unlike each other, look for smaller ones alone
+    far = set(range(100)) | set(range(200, 220))
+    sets = {1: far, 2: far | {300}}
+    for n in range(10, 50):
+        sets[n] = far | {1000 + 10 * (n // 2) + w for w in range(7)} | {10000 + 100 * n + w for w in range(16)}
+    sets[500] = set(range(100))
+    pairs, groups = link_sets(spark, sets, {1: [(n, n) for n in sets]}, 85, 100)
+    assert groups == 42 and pairs < 8 * len(sets)
+
+
 def test_minhash_agreement_estimates_similarity():
     import numpy as np
     rng = np.random.default_rng(1)
