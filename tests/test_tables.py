@@ -102,6 +102,25 @@ def test_prepare_reviews_is_one_row_a_review_on_any_partitioning(spark):
         assert [(r.id, r.business_name) for r in got] == [(0, "A"), (1, "A")]
 
 
+def test_prepare_reviews_moves_the_text_to_the_rows_that_stay_only(spark, monkeypatch):
+    from vetta.plans import jobs as J
+    rows = [(7, "g", "ann", "fine", 4.0, None), (7, "g", "ann", "fine", 4.0, None), (7, "g", "bob", "fine", 4.0, None),
+            (9, "g", "ann", "fine", 2.0, None), (9, "h", "ann", "other", 2.0, None), (None, "g", "eve", "null id", 1.0, None),
+            (5, "g", "ann", None, 2.0, None), (11, "x", "ann", "no such business", 2.0, None)]
+    rev = spark.createDataFrame(rows, "id long, gmap_id string, name string, text string, rating double, resp string")
+    meta = spark.createDataFrame([("g", "G", ["x", "y"], "d"), ("h", "H", [], None)],
+                                 "gmap_id string, name string, category array<string>, description string")
+    seen = []
+    for name in ("join_business", "keep_first", "dense_index"):
+        own = getattr(J, name)
+        monkeypatch.setattr(J, name, lambda df, *a, _own=own, **k: seen.append(dict(df.dtypes)) or _own(df, *a, **k))
+    got = J.prepare_reviews(rev, meta).orderBy("id").collect()
+    assert [r.id for r in got] == [0, 1, 2, 3] and got[0].review == "null id"
+    assert sorted((r.business_name, r.review) for r in got) == [("G", "fine"), ("G", "fine"), ("G", "null id"), ("H", "other")]
+    assert all(r.review in r.user_message for r in got)
+    assert [t.get("text", t.get("review")) for t in seen] == ["binary"] * 3
+
+
 def test_blank_rows_leave_the_head_table(spark):
     from vetta.plans import jobs as J
     rows = [(1, "1", "0", "some text"), (2, " ", None, "\t"), (3, "x", "0", "text")]

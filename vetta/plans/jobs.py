@@ -32,9 +32,13 @@ GENERATION_CLASSES = ["spam", "advertisement", "irrelevant_content", "non_visito
 def prepare_reviews(reviews: DataFrame, meta: DataFrame, order: str = "id",
                     null_safe: bool = False) -> DataFrame:
     """reviews -> drop null text -> join business -> dedup (reviewer, text, business),
-    first kept -> canonical columns -> lists as text -> dense id -> user_message."""
+    first kept -> canonical columns -> lists as text -> dense id -> user_message.
+
+    Until the rows are numbered the text is a key only, so its SHA-256 goes through joins,
+    aggregation and sorting; the text itself is shuffled once, to the rows that stay."""
     r = drop_null(reviews, ["text"])
-    j = join_business(r, meta, "gmap_id", null_safe=null_safe)
+    digest = F.unhex(F.sha2("text", 256))
+    j = join_business(r.withColumn("text", digest), meta, "gmap_id", null_safe=null_safe)
     # a business that is listed twice: its first listing by name, category, description
     d = keep_first(j, ["name_x", "text", "gmap_id"], [order, "name_y", "category", "description"],
                    unique_order=False)
@@ -42,9 +46,14 @@ def prepare_reviews(reviews: DataFrame, meta: DataFrame, order: str = "id",
                                "category": "category", "description": "description",
                                "text": "review", "rating": "rating", "resp": "response"})
     canon = lists_to_text(canon)
-    idx = dense_index(canon, ["src_order"], out="id").drop("src_order")
-    return render_message(idx).select("id", "business_name", "category", "description",
-                                      "review", "rating", "response", "user_message")
+    idx = dense_index(canon, ["src_order"], out="id").withColumnRenamed("review", "digest")
+    texts = r.select(F.col(order).alias("__order"), digest.alias("__digest"), F.col("text").alias("review"))
+    repeats = texts.groupBy("__order", "__digest").count().filter("count > 1")
+    if not repeats.isEmpty():                           # rows that come twice have one text
+        texts = texts.dropDuplicates(["__order", "__digest"])
+    whole = idx.join(texts, F.col("src_order").eqNullSafe(F.col("__order")) & (F.col("digest") == F.col("__digest")))
+    return render_message(whole).select("id", "business_name", "category", "description",
+                                        "review", "rating", "response", "user_message")
 
 
 # ------------------------------------------------------------------ W2 label table
