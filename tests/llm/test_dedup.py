@@ -4,12 +4,14 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from vetta.llm import exact_dedup, line_dedup, near_dedup, suffix_dedup
-from vetta.llm.common import components, linked
+from vetta.llm.common import CLEAN_UP, components, linked, table
 
 from .cases import corpus, folded, frame
 
@@ -32,6 +34,21 @@ def test_components_against_union_find(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_tables_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+    before, setting = shuffled(), spark.conf.get(CLEAN_UP, None)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    made = table(df.join(df.withColumnRenamed("count", "n").repartition(3, "k"), "k"), "probe")
+    for _ in range(50):                                   # files are removed in the background
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert made.count() == 7 and spark.conf.get(CLEAN_UP, None) == setting
+
+
 def test_exact_groups(spark):
     rows = corpus()
     got = exact_dedup.exact_groups(frame(spark, rows)).collect()
