@@ -342,6 +342,41 @@ def test_inserted_characters_change_only_near_shingles(spark):
     assert got[10] == {"the plain ", "plain word", "words"} and "a" * 10 in got[11]
 
 
+def test_shingles_are_those_of_the_class_intersections(spark):
+    """The classes of the pattern are written out; they match what the intersections match, at every edge of a range too."""
+    unspaced = r"\x{0E00}-\x{109F}\x{1780}-\x{17FF}\x{1950}-\x{1AAF}\x{1B00}-\x{1B7F}"
+    run = rf"[\x21-\x{{2E7F}}&&[^{unspaced}]]"
+    before = (rf"(?s)(?=(.{{1,10}}))(?:{run}{{1,8}}+(?!{run})\s*+"
+              rf"|[\x21-\x{{24F}}&&[^dltDLT149]]{{0,7}}+[dltDLT149]|{run}|\S\s*+|\s++)")
+    edges = [0x21, 0x7F, 0x24F, 0xE00, 0x10A0, 0x1780, 0x1800, 0x1950, 0x1AB0, 0x1B00, 0x1B80, 0x2E7F, 0x10000, 0x1F600]
+    letters = [chr(c + k) for c in edges for k in (-1, 0, 1)] + list(" \t\r\x0b\x1f\xa0ab dlt149DLT.")
+    rng = random.Random(31)
+    lines = [c * n for c in letters for n in (1, 9, 12)]
+    lines += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in lines], "line string").select(
+        "line", line_dedup.shingles(F.col("line")).alias("s"),
+        F.array_distinct(F.regexp_extract_all("line", F.lit(before), F.lit(1))).alias("before")).collect()
+    assert [r.line for r in rows if r.s != r.before] == []
+    assert "&&" not in line_dedup.SHINGLE
+
+
+def test_pairs_are_confirmed_on_sets_made_once(spark):
+    sets = {1: range(100), 2: range(10, 100), 3: range(19, 100), 4: range(20, 99), 5: range(90), 6: [7], 7: [7], 8: [8]}
+    frame_ = spark.createDataFrame([(n, list(s)) for n, s in sets.items()], "node long, h array<long>")
+    pairs = list(itertools.combinations(sets, 2))
+    met = spark.createDataFrame(pairs, "u long, v long")
+    out = line_dedup.confirmed(met, frame_, 80, 100)
+    want = [(u, v) for u, v in pairs if 100 * len(set(sets[u]) & set(sets[v])) >= 80 * len(set(sets[u]) | set(sets[v]))]
+    assert sorted(map(tuple, out.collect())) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1 and "regexp" not in plan
+    hubs = met.select(F.col("u").alias("hub"), F.col("v").alias("node"))
+    found = line_dedup.differences(hubs, frame_)
+    assert {(r.hub, r.node, r.nh, r.nx, frozenset(r.d)) for r in found.collect()} == {
+        (u, v, len(sets[u]), len(sets[v]), frozenset(set(sets[u]) ^ set(sets[v]))) for u, v in pairs}
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def brute_cut(rows, length=suffix_dedup.LENGTH):
     first, out = {}, []
     for i, t in sorted(set(rows), key=lambda r: (-2**63 if r[0] is None else r[0])):
