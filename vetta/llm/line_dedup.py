@@ -84,17 +84,18 @@ def band_keys(lines: DataFrame, numerator: int = NUMERATOR, denominator: int = D
     sets of more than ``SMALL``; prefix triples of sets that can reach the threshold with a
     small one (so some have both).
 
-    The points are gone through in one higher-order function: written out, they make a
-    method too long for the compiler, and the search then runs interpreted."""
+    Where the points stand is written out, which compiles to loops over plain numbers; the
+    bands are made in one higher-order function, as both written out make a method too long
+    for the compiler. There, hashes are named one by one: ``slice`` would copy the whole set."""
     hashed = lines.select("node", F.sort_array(hashes(F.col("line"))).alias("h"))
     ring = hashed.select("node", "h", F.concat("h", F.slice("h", 1, ROWS)).alias("around"),
                          F.sort_array(F.concat("h", F.array(*[F.lit(p) for p in POINTS]))).alias("ring"))
+    stands = ring.select("node", "h", "around", F.array(*[F.array_position("ring", F.lit(p)) for p in POINTS]).alias("stands"))
 
-    def band(point: Column, j: Column) -> Column:
+    def band(at: Column, j: Column) -> Column:
         # where a point stands among the sorted hashes = how many are smaller
-        before = F.array_position("ring", point) - (j + 1)
-        start = (before % (F.size("ring") - BANDS) + 1).cast("int")
-        return F.xxhash64(j, F.slice("around", start, ROWS))
+        start = ((at - (j + 1)) % F.size("h")).cast("int")
+        return F.xxhash64(j, *[F.get("around", start + k) for k in range(ROWS)])
 
     reach = SMALL * denominator // numerator
     prefix = [n + 3 - -(-n * numerator // denominator) for n in range(reach + 1)]
@@ -107,11 +108,11 @@ def band_keys(lines: DataFrame, numerator: int = NUMERATOR, denominator: int = D
         return F.xxhash64(F.lit("triple"), *[F.get(F.col("h"), F.get(t, F.lit(k))) for k in range(3)])
 
     none = F.array().cast("array<bigint>")
-    rings = F.when(n > SMALL, F.transform(F.array(*[F.lit(p) for p in POINTS]), band)).otherwise(none)
+    rings = F.when(n > SMALL, F.transform("stands", band)).otherwise(none)
     some = F.slice(F.lit([list(t) for t in triples]), F.lit(1), F.get(F.lit(count), n))
     exact = F.when(n.between(1, 3), F.array(F.xxhash64(F.lit("whole"), F.col("h")))) \
         .when(n.between(4, reach), F.transform(some, triple)).otherwise(none)
-    return ring.select("node", F.concat(exact, rings).alias("bands"))
+    return stands.select("node", F.concat(exact, rings).alias("bands"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -145,10 +146,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = keyed.select("node", F.explode_outer("bands").alias("band"))
     # a band names its number too, so a line has it once, and the count alone tells
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    member = table(bands.join(shared, "band"), "buckets")
+    # hash joins: the short side is one row a band or line, the long one need not be sorted
+    member = table(bands.join(shared.hint("shuffle_hash"), "band"), "buckets")
     busy = member.groupBy("node").agg(F.sum("size").alias("busy"))
     # the sets are made once for a candidate, not for each of its pairs
-    sets = table(lines.join(busy, "node").select("node", hashes(F.col("line")).alias("h")), "candidates")
+    sets = table(lines.join(busy.hint("shuffle_hash"), "node").select("node", hashes(F.col("line")).alias("h")), "candidates")
     roots = linked(member.join(busy, "node").select("band", "node", "busy"),
                    lambda pairs: confirmed(pairs, sets, numerator, denominator),
                    lambda pairs: differences(pairs, sets), numerator, denominator)
@@ -164,7 +166,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     their positions and the documents in which the lines that stand for them stay."""
     stay = duplicate_lines(docs, id_col, text_col, numerator, denominator)
     own = occurrences(docs, id_col, text_col).select("id", "own", "at", F.xxhash64("line").alias("node"))
-    gone = own.join(stay, "node").filter(place(F.col("id"), F.col("at")) != F.col("first"))
+    gone = own.join(stay.hint("shuffle_hash"), "node").filter(place(F.col("id"), F.col("at")) != F.col("first"))
     keep = F.floor(F.col("first") / F.lit(Decimal(2**32))).cast("long")
     return gone.groupBy("id", "own").agg(F.sort_array(F.collect_set(F.struct(
         "at", F.nullif(keep, F.lit(FIRST_ID)).alias("keep_id")))).alias("dropped"))
