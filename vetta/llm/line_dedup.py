@@ -12,8 +12,8 @@ sets of similarity s agree on it with probability near s^ROWS. ``BANDS`` bands g
 On small sets the bands depend on each other, so a pair with a set of at most ``SMALL`` shingles
 is found exactly, by prefixes: sets that reach the threshold share three hashes among the
 ``n - ceil(n * threshold) + 3`` smallest of either (sets of up to three are equal, at 0.75 and more), so all
-triples of those are keys. Exact Jaccard similarity of the full shingle sets confirms the
-candidates, and distributed union-find keeps one line of each component: the one that occurs
+triples of those are keys. Exact Jaccard similarity of the full shingle sets (64-bit hashes)
+confirms the candidates, and distributed union-find keeps one line of each component: the one that occurs
 first (smallest document, then position).
 
 Scale: equal lines are one node from the start (a line with a third of all occurrences is
