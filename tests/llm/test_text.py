@@ -150,6 +150,46 @@ def test_probabilities_of_a_context_sum_to_one():
         assert abs((10 ** s.log10(context * 16 + np.arange(6))).sum() - 1) < 1e-9
 
 
+def test_rare_words_are_scored_in_their_context(spark, monkeypatch):
+    """Words that share a class: a pair that was seen is likelier than its words the other way round."""
+    monkeypatch.setattr(interpolated_lm, "FREQUENT", 0.2)
+    texts = [f"w{k % 300} v{k % 300}" for k in range(3000)]
+    held = [i for i in range(9000, 9400) if zlib.crc32(str(i).encode()) % 5 == 1][:20]
+    rows = list(enumerate(texts)) + [(i, f"w{k} v{k}" if k % 2 else f"v{k} w{k}") for k, i in enumerate(held)]
+    got = {r.doc_id: r.score for r in interpolated_lm.score(frame(spark, rows)).collect()}
+    assert min(got[i] for i in held[1::2]) > max(got[i] for i in held[::2]) + 1
+
+
+def test_all_pairs_are_counted_whatever_the_chunks(spark, monkeypatch):
+    rows = corpus(n=30)
+    whole = sorted((r.doc_id or -1, round(r.base_score, 6), round(r.score, 6), r.n_known) for r in interpolated_lm.score(frame(spark, rows)).collect())
+    written = {}
+    real = interpolated_lm.table
+    monkeypatch.setattr(interpolated_lm, "table", lambda df, name, *a: written.setdefault(name, real(df, name, *a)))
+    monkeypatch.setattr(interpolated_lm, "CHUNK", 2000)
+    monkeypatch.setattr(interpolated_lm, "BUCKET", 300)
+    cut = sorted((r.doc_id or -1, round(r.base_score, 6), round(r.score, 6), r.n_known) for r in interpolated_lm.score(frame(spark, rows)).collect())
+    assert cut == whole and len(whole) == len(rows) and written["chunks"].count() > 10
+    words = [["^", *re.findall(r"[^\x20\x09-\x0D]+", folded(t)), "$"] for _, t in rows]
+    train = [zlib.crc32(str("" if i is None else i).encode()) % 5 != 1 for i, _ in rows]
+    want = Counter(p for w, t in zip(words, train) if t for p in zip(w, w[1:]))
+    expected = Counter((i, tuple(want[p] for p in zip(w, w[1:]))) for (i, _), w in zip(rows, words))
+    seen = Counter()
+    for r in written["texts"].collect():
+        n = interpolated_lm._unpack(bytes(r.pair_est)) + interpolated_lm._unpack(bytes(r.pair_dev))
+        at = interpolated_lm.Events(r, 0).offsets
+        seen.update((None if i is None else int(i), tuple(n[a:b].tolist())) for i, a, b in zip(r.ids, at, at[1:]))
+    assert seen == expected
+
+
+def test_byte_planes():
+    import numpy as np
+    for x in ([], [0], [255, 256, 0], [2**62, 1, 2**40]):
+        assert interpolated_lm._unpack(interpolated_lm._pack(np.array(x, np.int64))).tolist() == x
+    h = np.array([3, 2**63, 2**64 - 1], np.uint64)
+    assert interpolated_lm._unpack_sorted(interpolated_lm._pack_sorted(h)).tolist() == h.tolist()
+
+
 # ------------------------------------------------------------------ tokeniser
 def reference_encoding():
     with open(RANKS, "rb") as f:
