@@ -1056,7 +1056,7 @@ def q_m4(spark, d):
 
 def _head_parts(spark, d) -> DataFrame:
     good, _ = C.parse_labels(R.head_samples(spark, d), _HEAD_CATS)
-    good = good.withColumn("text", collapse_ws("text")).filter(F.length("text") > 0)
+    good = FT.written(good.withColumn("text", collapse_ws("text")).filter(F.length("text") > 0), "samples")
     return O.split(good, "doc_id", 0.9, 42, first="train", second="eval")
 
 
