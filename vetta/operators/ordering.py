@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vetta.functions.hashing import md5_order
+from vetta.operators.tables import bounded_broadcast
 from vetta.session import ensure_checkpoint_dir
 
 _LOW33 = (1 << 33) - 1
@@ -124,13 +125,18 @@ def head_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 PREFIX = 4
 
 
+#: Strata whose cuts are broadcast.
+STRATA = 100_000
+
+
 def _cut_keys(df: DataFrame, key: str, ratio: float, stratify: str | None) -> DataFrame:
     """One row per stratum: ``__s, __m, __k``, the (hash, key) of the first row of the second
     part, null where the first part has every row. Only the rows of one hash prefix a
-    stratum are ranked."""
+    stratum are ranked. Hashes and keys are read once, into a checkpoint, and so are the cuts."""
+    ensure_checkpoint_dir(df.sparkSession)
     stratum = F.col(stratify) if stratify else F.lit(1)
     rows = df.select(stratum.alias("__s"), F.col("__ord").alias("__m"), F.col(key).alias("__k"),
-                     F.substring("__ord", 1, PREFIX).alias("__p"))
+                     F.substring("__ord", 1, PREFIX).alias("__p")).checkpoint(eager=True)
     counts = rows.groupBy("__s", "__p").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy("__s")
     counts = counts.select("__s", "__p", "__n",
@@ -141,7 +147,8 @@ def _cut_keys(df: DataFrame, key: str, ratio: float, stratify: str | None) -> Da
         .select(F.col("__s").alias("__es"), F.col("__p").alias("__ep"), "__left")
     inside = rows.join(edge, F.col("__s").eqNullSafe(F.col("__es")) & (F.col("__p") == F.col("__ep")))
     place = F.row_number().over(Window.partitionBy("__s").orderBy("__m", "__k")) - 1
-    return inside.withColumn("__at", place).filter(F.col("__at") == F.col("__left")).select("__s", "__m", "__k")
+    return inside.withColumn("__at", place).filter(F.col("__at") == F.col("__left")).select("__s", "__m", "__k") \
+        .checkpoint(eager=True)
 
 
 def split(df: DataFrame, key: str, ratio: float, seed: int = 42,
@@ -149,9 +156,10 @@ def split(df: DataFrame, key: str, ratio: float, seed: int = 42,
           first: str = "train", second: str = "test") -> DataFrame:
     """Exact seeded split: inside each stratum (or overall; null is a stratum) the first
     ``floor(n*ratio)`` rows in (md5, key) order go to ``first``, the rest to ``second``.
-    Every row lands in one part, and no payload is moved to be ranked."""
+    Every row lands in one part, and no payload is moved: the cuts are broadcast, as the
+    rows of a stratum would all meet in one task (of more than ``STRATA``, they are joined)."""
     keyed = df.withColumn("__ord", md5_order(key, seed))
-    cut = _cut_keys(keyed, key, ratio, stratify)
+    cut = bounded_broadcast(_cut_keys(keyed, key, ratio, stratify), STRATA)
     stratum = F.col(stratify) if stratify else F.lit(1)
     joined = keyed.withColumn("__own", stratum).join(cut, F.col("__own").eqNullSafe(F.col("__s")), "left")
     before = F.col("__m").isNull() | (F.struct(F.col("__ord"), F.col(key)) < F.struct("__m", "__k"))
