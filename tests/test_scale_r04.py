@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
 from vetta.operators import embedding as EM
 from vetta.operators import features as FT
@@ -84,19 +85,17 @@ def test_vocabulary_is_that_of_the_counts(spark):
 
 
 # ------------------------------------------------------------------ n-gram buckets
-def test_buckets_are_a_function_of_the_ngrams(spark):
-    texts = ["ab <a> ab", "", "  ", "x", "über naïve   😀😀 a\x1cb\x85c", "ab" * 40 + " y ab", "<ab> a b a b"]
+def test_buckets_are_those_of_the_ngrams(spark):
+    rng = random.Random(2)
+    texts = ["ab <a> ab", "", "  ", "x", "über naïve   😀😀 a\x1cb\x85c", "ab" * 70 + " y ab\u3000é", "<ab> a b a b"]
+    texts += [" ".join("".join(rng.choice("abc<>é😀") for _ in range(rng.randrange(1, 45))) for _ in range(30))]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    stages = FT.head_feature_stages("t", word_ngrams_hi=3)[:1]
-    strings, buckets = set(), set()
-    for r in PipelineModel(stages=stages).transform(df).collect():
-        got = Counter(EM.bag_of(r["t"], 1 << 31, 3).tolist())
-        assert sorted(Counter(r["__hterms"]).values()) == sorted(got.values())
-        strings.update(r["__hterms"])
-        buckets.update(got)
-    assert len(buckets) == len(strings)                  # the same n-gram has the same bucket in all texts
-    b = EM.bag_of("some words of a text", 100)
-    assert 0 <= b.min() and b.max() < 100
+    for buckets in (1 << 15, 1000, 1 << 40):
+        stages = FT.head_feature_stages("t", word_ngrams_hi=3)[:1]
+        made = PipelineModel(stages=stages).transform(df).select(
+            "t", F.transform("__hterms", lambda x: F.pmod(F.xxhash64(x), F.lit(buckets))).alias("bag"))
+        for r in made.collect():
+            assert sorted(r.bag) == sorted(EM.bag_of(r.t, buckets, 3).tolist())
 
 
 def test_rows_unpacked_when_read_learn_the_same(monkeypatch):

@@ -41,45 +41,78 @@ from vetta.operators.features import checkpointed
 BLOCK_CHARS = 16 << 20
 
 
-_SPACE = np.array([chr(x).isspace() for x in range(0x3002)])
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_SEED = np.uint64(42)                   # of Spark's xxhash64
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _these(mask: np.ndarray):
+    """The places of a mask (a slice if it is true everywhere)."""
+    return slice(None) if mask.all() else np.flatnonzero(mask)
+
+
+def _xxhash64(text: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """What Spark's ``xxhash64`` gives for parts of a text, given by bytes, as signed numbers."""
+    one = np.frombuffer(text + bytes(12), np.uint8).astype(np.uint64)
+    four = one[:-3] | one[1:-2] << np.uint64(8) | one[2:-1] << np.uint64(16) | one[3:] << np.uint64(24)
+
+    def eight(at: np.ndarray) -> np.ndarray:
+        return four[at] | four[at + 4] << np.uint64(32)
+
+    with np.errstate(over="ignore"):
+        h = np.full(len(starts), _SEED + _P5)
+        long = np.flatnonzero(sizes >= 32)
+        if len(long):
+            lanes = [np.full(len(long), x) for x in (_SEED + _P1 + _P2, _SEED + _P2, _SEED, _SEED - _P1)]
+            for k in range(int(sizes[long].max()) // 32):
+                own = np.flatnonzero(sizes[long] // 32 > k)
+                for j, v in enumerate(lanes):
+                    v[own] = _turned(v[own] + eight(starts[long[own]] + 32 * k + 8 * j) * _P2, 31) * _P1
+            whole = sum(_turned(v, by) for v, by in zip(lanes, (1, 7, 12, 18)))
+            for v in lanes:
+                whole = (whole ^ _turned(v * _P2, 31) * _P1) * _P1 + _P4
+            h[long] = whole
+        h += sizes.astype(np.uint64)
+        at, words = starts + sizes // 32 * 32, sizes % 32 // 8
+        for k in range(int(words.max(initial=0))):
+            own = _these(words > k)
+            h[own] = _turned(h[own] ^ _turned(eight(at[own] + 8 * k) * _P2, 31) * _P1, 27) * _P1 + _P4
+        at = at + 8 * words
+        if len(half := np.flatnonzero(sizes & 4)):
+            own = slice(None) if len(half) == len(sizes) else half
+            h[own] = _turned(h[own] ^ four[at[own]] * _P1, 23) * _P2 + _P3
+        at, left = at + (sizes & 4), sizes & 3
+        for k in range(int(left.max(initial=0))):
+            own = _these(left > k)
+            h[own] = _turned(h[own] ^ one[at[own] + k] * _P5, 11) * _P1
+        h = (h ^ h >> np.uint64(33)) * _P2
+        h = (h ^ h >> np.uint64(29)) * _P3
+        return (h ^ h >> np.uint64(32)).view(np.int64)
 
 
 def bag_of(text: str, buckets: int, word_ngrams: int = 2, chars: tuple[int, int] = (2, 5)) -> np.ndarray:
-    """The buckets of all n-grams of a text: of words (runs without whitespace, joined by blanks) and
-    of the characters of each ``<word>``. Equal n-grams have equal hashes, polynomials in their
-    characters."""
-    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    inside = ~_SPACE[np.minimum(points, len(_SPACE) - 1)]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    size = edge[1::2] - edge[::2]
-    if not len(size):
+    """The buckets (Spark's ``xxhash64`` modulo their number) of all n-grams of a text: of words (runs
+    without whitespace, joined by blanks) and of the characters of each ``<word>``."""
+    tokens = text.split()
+    if not tokens:
         return np.empty(0, np.int64)
-    own, ends = points[inside].astype(np.uint64), np.cumsum(size)
-    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size.max() + 1, _BASE)]), dtype=np.uint64)
-    words = np.add.reduceat(own * power[np.repeat(ends, size) - 1 - np.arange(len(own))], ends - size)
-    grams, made = [words], words
-    for n in range(2, word_ngrams + 1):
-        last = size[n - 1:]
-        made = made[:len(last)] * power[last + 1] + np.uint64(32) * power[last] + words[n - 1:]
-        grams.append(made)
-    # the characters of all <word>s in a row
-    close = np.cumsum(size + 2) - 1
-    wrapped, body = np.empty(close[-1] + 1, np.uint64), np.ones(close[-1] + 1, bool)
-    body[close] = body[close - size - 1] = False
-    wrapped[close - size - 1], wrapped[close], wrapped[body] = ord("<"), ord(">"), own
-    word = np.repeat(np.arange(len(size)), size + 2)
-    made = np.zeros(len(wrapped), np.uint64)
-    for n in range(1, min(chars[1], len(wrapped)) + 1):
-        made = made[:len(wrapped) - n + 1] * _BASE + wrapped[n - 1:]
-        if n >= chars[0]:
-            grams.append(made[word[:len(made)] == word[n - 1:]])
-    return (((_mixed(np.concatenate(grams)) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).view(np.int64)
+    joined = " ".join(tokens).encode()
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts, ends = np.append(0, blanks + 1), np.append(blanks, len(joined))
+    spans = [(starts[:len(starts) - n + 1], ends[n - 1:]) for n in range(1, min(word_ngrams, len(starts)) + 1)]
+    first, last = (np.concatenate(x) for x in zip(*spans))
+    hashes = [_xxhash64(joined, first, last - first)]
+    wrapped = ("<" + "><".join(tokens) + ">").encode()
+    begin = np.flatnonzero(np.frombuffer(wrapped, np.uint8) & 0xC0 != 0x80)         # of each character
+    word, begin = np.repeat(np.arange(len(starts)), ends - starts + 2)[begin], np.append(begin, len(wrapped))
+    for n in range(chars[0], min(chars[1], len(word)) + 1):
+        own = np.flatnonzero(word[:len(word) - n + 1] == word[n - 1:])
+        hashes.append(_xxhash64(wrapped, begin[own], begin[own + n] - begin[own]))
+    return np.mod(np.concatenate(hashes), buckets)
 
 
 @dataclass
@@ -225,7 +258,7 @@ def _descend(table: np.ndarray, out: np.ndarray, rows: _Rows, labels: np.ndarray
 
 
 def _blocks(df: DataFrame, heads: Sequence[str], text: str, buckets: int, word_ngrams: int, chars: tuple[int, int], blocks: int,
-            seed: int, skip_missing: bool) -> tuple[list[str], DataFrame]:
+            seed: int, skip_missing: bool, order: str | None) -> tuple[list[str], DataFrame]:
     """The heads that have both classes, and the packed rows dealt into blocks."""
     wanted = [h for h in heads if h in df.columns]
     seen = df.agg(*[F.min(h).alias(f"lo{k}") for k, h in enumerate(wanted)], *[F.max(h).alias(f"hi{k}") for k, h in enumerate(wanted)],
@@ -234,21 +267,23 @@ def _blocks(df: DataFrame, heads: Sequence[str], text: str, buckets: int, word_n
     have = [h for k, h in enumerate(wanted) if seen[f"lo{k}"] is not None and seen[f"lo{k}"] != seen[f"hi{k}"]]
     if len(have) < len(heads) and not skip_missing:
         raise ValueError("no training data with both classes for: " + ", ".join(h for h in heads if h not in have))
-    block = F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(blocks)).cast("int")
-    packed = df.select(block.alias("block"), F.array(*[F.col(h).cast("float") for h in have]).alias("y"),
+    block, place = F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(blocks)).cast("int"), F.col(order) if order else F.lit(0)
+    packed = df.select(block.alias("block"), place.cast("long").alias("place"), F.array(*[F.col(h).cast("float") for h in have]).alias("y"),
                        F.coalesce(F.col(text), F.lit("")).alias("__text")) \
-        .mapInArrow(partial(_pack, buckets=buckets, word_ngrams=word_ngrams, chars=tuple(chars)), "block int, y array<float>, __bag binary")
-    return have, checkpointed(packed.repartition(blocks, "block"))
+        .mapInArrow(partial(_pack, buckets=buckets, word_ngrams=word_ngrams, chars=tuple(chars)), "block int, place long, y array<float>, __bag binary").repartition(blocks, "block")
+    return have, checkpointed(packed.sortWithinPartitions("place") if order else packed)
 
 
 def fit_embedding_heads(df: DataFrame, heads: Sequence[str], text: str = "text", dim: int = 16, lr: float = 0.5, epoch: int = 5,
                         buckets: int = 1 << 16, word_ngrams: int = 2, chars: tuple[int, int] = (2, 5), blocks: int = 8,
-                        seed: int = 42, skip_missing: bool = False, packs: dict | None = None) -> tuple[EmbeddingHeads, list[float]]:
+                        seed: int = 42, skip_missing: bool = False, packs: dict | None = None,
+                        order: str | None = None) -> tuple[EmbeddingHeads, list[float]]:
     """The heads, and the mean loss of each epoch. ``df`` has the text and a 0/1 column a head. Fits on
-    the same rows share the packed ones by being given one dict as ``packs``."""
-    packs, key = {} if packs is None else packs, (*heads, text, buckets, word_ngrams, *chars, blocks, seed, skip_missing)
+    the same rows share the packed ones by being given one dict as ``packs``. ``order`` names a
+    number by which a block has its rows (else they are as they come)."""
+    packs, key = {} if packs is None else packs, (*heads, text, buckets, word_ngrams, *chars, blocks, seed, skip_missing, order)
     if key not in packs:
-        packs[key] = _blocks(df, heads, text, buckets, word_ngrams, chars, blocks, seed, skip_missing)
+        packs[key] = _blocks(df, heads, text, buckets, word_ngrams, chars, blocks, seed, skip_missing, order)
     have, data = packs[key]
     rng = np.random.default_rng(seed)
     table = ((rng.random((len(have), buckets, dim)) - 0.5) * 2 / dim).astype(np.float32)

@@ -1056,7 +1056,8 @@ def q_m4(spark, d):
 
 def _head_parts(spark, d) -> DataFrame:
     good, _ = C.parse_labels(R.head_samples(spark, d), _HEAD_CATS)
-    good = FT.written(good.withColumn("text", collapse_ws("text")).filter(F.length("text") > 0), "samples")
+    good = good.withColumn("text", collapse_ws("text")).filter(F.length("text") > 0)
+    good = FT.written(good.withColumn("__row", F.monotonically_increasing_id()), "samples")     # read by several jobs
     return O.split(good, "doc_id", 0.9, 42, first="train", second="eval")
 
 
@@ -1087,7 +1088,7 @@ def q_m7e(spark, d):
     from vetta.operators import embedding as EM
     parts = _head_parts(spark, d)
     model, losses = EM.fit_embedding_heads(parts.filter(F.col("split") == "train"), _EMB_HEADS, epoch=4, lr=2.0,
-                                           buckets=1 << 15, blocks=4)
+                                           buckets=1 << 15, blocks=4, order="__row")
     scored = model.score(parts.filter(F.col("split") == "eval"))
     each = scored.select(F.explode(F.array(*[F.struct(F.lit(h).alias("head"), F.col(h).alias("t"),
                                                       (F.col(f"{h}_prob") > 0.5).alias("p")) for h in _EMB_HEADS])).alias("s"))
